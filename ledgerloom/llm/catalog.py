@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .lm_scoring import op1_lm_scoring
 from .packing import op10_best_fit_packing
 from .simhash import op5_simhash_near_dedup
 from .token_counts import op8_token_counts
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op8_token_counts": op8_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
