@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .lm_scoring import op1_lm_scoring
 from .packing import op10_best_fit_packing
+from .secret_scan import op4_secret_scans
 from .simhash import op5_simhash_near_dedup
 from .token_counts import op8_token_counts
 
 QUERIES = {
+    "op4_secret_scans": op4_secret_scans,
     "op1_lm_scoring": op1_lm_scoring,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op8_token_counts": op8_token_counts,
