@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from .lm_scoring import op1_lm_scoring
+from .mixing import op7_source_mixing
 from .packing import op10_best_fit_packing
 from .secret_scan import op4_secret_scans
 from .simhash import op5_simhash_near_dedup
 from .token_counts import op8_token_counts
+from .topk import OP9_SQL, op9_exact_topk
 
 QUERIES = {
     "op4_secret_scans": op4_secret_scans,
     "op1_lm_scoring": op1_lm_scoring,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op8_token_counts": op8_token_counts,
+    "op7_source_mixing": op7_source_mixing,
+    "op9_exact_topk": op9_exact_topk,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_exact_topk": OP9_SQL}
