@@ -5,6 +5,7 @@ from __future__ import annotations
 from .lm_scoring import op1_lm_scoring
 from .mixing import op7_source_mixing
 from .packing import op10_best_fit_packing
+from .quality import op6_quality_classifier
 from .secret_scan import op4_secret_scans
 from .simhash import op5_simhash_near_dedup
 from .token_counts import op8_token_counts
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op8_token_counts": op8_token_counts,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_source_mixing": op7_source_mixing,
     "op9_exact_topk": op9_exact_topk,
     "op10_best_fit_packing": op10_best_fit_packing,
