@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 
 import numpy as np
@@ -32,22 +33,43 @@ from .common import Remembered, bounded_batches, materialised, table
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
+#: Lower-case letters up to U+00FF, then ASCII marks other than the apostrophe: two pre-tokens.
+PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordIds:
     """A text's ids as little-endian 32-bit bytes, each distinct word encoded once.
 
     The tokenizer drops white space and never joins across it, so the words
     between ASCII white space are encoded apart and their ids laid end to end.
+    It also lower-cases, so words are kept in lower case, unless the text could
+    hold a special token.  Plain words go to its byte-pair model directly, in
+    the byte alphabet of byte-level models; all others to the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        encode = Tokenizer.from_file(path).encode
-        self.words = Remembered(lambda w: np.array(encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes(), 300_000)
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = lambda w: np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        # Printable bytes stand for themselves, the others for characters from U+0100 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+        model = tokenizer.model
+        self.stem = Remembered(lambda w: np.array([t.id for t in model.tokenize("".join(alphabet[b] for b in w.encode()))], "<u4").tobytes(), 300_000)
+        self.marks = Remembered(lambda w: self.encode(w) if w else b"", 50_000)
+        self.words = Remembered(self.word, 300_000)
+
+    def word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if max(text) < "\u0100" and (plain := PLAIN.fullmatch(text.lower())):
+            return self.stem[plain[1]] + self.marks[plain[2]]
+        return self.encode(text)
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.encode().split()))
+        raw = text.encode()
+        return b"".join(map(self.words.__getitem__, (raw if b"<|" in raw else raw.lower()).split()))
 
 
 @functools.lru_cache(maxsize=2)

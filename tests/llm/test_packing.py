@@ -44,7 +44,7 @@ def test_whole_table(spark):
 
 
 def test_odd_texts(spark):
-    texts = {1: "", 2: None, 3: "a " * 5000, 4: "a<|endoftext|>b <|startoftext|>", 5: "É́ ΣΑΣ x\u0085y z\x1cq", 6: "\n\t ", 7: "don't I'LL"}
+    texts = {1: "", 2: None, 3: "a " * 5000, 4: "a<|endoftext|>b <|startoftext|> <|STARTOFTEXT|>", 8: "Mµ ÷x Ÿ Éa\u0301!! a_b c__ don'T.", 5: "É́ ΣΑΣ x\u0085y z\x1cq", 6: "\n\t ", 7: "don't I'LL"}
     docs = spark.createDataFrame([(k, v, 1) for k, v in texts.items()], "doc_id long, text string, part int")
     checked(pack(docs, PATH, 64).collect(), {k: v or "" for k, v in texts.items()}, 64)
     assert pack(docs.limit(0), PATH).count() == 0
