@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .html_extract import op2_html_extraction
 from .lm_scoring import op1_lm_scoring
+from .media import op3_chroma_fingerprints
 from .mixing import op7_source_mixing
 from .packing import op10_best_fit_packing
 from .quality import op6_quality_classifier
@@ -16,6 +18,8 @@ QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op8_token_counts": op8_token_counts,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_chroma_fingerprints": op3_chroma_fingerprints,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_source_mixing": op7_source_mixing,
     "op9_exact_topk": op9_exact_topk,
