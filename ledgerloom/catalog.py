@@ -1,7 +1,9 @@
-"""Registry of the engine's queries and of equivalent SQL."""
+"""All queries of the engine by name, and equivalent SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .plans import artifacts, scalars, trees
+from .plans.base import QUERIES, SQL
+
 FLAGSHIP = "m01_roots"
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "artifacts", "scalars", "trees"]
