@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,8 +47,6 @@ def earliest(extra: DataFrame, key: str = "file_modified_epoch_millis") -> DataF
 
 def qualified_names(names: DataFrame) -> DataFrame:
     """File names (id, value, parent): where an id has several, each also with its parent in front."""
-    from pyspark.sql import Window
-
-    n = F.size(F.collect_set("value").over(Window.partitionBy("id")))
-    both = F.when((n > 1) & F.col("parent").isNotNull(), F.array("value", F.concat_ws("/", "parent", "value"))).otherwise(F.array("value"))
-    return names.withColumn("value", F.explode(both)).select("id", "value").distinct()
+    own = names.withColumn("several", F.size(F.collect_set("value").over(Window.partitionBy("id"))) > 1)
+    both = F.when(F.col("several") & F.col("parent").isNotNull(), F.array("value", F.concat_ws("/", "parent", "value"))).otherwise(F.array("value"))
+    return own.select("id", F.explode(both).alias("value")).distinct()

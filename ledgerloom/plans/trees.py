@@ -147,10 +147,10 @@ def j01_claims(spark, sf_dir):
     return joins.claimed(table(spark, sf_dir, "events"), claimers).select("event_id", "strategy")
 
 
-@query("u03_residual", "SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 95)")
+@query("u03_residual", "SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 97 = 0)")
 def u03_residual(spark, sf_dir):
     own = table(spark, sf_dir, "events")
-    return joins.residual(own, own.filter("value > 95"), "user_id").select("event_id")
+    return joins.residual(own, own.filter("event_id % 97 = 0"), "user_id").select("event_id")
 
 
 NAMES = (".jar", ".pom", "-sources.jar", "-javadoc.jar", ".war", ".txt")
