@@ -54,6 +54,7 @@ def reach(seeds: DataFrame, steps: DataFrame, depth: int | None = None) -> DataF
     drops those already seen, so shared nodes and cycles are walked once.  Each
     round's result is written to the shared folder; rounds grow with the depth.
     """
+    steps = materialised(steps.select("src", "dst").distinct(), "steps")  # each round reads them again
     seen = materialised(seeds.select("root", "id").distinct().withColumn("depth", F.lit(0)), "reach")
     front = seen
     at = 0
@@ -69,8 +70,7 @@ def reach(seeds: DataFrame, steps: DataFrame, depth: int | None = None) -> DataF
 
 def closure(seeds: DataFrame, edges: DataFrame, types: tuple[str, ...] = UPWARD) -> DataFrame:
     """Ids reachable from the seeds' ids along edges of these types."""
-    steps = materialised(edges.filter(F.col("edge_type").isin(*types)).select("src", "dst").distinct(), "steps")
-    return reach(seeds.select(F.lit("").alias("root"), "id"), steps).select("id")
+    return reach(seeds.select(F.lit("").alias("root"), "id"), edges.filter(F.col("edge_type").isin(*types))).select("id")
 
 
 def pruned(items: DataFrame, edges: DataFrame, late: Column) -> tuple[DataFrame, DataFrame]:
@@ -83,6 +83,7 @@ def pruned(items: DataFrame, edges: DataFrame, late: Column) -> tuple[DataFrame,
 
 def paths(seeds: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
     """(id, path) of every walk of at most ``depth`` steps down from the seeds' ids, the path joined by ``>``."""
+    steps = materialised(steps.select("src", "dst").distinct(), "steps")
     front = seeds.select("id", F.col("id").alias("path"))
     out = front
     for _ in range(depth):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.packages import is_archive, match_score, stem
 from ..model import ALIAS_TO
@@ -96,15 +99,36 @@ def needles_in(texts: DataFrame, needles: list[str], column: str = "text") -> Da
     return texts.select("id", F.explode(own).alias("needle"))
 
 
-def holding(texts: DataFrame, needles: DataFrame, most: int = 1000, head: int = 32) -> DataFrame:
+def holding(texts: DataFrame, needles: DataFrame, most: int = 16 << 20, head: int = 32) -> DataFrame:
     """J12 with a table of needles: (id, item_id) of each text that holds a needle whole.
 
-    Up to ``most`` needles, a checked number, go to every task and are looked
-    for there.  More needles meet the texts on their first ``head`` characters,
-    with the places in the texts where such a head stands.
+    Needles of at most ``most`` characters in all, a checked size, become one
+    automaton that finds all of them in one pass over a text.  More needles meet
+    the texts on their first ``head`` characters, with the places in the texts
+    where such a head stands.  Empty and null needles are in no text.
     """
-    if needles.limit(most + 1).count() <= most:
-        return texts.join(F.broadcast(needles), F.col("text").contains(F.col("needle"))).select("id", "item_id").distinct()
+    needles = needles.filter("needle <> ''").select("item_id", "needle")
+    if (needles.agg(F.sum(F.length("needle"))).first()[0] or 0) <= most:
+        known: dict[str, list] = {}
+        for r in needles.collect():
+            known.setdefault(r.needle, []).append(r.item_id)
+        kind = texts.schema["id"].dataType, needles.schema["item_id"].dataType
+        own = texts.sparkSession.sparkContext.broadcast(known)
+
+        def run(batches):
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for needle, ids in own.value.items():
+                automaton.add_word(needle, ids)
+            automaton.make_automaton()
+            for batch in batches:
+                found = [(i, item) for i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if text and own.value for item in {x for _, ids in automaton.iter(text) for x in ids}]
+                a, b = zip(*found, strict=True) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field(0).type), pa.array(b, to_arrow_type(kind[1]))], ["id", "item_id"])
+
+        schema = T.StructType([T.StructField("id", kind[0]), T.StructField("item_id", kind[1])])
+        return texts.select("id", "text").mapInArrow(run, schema).distinct()
     heads = needles.withColumn("head", F.substring("needle", 1, head))
     at = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(head)))
     long = texts.select("id", F.explode(F.array_distinct(at)).alias("head")).join(heads.filter(F.length("needle") >= head), "head")
