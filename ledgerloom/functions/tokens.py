@@ -75,9 +75,18 @@ def record(fields: str) -> T.StructType:
     return T.StructType([T.StructField(n, kinds[k]) for n, k in (f.split() for f in fields.split(", "))])
 
 
-@F.pandas_udf(record("key_type string, key_size int, curve string, fingerprint string, comment string"))
+def frame(rows: list[dict | None], schema: T.StructType) -> pd.DataFrame:
+    """Records as columns; what a record lacks is null."""
+    kinds = {"integer": "Int32", "boolean": "boolean"}
+    return pd.DataFrame({f.name: pd.Series([(r or {}).get(f.name) for r in rows], dtype=kinds.get(f.dataType.typeName(), "object")) for f in schema})
+
+
+SSH = record("key_type string, key_size int, curve string, fingerprint string, comment string")
+
+
+@F.pandas_udf(SSH)
 def ssh_facts(lines: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([ssh_key(x) or {} for x in lines], columns=["key_type", "key_size", "curve", "fingerprint", "comment"])
+    return frame([ssh_key(x) for x in lines], SSH)
 
 
 # Object identifiers of names, keys and signatures.
@@ -167,13 +176,12 @@ def certificate(raw: bytes) -> dict | None:
         return None
 
 
-CERTIFICATE = "subject string, issuer string, serial string, not_before string, not_after string, version int, key_algorithm string, key_size int, curve string, sig_algorithm string, self_signed boolean, cert_sha256 string, spki_sha256 string"
+CERTIFICATE = record("subject string, issuer string, serial string, not_before string, not_after string, version int, key_algorithm string, key_size int, curve string, sig_algorithm string, self_signed boolean, cert_sha256 string, spki_sha256 string")
 
 
-@F.pandas_udf(record(CERTIFICATE))
+@F.pandas_udf(CERTIFICATE)
 def certificate_facts(raw: pd.Series) -> pd.DataFrame:
-    names = [c.split()[0] for c in CERTIFICATE.split(", ")]
-    return pd.DataFrame([(certificate(bytes(x)) if x is not None else None) or {} for x in raw], columns=names)
+    return frame([certificate(bytes(x)) if x is not None else None for x in raw], CERTIFICATE)
 
 
 def pem_certificates(text: Column) -> Column:
