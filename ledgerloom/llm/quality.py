@@ -21,6 +21,7 @@ table gives no rows.  ``drop_low_quality`` keeps all columns.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 
@@ -69,19 +70,24 @@ class Classifier:
             self.weights = None
             return
         self.prior = math.log(good.mean() / (1 - good.mean()))
-        parsed = [(raw, w, set(w)) for raw, w in ((r, words_of(r)) for r in ((t or "").encode() for t in texts))]
-        x = np.array([shape(raw, w, len(d)) for raw, w, d in parsed])
+        # Texts are parsed twice, so that the words of all of them are never held at once.
+        x, among = np.zeros((len(texts), 11)), [Counter(), Counter()]
+        for i, text in enumerate(texts):
+            raw = (text or "").encode()
+            own = words_of(raw)
+            distinct = set(own)
+            x[i] = shape(raw, own, len(distinct))
+            among[int(good[i])].update(marks_of(distinct))
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
-        among = [Counter(), Counter()]
-        marks = [marks_of(d) for _, _, d in parsed]
-        for g, own in zip(good, marks, strict=True):
-            among[int(g)].update(own)
         n0, n1 = (~good).sum(), good.sum()
-        telling = sorted(((abs(among[1][w] / n1 - among[0][w] / n0) / math.sqrt(among[1][w] + among[0][w]), w) for w in among[0].keys() | among[1].keys() if among[0][w] + among[1][w] >= 5), reverse=True)
-        chosen = {w: i for i, (_, w) in enumerate(telling[:words])}
+        score = lambda w, a, b: (abs(b / n1 - a / n0) / math.sqrt(a + b), w)
+        often = ((w, among[0][w], among[1][w]) for w in among[0].keys() | among[1].keys())
+        telling = heapq.nlargest(words, (score(w, a, b) for w, a, b in often if a + b >= 5))
+        del among
+        chosen = {w: i for i, (_, w) in enumerate(telling)}
         seen = np.zeros((len(texts), len(chosen)), np.float32)
-        for i, own in enumerate(marks):
-            seen[i, [chosen[w] for w in own & chosen.keys()]] = 1
+        for i, text in enumerate(texts):
+            seen[i, [chosen[w] for w in chosen.keys() & marks_of(set(words_of((text or "").encode())))]] = 1
         z = np.hstack((np.ones((len(texts), 1)), (x - self.mean) / self.scale, seen)).astype(np.float32)
         weight, m1, m2 = np.zeros(z.shape[1], np.float32), 0.0, 0.0
         decay = np.r_[0, np.full(x.shape[1], 1e-4), np.full(len(chosen), 5e-4)].astype(np.float32)
@@ -108,9 +114,13 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Classifier
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("fine"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # broadcast: ``sample`` rows at most
-    rows = own.dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
-    good = np.array([f and not t for f, t in zip(rows["fine"].to_pylist(), rows["toxic"].to_pylist(), strict=True)], bool)
-    return Classifier(rows["text"].to_pylist(), good)
+    # Of rows that share a doc_id the least text counts; a text comes to the driver alone.
+    rows = own.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("fine").alias("fine"), F.first("toxic").alias("toxic")).orderBy("doc_id").toLocalIterator()
+    texts, good = [], []
+    for r in rows:
+        texts.append(r.text)
+        good.append(bool(r.fine and not r.toxic))
+    return Classifier(texts, np.array(good, bool))
 
 
 def with_log_odds(docs: DataFrame, classifier: Classifier, column: str) -> DataFrame:
