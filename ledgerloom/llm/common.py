@@ -2,47 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialised, remove_materialised, shared_folder
+
+__all__ = ["Remembered", "bounded_batches", "materialised", "remove_materialised", "shared_folder", "table", "text_or_empty"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share.
-
-    It is the cluster's ``spark.checkpoint.dir``.  Where that is unset, a
-    local session gets a temporary folder of its own; a cluster must name one.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}"
-
-
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_materialised(spark: SparkSession) -> None:
-    """Delete all that ``materialised`` wrote in this session; call it once results are saved."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
     """Keep Arrow batches of whole texts small: at most ``rows`` rows go to Python at once."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
