@@ -1,0 +1,86 @@
+"""OpenSSL configuration files: sections, the sections that others point to, and what they say."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+DEPTH = 8
+# Keys whose value names another section.
+POINTERS = ("openssl_conf", "ssl_conf", "system_default", "providers", "alg_section", "engines", "oid_section", "ssl_module")
+
+
+def sections(text: str) -> tuple[dict[str, dict[str, str]], list[str]]:
+    """Sections with their keys, and included paths; a line that ends in a backslash goes on."""
+    found: dict[str, dict[str, str]] = {"": {}}
+    includes, at = [], ""
+    for line in re.sub(r"\\\r?\n", "", text).splitlines():
+        line = re.sub(r"(^|\s)#.*$", "", line).strip()
+        if m := re.fullmatch(r"\[\s*(.*?)\s*\]", line):
+            at = m[1]
+            found.setdefault(at, {})
+        elif m := re.fullmatch(r"\.include\s*=?\s*(.+)", line):
+            includes.append(m[1].strip().strip('"'))
+        elif "=" in line:
+            key, _, value = line.partition("=")
+            found[at][key.strip()] = value.strip().strip('"')
+    return found, includes
+
+
+def reached(found: dict[str, dict[str, str]]) -> list[str]:
+    """Sections that pointers lead to from the top, at most DEPTH steps down, each once."""
+    order, front = [], [""]
+    for _ in range(DEPTH + 1):
+        order += front
+        front = list(dict.fromkeys(v for s in front for k, v in found[s].items() if k in POINTERS and v in found and v not in order))
+        if not front:
+            break
+    return order
+
+
+def config(text: str | None) -> dict | None:
+    if text is None:
+        return None
+    found, includes = sections(text)
+    seen: dict[str, str] = {}
+    for s in reached(found) + list(found):  # pointed-to sections first
+        for k, v in found[s].items():
+            seen.setdefault(k, v)
+    options = sorted({o.strip() for s in found.values() for o in s.get("Options", "").split(",") if o.strip()})
+    return {
+        "sections": sorted(s for s in found if s), "cipher_string": seen.get("CipherString"), "cipher_suites": seen.get("Ciphersuites"), "min_protocol": seen.get("MinProtocol"), "max_protocol": seen.get("MaxProtocol"),
+        "options": options, "includes": includes, "reached": [s for s in reached(found) if s],
+    }
+
+
+_S, _A = T.StringType(), T.ArrayType(T.StringType())
+CONFIG = T.StructType([T.StructField(n, _A if n in ("sections", "options", "includes", "reached") else _S) for n in ("sections", "cipher_string", "cipher_suites", "min_protocol", "max_protocol", "options", "includes", "reached")])
+
+
+@F.pandas_udf(CONFIG)
+def config_facts(text: pd.Series) -> pd.DataFrame:
+    rows = [config(t) or {} for t in text]
+    return pd.DataFrame({f.name: pd.Series([r.get(f.name) for r in rows], dtype="object") for f in CONFIG})
+
+
+def order_of(includes: dict[str, list[str]]) -> list[str]:
+    """Files so that included ones come first; alphabetical where free, edges that close a circle are skipped."""
+    done: list[str] = []
+    for start in sorted(includes):
+        stack = [(start, iter(sorted(includes[start])))]
+        open_ = {start}
+        while stack and start not in done:
+            name, rest = stack[-1]
+            step = next((n for n in rest if n in includes and n not in done and n not in open_), None)
+            if step is None:
+                stack.pop()
+                open_.discard(name)
+                if name not in done:
+                    done.append(name)
+            else:
+                open_.add(step)
+                stack.append((step, iter(sorted(includes[step]))))
+    return done

@@ -104,3 +104,28 @@ def is_binary(text: Column) -> Column:
     """More than a tenth of the characters are control characters other than white space."""
     controls = F.length(text) - F.length(F.regexp_replace(text, r"[\x00-\x08\x0e-\x1f\x7f]", ""))
     return (F.length(text) > 0) & (controls / F.length(text) > 0.1)
+
+
+def _pairs(text: Column, pattern: str) -> Column:
+    """Name and version of every match of a pattern with two groups."""
+    names, versions = (F.regexp_extract_all(text, F.lit(pattern), i) for i in (1, 2))
+    return F.zip_with(names, versions, lambda n, v: F.struct(n.alias("name"), v.alias("version")))
+
+
+def cargo_lock(text: Column) -> Column:
+    """packages of a Cargo lockfile that have a name and a version."""
+    return _pairs(text, r'\[\[package\]\]\s+name = "([^"]*)"\s+version = "([^"]*)"')
+
+
+def yarn_lock(text: Column) -> Column:
+    """entries of a yarn or pnpm lockfile: the name without its range, and the version below it."""
+    return _pairs(text, r'(?m)^\s{0,2}"?(@?[^"@:\s]+)(?:@[^:\n]*)?"?\s*:\s*\n\s+version:? "?([^"\s]+)"?')
+
+
+def npm_lock(text: Column) -> Column:
+    """packages of an npm lockfile: those of ``dependencies``, then those of ``packages`` by their first path part."""
+    own = F.from_json(text, "struct<dependencies:map<string,struct<version:string>>,packages:map<string,struct<version:string>>>")
+    pairs = lambda m, name: F.transform(F.coalesce(F.map_entries(m), F.array()), lambda e: F.struct(name(e["key"]).alias("name"), e["value"]["version"].alias("version")))
+    first = lambda k: F.element_at(F.split(F.regexp_replace(k, "^node_modules/", ""), "/"), 1)
+    both = F.concat(pairs(own["dependencies"], lambda k: k), pairs(own["packages"], first))
+    return F.filter(both, lambda p: p["version"].isNotNull())

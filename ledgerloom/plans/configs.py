@@ -89,3 +89,38 @@ CONFIGS = ('{"os":"linux","architecture":"arm64","config":{"Env":["A=1","B=2"],"
 def f55_image_facts(spark, sf_dir):
     own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), tokens.image_facts(picked("p_partkey", CONFIGS)).alias("f"))
     return own.select("id", "f.platform", "f.env_count", F.array_join("f.history", ",").alias("history"), "f.title")
+
+
+LOCKS = (
+    ("cargo", 'version = 3\n\n[[package]]\nname = "ring"\nversion = "0.17"\n\n[[package]]\nname = "sha2"\nversion = "1.0"\ndependencies = ["a"]\n'),
+    ("yarn", '# yarn\nleft-pad@^1.0.0:\n  version "1.3.0"\n  resolved "x"\n\n"bcryptjs@~2":\n  version "2.4"\n'),
+    ("npm", '{"dependencies":{"tweetnacl":{"version":"1.0.3"},"x":{}},"packages":{"":{"version":"9"},"node_modules/node-forge":{"version":"1.3"}}}'),
+    ("none", "nothing"),
+)
+
+
+@query("f45_lockfiles", """SELECT p_partkey AS id, v.n AS name, v.v AS version FROM part JOIN (VALUES (0, 'ring', '0.17'), (0, 'sha2', '1.0'), (1, 'left-pad', '1.3.0'), (1, 'bcryptjs', '2.4'), (2, 'tweetnacl', '1.0.3'), (2, '', '9'), (2, 'node-forge', '1.3')) v(i, n, v) ON p_partkey % 4 = v.i""")
+def f45_lockfiles(spark, sf_dir):
+    from ..functions import textual
+
+    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), picked("p_partkey", [k for k, _ in LOCKS]).alias("kind"), picked("p_partkey", [t for _, t in LOCKS]).alias("text"))
+    found = F.when(F.col("kind") == "cargo", textual.cargo_lock(F.col("text"))).when(F.col("kind") == "yarn", textual.yarn_lock(F.col("text"))).when(F.col("kind") == "npm", textual.npm_lock(F.col("text")))
+    return own.select("id", F.explode(found).alias("p")).select("id", "p.name", "p.version")
+
+
+@query("p07_families", f"""WITH t AS (SELECT p_brand AS id, {picked_sql('p_partkey', ('JWT:alg', 'maven:x', 'SSH:KeyType', 'Kerberos:enctypes', 'Certificates:Serial', 'MobileTls:FileType'))} AS k FROM part WHERE p_size < 6),
+r AS (SELECT id, min(CASE WHEN starts_with(k, 'Certificates:') THEN 0 WHEN starts_with(k, 'SSH:') THEN 5 WHEN starts_with(k, 'Kerberos:') THEN 9 WHEN starts_with(k, 'JWT:') THEN 10 WHEN starts_with(k, 'MobileTls:') THEN 15 END) AS p FROM t GROUP BY id)
+SELECT id, CASE p WHEN 0 THEN 'certificate' WHEN 5 THEN 'ssh' WHEN 9 THEN 'kerberos' WHEN 10 THEN 'token' WHEN 15 THEN 'mobile' END AS family FROM r WHERE p IS NOT NULL""")
+def p07_families(spark, sf_dir):
+    from ..operators import cbom
+
+    own = table(spark, sf_dir, "part").filter("p_size < 6")
+    keys = ("JWT:alg", "maven:x", "SSH:KeyType", "Kerberos:enctypes", "Certificates:Serial", "MobileTls:FileType")
+    return cbom.families(own.select(F.col("p_brand").alias("id"), picked("p_partkey", keys).alias("key")))
+
+
+@query("o06_capped_list", "SELECT o_custkey AS id, count(*) AS revoked, array_to_string(list_sort(list(o_orderkey))[1:3], ',') AS serials, count(*) > 3 AS truncated FROM orders GROUP BY o_custkey")
+def o06_capped_list(spark, sf_dir):
+    """The first serials of a list, its whole size, and whether some are left out; the cap is the feature."""
+    own = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("s"))
+    return own.select("id", F.size("s").cast("long").alias("revoked"), F.array_join(F.slice("s", 1, 3), ",").alias("serials"), (F.size("s") > 3).alias("truncated"))
