@@ -57,7 +57,6 @@ def _unpacked(frontier: DataFrame) -> DataFrame:
                         pa.schema([("id", pa.string()), ("path", pa.string()), ("container", pa.string()), ("root", pa.string()), ("depth", pa.int32()), ("size", pa.int64()), ("mtime", pa.int64()), ("content", pa.binary())]),
                     )
 
-    frontier.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)  # whole containers
     found = frontier.select("id", "path", "root", "depth", "content").mapInArrow(run, "id string, path string, container string, root string, depth int, size long, mtime long, content binary")
     named = found.withColumn("mime", mime_types(F.col("content"), F.col("path")))
     return named.select("id", clean_path(F.col("path")).alias("path"), "container", "root", "depth", "size", "mtime", "mime", "content")
@@ -70,6 +69,16 @@ def expand(artifacts: DataFrame, blocked: DataFrame | None = None, most: int = 6
     block list (id) is neither kept nor opened (P09).  Every level is written to
     the shared folder, so a lost executor costs one level at most.
     """
+    conf, batch = artifacts.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(batch)
+    conf.set(batch, 4)  # whole containers
+    try:
+        return _expand(artifacts, blocked, most)
+    finally:
+        conf.set(batch, before)
+
+
+def _expand(artifacts: DataFrame, blocked: DataFrame | None, most: int) -> DataFrame:
     free = lambda df: df.join(blocked.select("id").distinct(), "id", "left_anti") if blocked is not None else df
     level = materialised(free(artifacts), "level")
     out, opened = level, None
