@@ -108,3 +108,11 @@ def write_documents(documents_: DataFrame, folder: str) -> None:
         with os.fdopen(part, "w") as file:
             file.write(r.document)
         os.replace(path + ".part", path)
+
+
+def related_material(extra: DataFrame) -> DataFrame:
+    """(id, type, algorithm, size, fingerprint) of key material that is no certificate."""
+    one = lambda *names: F.min(F.when(F.regexp_extract("key", "^[^:]+:(.*)$", 1).isin(*names), F.col("value")))
+    own = extra.filter(F.col("key").rlike("^(SSH|Usign|EmbeddedKey|JWK):"))
+    kind = F.when(F.bool_or((F.col("key") == "JWK:private_present") & (F.col("value") == "true")), "private-key").otherwise("public-key")
+    return own.groupBy("id").agg(kind.alias("type"), one("KeyAlgorithm", "KeyType", "key_algorithm", "kty").alias("algorithm"), one("KeySize", "key_size").alias("size"), one("KeyFingerprintSha256", "KeyFingerprint").alias("fingerprint"))

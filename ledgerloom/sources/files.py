@@ -93,3 +93,8 @@ def _expand(artifacts: DataFrame, blocked: DataFrame | None, most: int) -> DataF
         level = materialised(free(_unpacked(fresh)), "level")
         out = out.unionByName(level)
     return out
+
+
+def record_ingested(artifacts: DataFrame, folder: str) -> None:
+    """Append the paths of the top-level artifacts to a text table."""
+    artifacts.filter("depth = 0").select("path").distinct().write.mode("append").text(folder)
