@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import Remembered, bounded_batches, materialised, table
 
+PACKED = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
@@ -160,6 +162,20 @@ def places(plan: list[tuple[list[int], int]]) -> pd.DataFrame:
     return frame.astype("int64").sort_values(["length", "first"], ignore_index=True)
 
 
+def placed(pdf: pd.DataFrame, rank: np.ndarray, runs: pd.DataFrame) -> pd.DataFrame:
+    """``pdf`` with each piece's sequence_id and offset, from its rank among pieces of its length."""
+    if not len(pdf):
+        return pdf.assign(sequence_id=np.int64(0), offset=np.int64(0))
+    span = 1 + int(runs["first"].max() if len(runs) else 0) + int(runs["each"].max() if len(runs) else 0)
+    span = max(span, 1 + int(rank.max()))
+    keys = runs["length"].to_numpy() * span + runs["first"].to_numpy()
+    first, each, bins, offset = (runs[c].to_numpy() for c in ("first", "each", "bin", "offset"))
+    length = pdf["length"].to_numpy()
+    at = np.searchsorted(keys, length * span + rank, side="right") - 1
+    within = rank - first[at]
+    return pdf.assign(sequence_id=bins[at] + within // each[at], offset=offset[at] + within % each[at] * length)
+
+
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
@@ -176,24 +192,50 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> D
     ranked = pieces.join(offsets, ["part", "length"])
 
     def run(batches):
-        table_ = runs.value
-        span = 1 + int(table_["first"].max() if len(table_) else 0) + int(table_["each"].max() if len(table_) else 0)
-        keys = table_["length"].to_numpy() * span + table_["first"].to_numpy()
-        first, each, bins, offset = (table_[c].to_numpy() for c in ("first", "each", "bin", "offset"))
         for pdf in batches:
-            if len(pdf):
-                rank = np.minimum(pdf["nth"].to_numpy() + pdf["base"].to_numpy(), span - 1)
-                length = pdf["length"].to_numpy()
-                at = np.searchsorted(keys, length * span + rank, side="right") - 1
-                within = pdf["nth"].to_numpy() + pdf["base"].to_numpy() - first[at]
-                pdf["sequence_id"] = bins[at] + within // each[at]
-                pdf["offset"] = offset[at] + within % each[at] * length
-            else:
-                pdf = pdf.assign(sequence_id=np.int64(0), offset=np.int64(0))
-            yield pdf[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
-
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.mapInPandas(run, schema)
+            yield placed(pdf, pdf["nth"].to_numpy() + pdf["base"].to_numpy(), runs.value)[PACKED]
+
+    return ranked.mapInPandas(run, SCHEMA)
+
+
+def pack_along(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, window: int = 256) -> DataFrame:
+    """Like ``pack``, but sequences follow the order of ``docs``, whose partitions are ranges of it.
+
+    Windows of the order, each of ``window`` sequences' tokens, are packed one
+    by one, so sequences have the composition of their window; within a window
+    they are numbered by their first piece.
+    """
+
+    def fill(pdf: pd.DataFrame, base: int) -> pd.DataFrame:
+        plan = places(plan_bins(pdf["length"].value_counts().to_dict(), capacity))
+        out = placed(pdf, pdf.groupby("length").cumcount().to_numpy(), plan)
+        _, first, number = np.unique(out["sequence_id"].to_numpy(), return_index=True, return_inverse=True)
+        place = np.empty(len(first), np.int64)
+        place[np.argsort(first)] = np.arange(len(first))
+        return out.assign(sequence_id=base + place[number])[[*PACKED, "part"]]
+
+    def run(batches):
+        held, tokens, base = [], 0, 0
+        for pdf in batches:
+            while len(pdf):
+                ends = tokens + pdf["length"].cumsum().to_numpy()
+                cut = int(np.searchsorted(ends, window * capacity)) + 1
+                held.append(pdf.iloc[:cut])
+                tokens = int(ends[min(cut, len(pdf)) - 1])
+                pdf = pdf.iloc[cut:]
+                if tokens >= window * capacity:
+                    out = fill(pd.concat(held, ignore_index=True), base)
+                    base = int(out["sequence_id"].max()) + 1
+                    yield out
+                    held, tokens = [], 0
+        if held:
+            yield fill(pd.concat(held, ignore_index=True), base)
+
+    packed = materialised(token_pieces(docs, path, capacity, end_id).mapInPandas(run, SCHEMA + ", part int"), "packed")
+    sizes = packed.groupBy("part").agg((F.max("sequence_id") + 1).alias("n")).orderBy("part").collect()  # a row for each partition
+    bases = dict(zip((r.part for r in sizes), np.cumsum([0, *(r.n for r in sizes)]).tolist()))
+    offsets = docs.sparkSession.createDataFrame(list(bases.items()), "part int, base long")
+    return packed.join(F.broadcast(offsets), "part").withColumn("sequence_id", F.col("sequence_id") + F.col("base")).select(PACKED)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from ledgerloom.llm.packing import WordIds, op10_best_fit_packing, pack, places, plan_bins
+from ledgerloom.llm.packing import WordIds, op10_best_fit_packing, pack, pack_along, places, plan_bins
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -73,3 +73,16 @@ def test_plan_places_each_length_once(histogram):
 @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\t'sSéÉ")), max_size=40))
 def test_ids_like_the_library(text):
     assert IDS.ids(text) == np.array(LIBRARY.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_sequences_follow_the_order_of_documents(spark):
+    texts = {i: "a " * (1 + (i * 7) % 30 + 30 * (i >= 200)) for i in range(400)}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+    rows = pack_along(docs, PATH, 256, window=4).collect()
+    used, least = checked(rows, texts, 256)
+    assert sorted({r.sequence_id for r in rows}) == list(range(used)) and used <= least * 1.25
+    first, last = defaultdict(lambda: 10**9), defaultdict(int)
+    for r in rows:
+        first[r.sequence_id], last[r.sequence_id] = min(first[r.sequence_id], r.doc_id), max(last[r.sequence_id], r.doc_id)
+    assert all(last[s] < first[s + 12] for s in range(used - 12))
+    assert pack_along(docs.limit(0), PATH).count() == 0

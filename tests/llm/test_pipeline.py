@@ -1,5 +1,6 @@
 import corpus_pipeline
 from corpus_pipeline import COLUMNS, STAGES
+from ledgerloom.llm.packing import pack_along
 from ledgerloom.llm.quality import op6_quality_classifier
 from ledgerloom.llm.secret_scan import base_spans
 from ledgerloom.llm.simhash import near_duplicates
@@ -41,3 +42,16 @@ def test_stages(spark, tmp_path):
     pieces = at["packing"][1].collect()
     assert {r.doc_id for r in pieces} == rows(at["packing"][0]).keys() and all(r.offset + r.length <= 4096 for r in pieces)
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "piece", "ids_crc32").collect())) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in pieces)
+
+
+def test_sequences_follow_the_mix(spark, monkeypatch):
+    """The packing stage gets rows in any order and fills sequences along the schedule."""
+    rows = [(i, f"w{i} " * (40 if i % 2 else 400), "en", "ab"[i % 2], 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3, "text")
+    monkeypatch.setattr(corpus_pipeline, "pack_along", lambda d, path: pack_along(d, path, 2048, window=8))
+    packed = corpus_pipeline.packing(spark, docs, SF).collect()
+    half = max(r.sequence_id for r in packed) / 2
+    for source in (0, 1):
+        ids = {r.doc_id for r in packed if r.doc_id % 2 == source}
+        early = {r.doc_id for r in packed if r.doc_id % 2 == source and r.sequence_id <= half}
+        assert 0.35 < len(early) / len(ids) < 0.65
