@@ -8,17 +8,16 @@ time; each comparison gives two bits, so a frame position gives a packed 32-bit
 integer.
 
 Recordings with equal fingerprints form one class first, so copies never meet in
-pairs.  Representatives that share two packed integers ``APART`` positions from each
-other are candidates; single integers of unrelated recordings coincide ever more
-often as recordings grow in number, such pairs do not.  A pair's occurrences are
-grouped, and in each group every representative is compared with the group's
-first one alone, so a common pair gives as many comparisons as it has members.  For each pair the histogram of offsets picks the alignment, and the
-share of differing bits over the overlap, at least ``least`` positions long,
-decides.  Linked classes are joined into components.
-
-Comparing with the first member alone cannot lose a link between recordings
-that match the first; recordings that only match each other are compared through
-the other pairs of integers that they share.
+pairs.  Classes are dealt to blocks and each two blocks meet in one task, which
+compares all pairs of classes that share an integer; no integer, however common,
+makes rows or skew.  For each pair the histogram of offsets, over all
+occurrences of all shared integers, picks the alignment, and the share of
+differing bits over the overlap, at least ``least`` positions long, decides.
+Linked classes are joined into components.  A task gives the number of links of
+each class and a tree over linked classes, not the links.
+
+Pairs without any equal integer have no offset and are not alike.  The work
+grows with the square of the number of classes.
 
 Defined results: a null, unreadable, silent or too short recording has an empty
 fingerprint and is in a class of its own; repeated rows are copies of each
@@ -36,8 +35,11 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialised, table
 from .components import connected_components
+from .simhash import merge_labels
 
-FRAME, HOP, BANDS, APART = 1024, 256, 12, 2
+FRAME, HOP, BANDS = 1024, 256, 12
+#: Blocks at least, and classes and bytes of fingerprints in a block at most, about.
+BLOCKS, BLOCK, BLOCK_BYTES = 16, 4096, 16 << 20
 #: (kind, first band, bands, frames): 0 whole, 1 upper/lower halves, 2 left/right halves, 3 quarters crosswise.
 FILTERS = (
     (0, 4, 3, 15), (3, 4, 6, 15), (1, 0, 4, 16), (3, 8, 2, 12), (3, 4, 4, 8), (3, 0, 3, 5), (1, 2, 2, 9), (2, 7, 3, 4),
@@ -158,12 +160,33 @@ def aligned(a: np.ndarray, b: np.ndarray, least: int = 8) -> tuple[int, int, flo
 
 
 def keys(print_: np.ndarray) -> np.ndarray:
-    """The distinct pairs of integers APART positions from each other; a shorter fingerprint's first and last."""
-    apart = min(APART, len(print_) - 1)
+    """The distinct pairs of integers two positions from each other; a shorter fingerprint's first and last."""
+    apart = min(2, len(print_) - 1)
     wide = print_.astype(np.uint64)
     return np.unique(wide[: len(wide) - apart] << np.uint64(32) | wide[apart:])
 
 
+def sharing(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """All pairs of places in a and b whose fingerprints share an integer."""
+    flat = lambda sets: (np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+    (x, row), (y, column) = (flat([np.unique(s) for s in sets]) for sets in (a, b))
+    order = np.argsort(y, kind="stable")
+    y, column = y[order], column[order]
+    first, past = np.searchsorted(y, x, "left"), np.searchsorted(y, x, "right")
+    met = np.zeros((len(a), len(b)), bool)
+    some = np.flatnonzero(past > first)
+    n = (past - first)[some]
+    for at in np.split(np.arange(len(some)), np.flatnonzero(np.diff(n.cumsum() // 4_000_000)) + 1):
+        own = n[at]
+        met[np.repeat(row[some[at]], own), column[np.repeat(first[some[at]] - own.cumsum() + own, own) + np.arange(own.sum())]] = True
+    return np.argwhere(met)
+
+
+def is_match(a: np.ndarray, b: np.ndarray, least: int, error: float) -> bool:
+    _, size, wrong = aligned(a, b, least)
+    return size > 0 and wrong <= error
+
+
 def fingerprints(media: DataFrame, key: str, content: str) -> DataFrame:
     """id, frames, and fingerprint (its integers as bytes) of every row."""
 
@@ -192,28 +215,30 @@ def match(media: DataFrame, key: str = "id", content: str = "audio", least: int
     marked = marked.withColumn("same", same)
     classes = materialised(marked.groupBy("same").agg(F.min("id").alias("class_id"), F.first("fingerprint").alias("fingerprint")).filter("class_id is not null"), "classes")
 
-    def integers(batches):
-        for batch in batches:
-            sets = [keys(np.frombuffer(b, "<u4")) for b in batch.column(1).to_pylist()]
-            n = np.array([len(s) for s in sets])
-            packed = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(packed)], ["class_id", "packed"])
-
-    long = classes.filter("length(fingerprint) > 0").select("class_id", "fingerprint").mapInArrow(integers, "class_id long, packed long")
-    first = long.groupBy("packed").agg(F.min("class_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    pairs = long.join(first.select("packed", "a"), "packed").filter("class_id > a").select("a", F.col("class_id").alias("b")).distinct()
-    own = classes.select(F.col("class_id").alias("a"), F.col("fingerprint").alias("x"))
-    both = pairs.join(own, "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
-
-    def compared(batches):
-        for batch in batches:
-            found = [aligned(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), least) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            keep = pa.array([size > 0 and wrong <= error for _, size, wrong in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(keep)
-
-    links = materialised(both.mapInArrow(compared, "u long, v long"), "links")
-    degree = links.select(F.explode(F.array("u", "v")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    component = connected_components(links).toDF("class_id", "component_id")
+    size = classes.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("fingerprint")), F.lit(0)).alias("bytes")).first()
+    blocks = max(BLOCKS, -(-size.n // BLOCK), -(-size.bytes // BLOCK_BYTES))
+    own = classes.filter("length(fingerprint) > 0").select("class_id", "fingerprint", F.pmod(F.xxhash64("class_id"), F.lit(blocks)).alias("block"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "fingerprint")
+
+    def compared(t: pa.Table) -> pa.Table:
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        ids, prints, block = t["class_id"].to_numpy(), [np.frombuffer(b, "<u4") for b in t["fingerprint"].to_pylist()], t["block"].to_numpy()
+        here, there = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found = np.zeros((0, 2), np.int64)
+        if len(here) and len(there):
+            pairs = sharing([prints[x] for x in here], [prints[x] for x in there])
+            pairs = np.column_stack([here[pairs[:, 0]], there[pairs[:, 1]]])
+            if i == j:
+                pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+            found = pairs[[is_match(prints[x], prints[y], least, error) for x, y in pairs.tolist()]] if len(pairs) else pairs
+        degree = np.bincount(found.ravel(), minlength=len(ids))
+        label = merge_labels(np.arange(len(ids)), found[:, 0], found[:, 1])
+        some, child = np.flatnonzero(degree), np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"u": np.r_[ids[some], ids[child]], "v": np.r_[ids[some], ids[label[child]]], "n": np.r_[degree[some], np.zeros(len(child), np.int64)]})
+
+    links = materialised(met.groupBy("i", "j").applyInArrow(compared, "u long, v long, n long"), "links")
+    degree = links.filter("u = v").groupBy(F.col("u").alias("class_id")).agg(F.sum("n").alias("n_links"))
+    component = connected_components(links.filter("u <> v").select("u", "v")).toDF("class_id", "component_id")
     known = classes.select("same", "class_id").join(degree, "class_id", "left").join(component, "class_id", "left")
     out = marked.join(known, "same", "left")
     return out.select("id", "frames", "fingerprint", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -63,3 +63,25 @@ def test_whole_table(spark):
 def test_keys():
     assert media.keys(np.zeros(0, np.uint32)).tolist() == [] and media.keys(np.array([5], np.uint32)).tolist() == [5 << 32 | 5]
     assert media.keys(np.array([1, 2, 3, 1, 2, 3], np.uint32)).tolist() == sorted({1 << 32 | 3, 2 << 32 | 1, 3 << 32 | 2})
+
+
+def test_all_links_count(spark):
+    """n_links and components against all pairs, for copies that match each other but not all the same first one."""
+    rng, rows = np.random.default_rng(9), []
+    for i in range(36):
+        x = melody(20 + i % 4)[media.HOP * int(rng.integers(0, 40)) :]
+        rows.append((i, wave(x + rng.normal(size=len(x)).astype(np.float32) * (0.01, 0.05, 0.15)[i % 3], 8000)))
+    prints = [fingerprint(chroma(*samples_of(w))) for _, w in rows]
+    links = [(a, b) for a in range(36) for b in range(a) if (got := aligned(prints[a], prints[b]))[1] and got[2] <= 0.12]
+    want = [sum(i in link for link in links) for i in range(36)]
+    got = {r.id: r for r in match(spark.createDataFrame(rows, "id long, audio binary")).collect()}
+    assert max(want) > 2 and [got[i].n_links for i in range(36)] == want
+    assert all(got[a].component_id == got[b].component_id for a, b in links)
+
+
+def test_single_shared_integers_are_compared():
+    """Recordings with one equal integer and small errors elsewhere are candidates and match."""
+    a = np.random.default_rng(1).integers(0, 2**32, 60).astype(np.uint32)
+    b = a ^ np.uint32(1)
+    b[30] ^= 1
+    assert media.sharing([a], [b, a + np.uint32(2)]).tolist()[0] == [0, 0] and aligned(a, b)[:2] == (0, 60)
