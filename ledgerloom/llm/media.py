@@ -142,14 +142,25 @@ def aligned(a: np.ndarray, b: np.ndarray, least: int = 8) -> tuple[int, int, flo
     """Offset of b in a, positions of overlap, and the share of differing bits there; (0, 0, 1) if they share nothing."""
     order = np.argsort(a, kind="stable")
     first, past = np.searchsorted(a[order], b, "left"), np.searchsorted(a[order], b, "right")
-    n = np.minimum(past - first, 64)  # a long steady sound says little about the offset
+    n = past - first
     if not n.sum():
         return 0, 0, 1.0
-    at_b = np.repeat(np.arange(len(b)), n)
-    at_a = order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
-    offsets, votes = np.unique(at_a - at_b, return_counts=True)
+    votes = np.zeros(len(a) + len(b) - 1, np.int64)
+    ends = n.cumsum()
+    start = 0
+    while start < len(b):  # some millions of occurrences at once
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] - n[start] + 4_000_000, "right")))
+        some = n[start:stop]
+        at_a = order[np.repeat(first[start:stop] - np.cumsum(some) + some, some) + np.arange(some.sum())]
+        votes += np.bincount(at_a - np.repeat(np.arange(start, min(stop, len(b))), some) + len(b) - 1, minlength=len(votes))
+        start = stop
+    offsets = np.flatnonzero(votes)
+    votes = votes[offsets]
+    offsets -= len(b) - 1
+    picked = np.lexsort((np.abs(offsets), -votes))
+    picked = picked[votes[picked] >= votes[picked][:3][-1]]  # the three best and those equal to the third
     best = 0, 0, 1.0
-    for offset in offsets[np.lexsort((np.abs(offsets), -votes))[:3]].tolist():
+    for offset in offsets[picked].tolist():
         x, y = a[max(0, offset) :], b[max(0, -offset) :]
         size = min(len(x), len(y))
         if size >= min(least, len(a), len(b)):

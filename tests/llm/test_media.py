@@ -85,3 +85,10 @@ def test_single_shared_integers_are_compared():
     b = a ^ np.uint32(1)
     b[30] ^= 1
     assert media.sharing([a], [b, a + np.uint32(2)]).tolist()[0] == [0, 0] and aligned(a, b)[:2] == (0, 60)
+
+
+def test_steady_sounds_count_whole():
+    steady, rng = np.full(300, 7, np.uint32), np.random.default_rng(2)
+    a = np.concatenate([rng.integers(0, 2**32, 100).astype(np.uint32), steady])
+    b = np.concatenate([a[90:100], steady])
+    assert aligned(a, b)[:2] == (90, 310)
