@@ -11,8 +11,9 @@ they hold, how much of it is link text, and whether it is the same everywhere.
 Wrappers are folded per partition, then per host in two steps, so a host with
 a third of all pages is never one task.  A host's wrapper gives the path of its
 main part: the article or main element with most text, else the innermost node
-with most text outside menus and the like; text outside an article that every
-page repeats is left out.  Pages without that path are their own host.
+with most text outside menus and the like; text outside an article that all
+pages repeat, of three or more different contents, is left out, but for headings
+and a page's only text.  Pages without that path are their own host.
 
 Defined results: null or empty html gives an empty text; a url without host
 goes by ""; repeated rows are extracted one by one; an empty table gives no
@@ -26,6 +27,7 @@ import json
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,20 +121,35 @@ def parse(page: str) -> Node:
 
 
 # A wrapper node is a list: kind, apart, optional, repeated, pages, characters,
-# link characters, the slot's text if it is always the same, children.
-KIND, AWAY, OPTIONAL, REPEATED, PAGES, CHARS, LINKS, SAME, BELOW = range(9)
+# link characters, the slot's text if it is always the same, children, and for
+# such a slot digests of up to DISTINCT different contents of pages that have it.
+KIND, AWAY, OPTIONAL, REPEATED, PAGES, CHARS, LINKS, SAME, BELOW, SEEN = range(10)
+DISTINCT = 3
 
 
-def wrapper_of(node: Node, in_link: bool = False) -> list:
+def content_of(node: Node) -> int:
+    """A digest of the text outside what stands apart."""
+    texts, todo = [], [node]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            texts += n.split()
+        elif not n.apart:
+            todo += n.children[::-1]
+    return xxhash.xxh32_intdigest(" ".join(texts).encode("utf-8", "replace"))
+
+
+def wrapper_of(node: Node, in_link: bool = False, content: int | None = None) -> list:
     """The wrapper that fits one page's node."""
+    content = content_of(node) if content is None else content
     in_link = in_link or node.tag == "a"
     text = " ".join(" ".join(c for c in node.children if isinstance(c, str)).split())
     below: list = []
     for c in node.children:
         if isinstance(c, Node):
-            _append(below, wrapper_of(c, in_link))
+            _append(below, wrapper_of(c, in_link, content))
     n = len(text)
-    return [node.kind, node.apart, False, False, 1, n, n * in_link, text if n <= 200 else None, _folded(below)]
+    return [node.kind, node.apart, False, False, 1, n, n * in_link, text if n <= 200 else None, _folded(below), [content] if 0 < n <= 200 else []]
 
 
 def _append(below: list, child: list) -> None:
@@ -147,7 +164,7 @@ def _joined(a: list, b: list, beside: bool) -> list:
     """Two nodes of one kind as one; beside: both stand in one page."""
     return [
         a[KIND], a[AWAY], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED] or beside, max(a[PAGES], b[PAGES]) if beside else a[PAGES] + b[PAGES],
-        a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], a[SAME] if a[SAME] == b[SAME] else None, align(a[BELOW], b[BELOW], beside),
+        a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], a[SAME] if a[SAME] == b[SAME] else None, align(a[BELOW], b[BELOW], beside), sorted({*a[SEEN], *b[SEEN]})[:DISTINCT] if a[SAME] and a[SAME] == b[SAME] else [],
     ]
 
 
@@ -234,7 +251,8 @@ def rule(wrapper: list) -> list:
         if own[REPEATED] and own[PAGES] == 1:
             break
         node, path = own, [*path, own[KIND]]
-    same = [c[KIND] for c in node[BELOW] if c[SAME] and not c[REPEATED] and c[PAGES] >= 3 and c[PAGES] == node[PAGES] and not c[BELOW]]
+    fixed = [c for c in node[BELOW] if c[SAME] and not c[REPEATED] and len(c[SEEN]) >= DISTINCT and c[PAGES] == node[PAGES] and not c[BELOW]]
+    same = [c[KIND] for c in fixed if not re.fullmatch("h[1-6]", c[KIND].partition(".")[0])]
     return [path, same]
 
 
@@ -291,7 +309,7 @@ def main_text(page: str | None, known: list | None) -> str:
     if not nodes:
         known = rule(wrapper_of(root))
         nodes = found(root, known[0])
-    return text_of(nodes, known[1])
+    return text_of(nodes, known[1]) or text_of(nodes)
 
 
 def host_of(url: str):

@@ -90,3 +90,15 @@ def test_hard_pages():
         assert isinstance(main_text(page, [["html", "body"], []]), str)
     long = "<article><p>" + "word &amp; " * 200000 + "</p></article>"
     assert main_text(long, None) == html.unescape("word &amp; " * 200000).strip()
+
+
+def test_copies_do_not_make_boilerplate(spark):
+    """Fixed slots need different contents around them; headings and a page's only text stay."""
+    copy = "<body><div><h1>T</h1><p>short text</p></div></body>"
+    recipe = "<body><div><h1>Recipe</h1><p>%s</p><div>All rights reserved</div></div></body>"
+    rows = [(i, "http://copies/", copy) for i in range(4)] + [(10 + i, "http://recipes/", recipe % (f"Stir {i} times " * 20)) for i in range(4)]
+    rows += [(20 + i, "http://two/", recipe % (f"Stir {i % 2} times " * 20)) for i in range(6)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "T\nshort text" for i in range(4))
+    assert all(got[10 + i] == "Recipe\n" + (f"Stir {i} times " * 20).strip() for i in range(4))
+    assert all(got[20 + i].endswith("All rights reserved") for i in range(6))
