@@ -1,28 +1,33 @@
 """A small causal self-attention model over subword ids, in numpy.
 
-One head attends over a window of ``WINDOW`` ids.  The next id is found in
-three steps of ``WAYS`` choices each, so its probability is a product of three
-small softmaxes instead of one over the whole vocabulary.  Ids are numbered by
-frequency; those beyond the first ``HEAD`` share the last class of the first
-step, in which each has a fixed, smoothed share.  The corpus's counts of an id
-behind each of the ``BEHIND`` most frequent ids, smoothed by the counts of ids,
-are fixed log terms of all steps; attention learns what they leave unexplained.
-An untrained model gives exactly that distribution.
+``HEADS`` heads attend over a window of ``WINDOW`` ids, by content and by a
+learned preference for each distance.  What the heads see and the last id pass
+through one hidden layer.  The next id is found in three steps of ``WAYS``
+choices each, so its probability is a product of three small softmaxes instead
+of one over the whole vocabulary.  Ids are numbered by frequency; those beyond
+the first ``HEAD`` share the last class of the first step, in which each has a
+fixed, smoothed share.  The corpus's counts of an id behind each of the
+``BEHIND`` most frequent ids, smoothed by the counts of ids, are where training
+starts: an untrained model gives exactly that distribution.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-WAYS, WIDTH, WINDOW, OVERLAP, SHARED, BEHIND = 16, 16, 32, 8, 256, 1024
+WAYS, WIDTH, WINDOW, OVERLAP, SHARED, BEHIND = 16, 16, 16, 4, 256, 1024
+HEADS, KEY, VALUE, HIDDEN = 2, 4, 8, 32
 HEAD = WAYS**3 - WAYS**2
+QK = HEADS * KEY
+BOTH = WIDTH + HEADS * VALUE
 SHAPES = {
-    "embed": (HEAD + SHARED, WIDTH), "place": (WINDOW, WIDTH), "qkv": (WIDTH, 3 * WIDTH),
-    "a": (2 * WIDTH, WAYS), "b": (2 * WIDTH, WAYS), "c": (2 * WIDTH, WAYS),
+    "embed": (HEAD + SHARED, WIDTH), "qkv": (WIDTH, 2 * QK + HEADS * VALUE), "near": (HEADS, WINDOW),
+    "mix": (BOTH, HIDDEN), "shift": (HIDDEN,), "out": (HIDDEN, 3 * WAYS),
 }
-CELLS = WAYS**3
-MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
-ONES, COLUMN = np.ones(WAYS, np.float32), np.ones(WINDOW, np.float32)
+CELLS, MOST = WAYS**3, 60
+AGO = np.subtract.outer(np.arange(WINDOW), np.arange(WINDOW))  # how far place j is before place i
+MASK = np.where(AGO < 0, np.float32(-1e9), np.float32(0))
+BACK = np.maximum(AGO, 0)
 
 
 class Frequencies:
@@ -52,7 +57,10 @@ class Frequencies:
 def start() -> dict[str, np.ndarray]:
     """A model before training, which leaves the fixed terms as they are."""
     rng = np.random.default_rng(7)
-    return {k: (rng.normal(size=s) * (0 if k in "abc" else 0.1)).astype(np.float32) for k, s in SHAPES.items()}
+    size = {"embed": 0.3, "qkv": WIDTH**-0.5, "near": 0.0, "mix": BOTH**-0.5, "shift": 0.0, "out": 0.0}
+    model = {k: (rng.normal(size=s) * size[k]).astype(np.float32) for k, s in SHAPES.items()}
+    model["near"][0] -= 0.5 * np.arange(WINDOW)  # one head begins with what is close, the other with all
+    return model
 
 
 def flat(model: dict[str, np.ndarray]) -> np.ndarray:
@@ -106,18 +114,26 @@ class Batches:
 
 
 def attend(model, inputs):
-    """Place vectors, queries, keys, values, attention before scaling, its sums, and what is seen at each place."""
-    x = model["embed"].take(inputs.ravel(), axis=0).reshape(*inputs.shape, WIDTH)
-    x += model["place"]
-    qkv = (x.reshape(-1, WIDTH) @ model["qkv"]).reshape(*inputs.shape, 3 * WIDTH)
-    q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
-    weight = q @ k.transpose(0, 2, 1)
-    np.minimum(weight, 30, out=weight)
-    weight += MASK
-    np.exp(weight, out=weight)
-    sums = (weight.reshape(-1, WINDOW) @ COLUMN).reshape(*inputs.shape, 1)
-    sums += 1e-30
-    return x, q, k, v, weight, sums, weight @ v / sums
+    """Place vectors, what is seen at each place, and of each head: queries, keys, values, attention and what it sees.
+
+    Scores stop at ``MOST``, so that no exponential overflows; attention is zero from behind.
+    """
+    x = model["embed"].take(inputs.ravel(), axis=0)
+    qkv = (x @ model["qkv"]).reshape(*inputs.shape, -1)
+    near, ones = model["near"][:, BACK] + MASK, np.ones(WINDOW, x.dtype)
+    heads = []
+    for h in range(HEADS):
+        q, k = (np.ascontiguousarray(qkv[..., a : a + KEY]) for a in (h * KEY, QK + h * KEY))
+        v = np.ascontiguousarray(qkv[..., 2 * QK + h * VALUE : 2 * QK + (h + 1) * VALUE])
+        q *= np.asarray(KEY**-0.5, q.dtype)
+        weight = q @ k.transpose(0, 2, 1)
+        weight += near[h]
+        np.minimum(weight, MOST, out=weight)
+        stopped = weight == MOST if weight.max() >= MOST else None
+        np.exp(weight, out=weight)
+        weight /= (weight.reshape(-1, WINDOW) @ ones).reshape(*inputs.shape, 1)
+        heads.append((q, k, v, weight, stopped, weight @ v))
+    return x, np.concatenate([h[-1] for h in heads], -1).reshape(-1, HEADS * VALUE), heads
 
 
 def steps(behind, targets):
@@ -132,78 +148,105 @@ def steps(behind, targets):
     return (("a", behind, a), ("b", within, b), ("c", within * WAYS + b, c)), tail
 
 
+def logits_of(model, frequencies: Frequencies, x, seen, scored, three):
+    """What the hidden layer gets and gives at the scored places, and the logits [places, 3, WAYS]."""
+    both = np.concatenate((x.take(scored, axis=0), seen.take(scored, axis=0)), 1)
+    hidden = both @ model["mix"]
+    hidden += model["shift"]
+    np.maximum(hidden, 0, out=hidden)
+    logits = (hidden @ model["out"]).reshape(-1, 3, WAYS)
+    for i, (name, at, _) in enumerate(three):
+        logits[:, i] += frequencies.terms[name].take(at, axis=0)
+    return both, hidden, logits
+
+
 def log_probability(model, frequencies: Frequencies, inputs, scored, behind, targets) -> np.ndarray:
     """Natural log probability of each target."""
-    x, *_, seen = attend(model, inputs)
-    at = np.flatnonzero(scored)
-    hidden = np.empty((len(at), 2 * WIDTH), np.float32)
-    np.maximum(x.reshape(-1, WIDTH).take(at, axis=0), 0, out=hidden[:, :WIDTH])
-    np.maximum(seen.reshape(-1, WIDTH).take(at, axis=0), 0, out=hidden[:, WIDTH:])
+    scored = np.flatnonzero(scored)
+    x, seen, _ = attend(model, inputs)
     three, tail = steps(behind, targets)
-    rows = np.arange(len(targets)) * WAYS
-    each = []
-    for name, at, choice in three:
-        logits = hidden @ model[name]
-        logits += frequencies.terms[name].take(at, axis=0)
-        picked = logits.ravel().take(rows + choice)
-        np.exp(logits, out=logits)
-        each.append(picked - np.log(logits @ ONES))
-    return each[0] + np.where(tail, frequencies.tail[targets], each[1] + each[2])
+    _, _, logits = logits_of(model, frequencies, x, seen, scored, three)
+    rows, flat_ = np.arange(len(targets)) * (3 * WAYS), logits.ravel()
+    picked = [flat_.take(rows + i * WAYS + choice) for i, (_, _, choice) in enumerate(three)]
+    np.exp(logits, out=logits)  # the terms are logs of probabilities, and what is added to them is small
+    each = np.log(logits.reshape(-1, WAYS) @ np.ones(WAYS, logits.dtype)).reshape(-1, 3)
+    return picked[0] - each[:, 0] + np.where(tail, frequencies.tail[targets], picked[1] - each[:, 1] + picked[2] - each[:, 2])
 
 
 def gradient(model, frequencies: Frequencies, inputs, scored, behind, targets) -> dict[str, np.ndarray]:
     """Gradient of the mean negative log probability."""
-    x, q, k, v, weight, sums, seen = attend(model, inputs)
-    weight = weight / sums
-    both = np.concatenate((x, seen), 2).reshape(-1, 2 * WIDTH)
-    hidden = np.maximum(both[scored], 0)
+    scored = np.flatnonzero(scored)
+    x, seen, heads = attend(model, inputs)
     three, tail = steps(behind, targets)
-    n, rows, out = max(1, len(targets)), np.arange(len(targets)), {}
-    d_hidden = np.zeros_like(hidden)
-    for name, at, choice in three:
-        logits = hidden @ model[name] + frequencies.terms[name].take(at, axis=0)
-        d = np.exp(logits - logits.max(1, keepdims=True))
-        d /= d.sum(1, keepdims=True)
-        d[rows, choice] -= 1
-        if name != "a":
-            d[tail] = 0
-        d /= n
-        out[name] = hidden.T @ d
-        d_hidden += d @ model[name].T
-    d_both = np.zeros_like(both)
-    d_both[scored] = d_hidden * (hidden > 0)
-    d_both = d_both.reshape(*inputs.shape, 2 * WIDTH)
-    dx, d_seen = d_both[..., :WIDTH].copy(), d_both[..., WIDTH:]
-    d_weight = d_seen @ v.transpose(0, 2, 1)
-    d_score = weight * (d_weight - (d_weight * weight).sum(-1, keepdims=True))
-    d_qkv = np.concatenate((d_score @ k, d_score.transpose(0, 2, 1) @ q, weight.transpose(0, 2, 1) @ d_seen), 2)
-    out["qkv"] = x.reshape(-1, WIDTH).T @ d_qkv.reshape(-1, 3 * WIDTH)
+    both, hidden, d = logits_of(model, frequencies, x, seen, scored, three)
+    n, out = max(1, len(targets)), {}
+    np.exp(d, out=d)
+    d /= (d.reshape(-1, WAYS) @ np.ones(WAYS, d.dtype)).reshape(-1, 3, 1)
+    flat_, rows = d.ravel(), np.arange(len(targets)) * (3 * WAYS)
+    for i, (_, _, choice) in enumerate(three):
+        flat_[rows + i * WAYS + choice] -= 1
+    d[tail, 1:] = 0
+    d = d.reshape(-1, 3 * WAYS)
+    d *= np.asarray(1 / n, d.dtype)
+    out["out"] = hidden.T @ d
+    d_hidden = d @ model["out"].T
+    d_hidden *= hidden > 0
+    out["mix"], out["shift"] = both.T @ d_hidden, d_hidden.sum(0)
+    d_both = d_hidden @ model["mix"].T
+    dx, d_seen = np.zeros_like(x), np.zeros_like(seen)
+    dx[scored], d_seen[scored] = d_both[:, :WIDTH], d_both[:, WIDTH:]
+    d_seen = d_seen.reshape(*inputs.shape, -1)
+    d_qkv = np.empty((*inputs.shape, 2 * QK + HEADS * VALUE), x.dtype)
+    out["near"] = np.zeros_like(model["near"])
+    ones = np.ones(VALUE, x.dtype)
+    for h, (q, k, v, weight, stopped, own) in enumerate(heads):
+        ds = np.ascontiguousarray(d_seen[..., h * VALUE : (h + 1) * VALUE])
+        d_qkv[..., 2 * QK + h * VALUE : 2 * QK + (h + 1) * VALUE] = weight.transpose(0, 2, 1) @ ds
+        d_score = ds @ v.transpose(0, 2, 1)
+        d_score -= ((ds * own).reshape(-1, VALUE) @ ones).reshape(*inputs.shape, 1)
+        d_score *= weight
+        if stopped is not None:
+            d_score[stopped] = 0
+        out["near"][h] = np.bincount(BACK.ravel(), d_score.sum(0).ravel(), WINDOW)
+        d_qkv[..., h * KEY : (h + 1) * KEY] = d_score @ k
+        d_qkv[..., QK + h * KEY : QK + (h + 1) * KEY] = d_score.transpose(0, 2, 1) @ q
+    for h in range(HEADS):
+        d_qkv[..., h * KEY : (h + 1) * KEY] *= np.asarray(KEY**-0.5, d_qkv.dtype)
+    d_qkv = d_qkv.reshape(-1, d_qkv.shape[-1])
+    out["qkv"] = x.T @ d_qkv
     dx += d_qkv @ model["qkv"].T
-    out["place"] = dx.sum(0)
-    out["embed"] = _added(inputs.ravel(), dx.reshape(-1, WIDTH), len(model["embed"]))
+    out["embed"] = _added(inputs.ravel(), dx, len(model["embed"]))
     return out
 
 
 def _added(index, rows, n):
     """Sums of ``rows`` by ``index``."""
-    total = np.zeros((n, rows.shape[1]), np.float32)
-    np.add.at(total, index, rows)
+    order = np.argsort(index.astype(np.uint16), kind="stable")
+    index = index[order]
+    first = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
+    total = np.zeros((n, rows.shape[1]), rows.dtype)
+    total[index[first]] = np.add.reduceat(rows[order], first, axis=0)
     return total
 
 
-def train(model: dict, frequencies: Frequencies, batches: Batches, least_steps: int, size: int = 64, rate: float = 4e-3, seed: int = 0) -> dict:
-    """The model after Adam steps over all windows, again and again until ``least_steps`` are done."""
-    rng, order = np.random.default_rng(seed), np.arange(len(batches.text))
-    model = {k: v.copy() for k, v in model.items()}
-    m1 = {k: np.zeros_like(v) for k, v in model.items()}
-    m2 = {k: np.zeros_like(v) for k, v in model.items()}
-    done = 0
-    while len(order) and (done == 0 or done < least_steps):
-        rng.shuffle(order)
-        for at in range(0, len(order), size):
-            done += 1
-            for k, g in gradient(model, frequencies, *batches.of(order[at : at + size])[:-1]).items():
-                m1[k] += 0.1 * (g - m1[k])
-                m2[k] += 0.01 * (g * g - m2[k])
-                model[k] -= rate * (m1[k] / (1 - 0.9**done)) / (np.sqrt(m2[k] / (1 - 0.99**done)) + 1e-6)
-    return model
+class Trainer:
+    """Adam steps over windows, from one batch of texts to the next."""
+
+    def __init__(self, vector: np.ndarray, frequencies: Frequencies, rate: float = 4e-3, size: int = 192, seed: int = 0):
+        self.vector, self.frequencies, self.rate, self.size = vector.copy(), frequencies, rate, size
+        self.model = shaped(self.vector)  # views of the vector
+        self.m1, self.m2 = np.zeros_like(vector), np.zeros_like(vector)
+        self.done, self.rng = 0, np.random.default_rng(seed)
+
+    def over(self, batches: Batches) -> None:
+        """One pass over all windows, in random order."""
+        order = self.rng.permutation(len(batches.text))
+        for at in range(0, len(order), self.size):
+            self.done += 1
+            g = flat(gradient(self.model, self.frequencies, *batches.of(order[at : at + self.size])[:-1]))
+            self.m1 += np.float32(0.1) * (g - self.m1)
+            g *= g
+            self.m2 += np.float32(0.01) * (g - self.m2)
+            step = np.sqrt(self.m2 / np.float32(1 - 0.99**self.done))
+            step += np.float32(1e-6)
+            self.vector -= np.float32(self.rate / (1 - 0.9**self.done)) * self.m1 / step

@@ -15,10 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches of whole texts small: at most ``rows`` rows go to Python at once."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def bounded_batches(spark: SparkSession, rows: int = 512, size: int = 16 << 20) -> None:
+    """Keep Arrow batches of whole texts small: at most ``rows`` rows, and about ``size`` bytes, go to Python at once.
+
+    The two settings stay in the session, as batches are cut when a result is computed.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}")
+        if not now.isdigit() or int(now) > most:  # the default of bytes has a unit
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
 
 
 def text_or_empty(column: str = "text"):

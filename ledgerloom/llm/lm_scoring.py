@@ -1,50 +1,53 @@
 """Log probabilities of whole texts: a word-frequency base and a causal self-attention model.
 
-Counts come from all training texts.  Texts are dealt by a hash of their doc_id
-to blocks of about ``block_bytes``.  A block sends each distinct word once, so
-what is shuffled grows with distinct words per block and not with tokens; a
-word's count goes back to the blocks that hold it.  No table of all words is
-ever collected or broadcast.
-
-Each distinct word is split once into subword ids.  Their counts over the
-training texts, and counts of which id follows which, set the model's fixed
-terms; the vocabulary bounds both tables.  The model is then trained in ``rounds``: each partition of the
-training excerpts goes on from the same weights, and the weights are averaged by
-a two-step sum.  The excerpts are one stretch of ``STRETCH`` words out of every
-``every`` of each training text, so they grow with the corpus; ``every`` is the
-share of stochastic gradient steps, while all counts cover all tokens.
-
-Every text is scored over windows of 32 ids that overlap by 8, each id once,
-with at least the 8 ids before it in view, or all there are.
+The texts of each input partition form blocks of about ``block_bytes``.  One
+pass turns a block into one row: its distinct words with their subword ids and
+numbers in training texts, and each text as places in that list.  All else
+reads these rows.  Counts of words over all training texts are summed by word
+and joined back, so what is shuffled grows with distinct words per block and
+not with tokens; no table of all words is ever collected or broadcast.
+
+Counts of subword ids, and of which id follows which, over all training texts
+are where the model starts; the vocabulary bounds both tables.  It is then
+trained on all training texts, in rounds: each partition of a round's blocks
+takes Adam steps from the same weights over every window, and the weights are
+averaged by a two-step sum.  A corpus of fewer than ``least_ids`` ids is passed
+over more than once.
+
+Every text is scored over windows of 16 ids that overlap by 4, each id once,
+with at least the 4 ids before it in view, or all there are.
 
 Defined results: null texts are empty; an empty text scores its end token;
 repeated rows are scored one by one; an empty table gives no rows; a null
-doc_id counts as the text "" for the split; extra columns are ignored.
+doc_id counts as the text "" for the split; a text longer than a block is a
+block of its own; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import zlib
-from collections import Counter
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attention
-from .common import Remembered, bounded_batches, materialised, table, text_or_empty
+from .common import bounded_batches, materialised, table, text_or_empty
 
 END = b""  # the token behind each text; no word is empty
-STRETCH, CHUNK = 64, 8192
+CHUNK, PIECE = 8192, 1 << 19
 LN10 = np.log(10)
+BLOCK = "block long, round int, doc_ids array<long>, held array<boolean>, sizes binary, places binary, words binary, counts binary, ids binary, n_ids binary"
 
 
 @functools.lru_cache(maxsize=2)
 def subwords(path: str):
-    """Encodes one word, with a space before it, to uint16 ids; the id behind the last is the end."""
+    """Encodes one word, with a space before it, to uint16 ids; and the id of the end, behind the last."""
     import public_tokenizers
     import tiktoken
 
@@ -53,220 +56,233 @@ def subwords(path: str):
     if len(ranks) >= 1 << 16:
         raise ValueError("the vocabulary must have fewer than 65,536 entries")
     model = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    end = np.array([len(ranks)], "<u2").tobytes()
-    encode = lambda w: np.array(model.encode_ordinary(" " + w.decode()), "<u2").tobytes() if w else end
-    return Remembered(encode, 1_000_000), len(ranks)
+    encode = lambda w: model.encode_ordinary(" " + w.decode()) if w else [len(ranks)]
+    return encode, len(ranks)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def block_words(table_: pa.Table) -> pa.Table:
-    """The distinct words of one block, with their number in its training texts."""
-    counts: Counter = Counter()
-    for text, held in zip(table_["text"].to_pylist(), table_["held_out"].to_pylist(), strict=True):
+class Block:
+    """Texts as places in the list of their distinct words, the end first."""
+
+    def __init__(self):
+        self.doc_ids, self.held, self.places, self.bytes = [], [], [], 0
+        self.index: defaultdict = defaultdict(itertools.count().__next__)
+        self.index[END]
+
+    def add(self, doc_id: int | None, held: bool, text: str) -> None:
         words = words_of(text) + [END]
-        counts.update(dict.fromkeys(words, 0) if held else words)
-    block = pa.array(np.full(len(counts), table_["block"][0].as_py()), pa.int64())
-    return pa.table([block, pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["block", "word", "n"])
+        self.places.append(np.fromiter(map(self.index.__getitem__, words), np.int32, len(words)))
+        self.doc_ids.append(doc_id)
+        self.held.append(held)
+        self.bytes += len(text)
+
+    def row(self, number: int, rounds: int, encode) -> pa.RecordBatch:
+        ids = list(map(encode, self.index))
+        training = [p for p, held in zip(self.places, self.held, strict=True) if not held]
+        counts = np.bincount(np.concatenate([np.zeros(0, np.int32), *training]), minlength=len(ids))
+        sizes = np.fromiter(map(len, self.places), np.int64, len(self.places))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint16)
+        n_ids = np.fromiter(map(len, ids), np.int32, len(ids))
+        binary = [x.tobytes() for x in (sizes, np.concatenate(self.places))] + [b" ".join(self.index)] + [x.tobytes() for x in (counts, flat, n_ids)]
+        columns = [pa.array([number]), pa.array([number % rounds], pa.int32()), pa.array([self.doc_ids], pa.list_(pa.int64())), pa.array([self.held], pa.list_(pa.bool_())), *(pa.array([x], pa.binary()) for x in binary)]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in BLOCK.split(", ")])
+
+
+def blocks_of(docs: DataFrame, path: str, block_bytes: int, rounds: int) -> DataFrame:
+    """One row for each block of texts; docs has doc_id, text and held_out."""
+
+    def run(batches):
+        from pyspark import TaskContext
 
+        encode, block, n = subwords(path)[0], Block(), TaskContext.get().partitionId() << 24
+        for batch in batches:
+            for doc_id, text, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block.bytes and block.bytes + len(text) > block_bytes:
+                    yield block.row(n, rounds, encode)
+                    block, n = Block(), n + 1
+                block.add(doc_id, held, text)
+        if block.doc_ids:
+            yield block.row(n, rounds, encode)
+
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, BLOCK)
 
-def vocabulary(blocked: DataFrame, path: str) -> DataFrame:
-    """block, word, c, first, ids: each block's words with their counts in all training texts."""
-    local = blocked.groupBy("block").applyInArrow(block_words, "block long, word binary, n long")
-    same = Window.partitionBy("word")
-    counted = local.select("block", "word", F.sum("n").over(same).alias("c"), (F.min("block").over(same) == F.col("block")).alias("first"))
+
+def block_words(blocks: DataFrame) -> DataFrame:
+    """block, place, word and n, its number in the block's training texts, of each block's distinct words."""
 
     def run(batches):
-        encode = subwords(path)[0]
         for batch in batches:
-            ids = pa.array(map(encode.__getitem__, batch.column(1).to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
+            for block, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, counts = words.split(b" "), np.frombuffer(counts, np.int64)
+                for at in range(0, len(words), 50_000):
+                    n = len(words[at : at + 50_000])
+                    columns = [pa.array(np.full(n, block)), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(words[at : at + n], pa.binary()), pa.array(counts[at : at + n])]
+                    yield pa.RecordBatch.from_arrays(columns, ["block", "place", "word", "n"])
 
-    return materialised(counted.mapInArrow(run, "block long, word binary, c long, first boolean, ids binary"), "vocabulary")
+    return blocks.select("block", "words", "counts").mapInArrow(run, "block long, place int, word binary, n long")
 
 
-def subword_counts(words: DataFrame, path: str) -> np.ndarray:
+def subword_counts(blocks: DataFrame, size: int) -> np.ndarray:
     """Occurrences of each subword id, the end's last, in all training texts."""
-    size = subwords(path)[1] + 1
 
     def run(batches):
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size)
         for batch in batches:
-            ids = batch.column(1)
-            lengths = np.diff(np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]) // 2
-            joined = np.frombuffer(b"".join(ids.to_pylist()), "<u2")
-            total += np.bincount(joined, weights=np.repeat(batch.column(0).to_numpy(), lengths), minlength=size).astype(np.int64)
+            for counts, ids, n_ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total += np.bincount(np.frombuffer(ids, np.uint16), np.repeat(np.frombuffer(counts, np.int64), np.frombuffer(n_ids, np.int32)), size)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["id", "n"])
 
     counts = np.zeros(size, np.int64)
-    for r in words.filter("first and c > 0").select("c", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in blocks.select("counts", "ids", "n_ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n  # one row for each entry of the vocabulary at most
     return counts
 
 
-def pair_counts(docs: DataFrame, frequencies: attention.Frequencies, path: str) -> np.ndarray:
+class Texts:
+    """The texts of a block as ranks of subword ids, end to end."""
+
+    def __init__(self, row: dict, rank: np.ndarray, only_training: bool = False):
+        self.places, sizes = np.frombuffer(row["places"], np.int32), np.frombuffer(row["sizes"], np.int64)
+        if only_training:
+            training = ~np.array(row["held"], bool)
+            self.places, sizes = self.places[np.repeat(training, sizes)], sizes[training]
+        self.sizes, self.first = sizes, np.cumsum(sizes) - sizes
+        self.n_ids = np.frombuffer(row["n_ids"], np.int32).astype(np.int64)
+        self.starts = np.cumsum(self.n_ids) - self.n_ids
+        self.ranks = rank[np.frombuffer(row["ids"], np.uint16)]
+
+    def pieces(self):
+        """(first text, past the last, ranks end to end, ids of each text), about ``PIECE`` ids at once."""
+        n = self.n_ids[self.places]
+        lengths = np.add.reduceat(n, self.first) if len(self.first) else n[:0]
+        group = np.cumsum(lengths) // PIECE
+        for at in np.split(np.arange(len(lengths)), np.flatnonzero(np.diff(group)) + 1):
+            if len(at):
+                lo, hi = self.first[at[0]], self.first[at[-1]] + self.sizes[at[-1]]
+                own, m = self.places[lo:hi], n[lo:hi]
+                yield at[0], at[-1] + 1, self.ranks[np.repeat(self.starts[own] - np.cumsum(m) + m, m) + np.arange(m.sum())], lengths[at]
+
+
+def pair_counts(blocks: DataFrame, frequencies: attention.Frequencies, end: int) -> np.ndarray:
     """How often each cell of the model's steps stands behind each id, in all training texts."""
-    rank = docs.sparkSession.sparkContext.broadcast(frequencies.rank)
+    rank = blocks.sparkSession.sparkContext.broadcast(frequencies.rank)
     shape = attention.BEHIND, attention.CELLS
 
     def run(batches):
-        (encode, end), ranks = subwords(path), rank.value
         total = np.zeros(shape[0] * shape[1], np.int64)
-        behind, cell = np.minimum(ranks, shape[0] - 1) * shape[1], np.minimum(ranks, attention.HEAD)
         for batch in batches:
-            # One end between two texts: both the last id's successor and the first id's predecessor.
-            texts = [b"".join(map(encode.__getitem__, [*words_of(text), END])) for text in batch.column(0).to_pylist()]
-            ids = np.frombuffer(b"".join([encode[END], *texts]), "<u2")
-            for at in range(0, len(ids) - 1, 1 << 20):
-                total += np.bincount(behind[ids[at : at + (1 << 20)][: len(ids) - 1 - at]] + cell[ids[at + 1 : at + 1 + (1 << 20)]], minlength=len(total))
+            for row in batch.to_pylist():
+                for _, _, ranks, _ in Texts(row, rank.value, True).pieces():
+                    # One end between two texts: both the last id's successor and the first id's predecessor.
+                    behind = np.r_[rank.value[end], ranks[:-1]]
+                    total += np.bincount(np.minimum(behind, shape[0] - 1) * shape[1] + np.minimum(ranks, attention.HEAD), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
     # At most BEHIND * CELLS rows, whatever the corpus.
-    found = docs.filter("not held_out").select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = blocks.select("held", "sizes", "places", "ids", "n_ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(shape[0] * shape[1])
     total[found["cell"].to_numpy()] = found["n"].to_numpy()
     return total.reshape(shape)
 
 
-def excerpts(docs: DataFrame, every: int, rounds: int) -> DataFrame:
-    """Stretches of the training texts: one out of each ``every``, dealt to the rounds."""
-
-    def run(batches):
-        for batch in batches:
-            found = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                first = -zlib.crc32(str(doc_id).encode()) % every
-                for k in range(first, len(words) // STRETCH + 1, every):
-                    cut = words[k * STRETCH : (k + 1) * STRETCH]
-                    found.append((zlib.crc32(b"%d %d" % (k, doc_id or 0)), b" ".join(cut), len(cut) < STRETCH))
-            columns = list(zip(*found, strict=True)) or [[]] * 3
-            lane = np.array(columns[0], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(lane % rounds), pa.array(lane), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.bool_())], ["round", "lane", "words", "ends"])
-
-    return docs.filter("not held_out").select("doc_id", "text").mapInArrow(run, "round long, lane long, words binary, ends boolean")
-
-
 def averaged(parts: DataFrame) -> np.ndarray:
-    """The mean of weight vectors, cut in chunks and summed in two steps."""
+    """The mean of weight vectors, cut in chunks and summed in two steps, always in the same order."""
 
     def summed(t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")
         weight = np.array(t["weight"].to_pylist())
         total = sum(w * np.frombuffer(v, np.float32).astype(float) for w, v in zip(weight, t["vector"].to_pylist(), strict=True))
         mean = (total / weight.sum()).astype(np.float32).tobytes()
-        return pa.table({"chunk": [t["chunk"][0].as_py()], "lane": [0], "weight": [float(weight.sum())], "vector": [mean]})
+        return pa.table({"chunk": [t["chunk"][0].as_py()], "lane": [0], "part": [t["part"][0].as_py()], "weight": [float(weight.sum())], "vector": [mean]})
 
-    kind = "chunk long, lane long, weight double, vector binary"
+    kind = "chunk long, lane long, part long, weight double, vector binary"
     some = parts.groupBy("chunk", "lane").applyInArrow(summed, kind)
     rows = some.groupBy("chunk").applyInArrow(summed, kind).collect()
     return np.frombuffer(b"".join(r.vector for r in sorted(rows, key=lambda r: r.chunk)), np.float32)
 
 
-def trained(data: DataFrame, frequencies: attention.Frequencies, path: str, rounds: int, partitions: int, least_steps: int) -> dict:
-    """The model after all rounds."""
-    model = attention.start()
-    spark = data.sparkSession
-    for k in range(rounds):
-        now = spark.sparkContext.broadcast((attention.flat(model), frequencies))
+def trained(blocks: DataFrame, frequencies: attention.Frequencies, end: int, rounds: int, passes: int, lanes: int) -> np.ndarray:
+    """The model's weights after all rounds: every window of every training text takes part in ``passes`` steps."""
+    vector = attention.flat(attention.start())
+    spark = blocks.sparkSession
+    for k in range(rounds * passes):
+        now = spark.sparkContext.broadcast((vector, frequencies))
 
         def run(batches):
-            vector, known = now.value
-            encode, end = subwords(path)
-            stretches, lane = [], 0
+            before, known = now.value
+            trainer, weight, part = attention.Trainer(before, known), 0, None
             for batch in batches:
-                for text, ends in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    stretches.append(known.rank[np.frombuffer(b"".join(map(encode.__getitem__, text.split() + [END] * ends)), "<u2")])
-                lane = int(batch.column(0)[0].as_py()) if batch.num_rows else lane
-            stretches = [s for s in stretches if len(s)]
-            if stretches:
-                lengths = np.array([len(s) for s in stretches])
-                batches_ = attention.Batches(np.concatenate(stretches), lengths, int(known.rank[end]))
-                vector = attention.flat(attention.train(attention.shaped(vector), known, batches_, least_steps))
-                cuts = [vector[i : i + CHUNK].tobytes() for i in range(0, len(vector), CHUNK)]
+                for row in batch.to_pylist():
+                    part = row["block"] if part is None else part
+                    for _, _, ranks, lengths in Texts(row, known.rank, True).pieces():
+                        trainer.over(attention.Batches(ranks, lengths, int(known.rank[end])))
+                        weight += len(ranks)
+            if weight:
+                cuts = [trainer.vector[i : i + CHUNK].tobytes() for i in range(0, len(before), CHUNK)]
                 n = len(cuts)
-                yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([lane % 64] * n, pa.int64()), pa.array([float(lengths.sum())] * n), pa.array(cuts, pa.binary())], ["chunk", "lane", "weight", "vector"])
-
-        own = data.filter(F.col("round") == k).select("lane", "words", "ends").repartition(partitions, "lane")
-        vector = averaged(own.mapInArrow(run, "chunk long, lane long, weight double, vector binary"))
-        model = attention.shaped(vector) if len(vector) else model
-    return model
-
-
-class Scorer:
-    """Scores the texts of one block."""
-
-    def __init__(self, words: pa.Table, vector: np.ndarray, frequencies: attention.Frequencies, total: int, distinct: int):
-        ids = words["ids"].to_pylist()
-        self.index = dict(zip(words["word"].to_pylist(), range(len(ids)), strict=True))
-        self.count = words["c"].to_numpy()
-        self.base = np.log10((self.count + 1) / (total + distinct + 1))
-        self.lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.ranks = frequencies.rank[np.frombuffer(b"".join(ids), "<u2")]
-        self.begin = int(self.ranks[self.starts[self.index[END]]]) if ids else 0
-        self.model, self.frequencies = attention.shaped(vector), frequencies
-
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-        """n_tokens, n_known, base_score and score of each text."""
-        words = [np.fromiter(map(self.index.__getitem__, [*words_of(t), END]), np.int64) for t in texts]
-        sizes = np.array([len(w) for w in words])
-        at, starts = np.concatenate(words), np.cumsum(sizes) - sizes
-        base, known = np.add.reduceat(self.base[at], starts), np.add.reduceat((self.count[at] > 0).astype(np.int64), starts)
-        n = self.lengths[at]
-        targets = self.ranks[np.repeat(self.starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        batches = attention.Batches(targets, np.add.reduceat(n, starts), self.begin)
-        total = np.zeros(len(texts))
-        for k in range(0, len(batches.text), 256):
-            *what, text = batches.of(np.arange(k, min(k + 256, len(batches.text))))
-            total += np.bincount(text, attention.log_probability(self.model, self.frequencies, *what), len(texts))
-        return sizes, known, base, total / LN10
-
-
-def score_texts(docs: DataFrame, path: str, block_bytes: int = 8 << 20, every: int = 16, rounds: int = 4, least_steps: int = 60) -> DataFrame:
+                columns = [pa.array(range(n), pa.int64()), pa.array([zlib.crc32(b"%d" % part) % lanes] * n, pa.int64()), pa.array([part] * n, pa.int64()), pa.array([float(weight)] * n), pa.array(cuts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "lane", "part", "weight", "vector"])
+
+        own = blocks.filter(F.col("round") == k % rounds).select("block", "held", "sizes", "places", "ids", "n_ids")
+        found = averaged(own.mapInArrow(run, "chunk long, lane long, part long, weight double, vector binary"))
+        vector = found if len(found) else vector
+        now.unpersist()
+    return vector
+
+
+def score_texts(docs: DataFrame, path: str, block_bytes: int = 8 << 20, rounds: int = 4, least_ids: int = 20_000_000, trains: bool = True) -> DataFrame:
     """Scores of every row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A row trains the model unless crc32 of its doc_id as text leaves 2 modulo 7.
+    ``trains=False`` scores by the model before training.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 2000)
+    bounded_batches(spark)
+    end = subwords(path)[1]
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 7 == 2
     docs = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), held.alias("held_out"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + size // block_bytes
-    blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    words = vocabulary(blocked, path)
-    total, distinct = words.filter("first and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequencies = attention.Frequencies(subword_counts(words, path))
-    frequencies.set_pairs(pair_counts(docs, frequencies, path))
-    data = materialised(excerpts(docs, every, rounds), "excerpts")
-    model = trained(data, frequencies, path, rounds, 1 + size // every // rounds // (1 << 19), least_steps)
-    known = spark.sparkContext.broadcast((attention.flat(model), frequencies))
-
-    def run(key, texts: pa.Table, own: pa.Table) -> pa.Table:
-        if not texts.num_rows:
-            return pa.table([[]] * 7, schema=result)
-        scorer = Scorer(own, *known.value, total, distinct)
-        whole, columns = texts["text"].to_pylist(), []
-        size, group = 0, []
-        for t in [*whole, None]:
-            if group and (t is None or size + len(t) > 1 << 20):
-                columns.append(scorer.score(group))
-                size, group = 0, []
-            if t is not None:
-                group.append(t)
-                size += len(t)
-        n_tokens, n_known, base, score = (np.concatenate(c) for c in zip(*columns, strict=True))
-        train = pa.array(np.full(len(whole), total), pa.int64())
-        return pa.table([texts["doc_id"], texts["held_out"], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), train, pa.array(base), pa.array(score)], schema=result)
-
-    fields = (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))
+    blocks = materialised(blocks_of(docs, path, min(block_bytes, (64 << 10) + size // 64), rounds), "blocks")
+    words = block_words(blocks)
+    counts = materialised(words.groupBy("word").agg(F.sum("n").alias("c")), "counts")
+    total, distinct = counts.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    frequencies = attention.Frequencies(subword_counts(blocks, end + 1))
+    frequencies.set_pairs(pair_counts(blocks, frequencies, end))
+    n_ids = int(frequencies.sorted.sum()) - len(frequencies.sorted)
+    n_blocks = blocks.count()
+    passes = max(1, min(6, least_ids // max(1, n_ids))) if trains else 0
+    vector = trained(blocks, frequencies, end, rounds, passes, 1 + int(n_blocks**0.5))
+    known = spark.sparkContext.broadcast((vector, frequencies))
+
+    def run(key, own: pa.Table, counted: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return pa.table([[]] * len(result), schema=result)
+        (row,), (after, frequencies) = own.to_pylist(), known.value
+        texts, begin = Texts(row, frequencies.rank), int(frequencies.rank[end])
+        count = np.zeros(len(texts.n_ids), np.int64)
+        count[counted["place"].to_numpy()] = counted["c"].to_numpy()
+        base = np.add.reduceat(np.log10((count + 1) / (total + distinct + 1))[texts.places], texts.first)
+        n_known = np.add.reduceat((count > 0).astype(np.int64)[texts.places], texts.first)
+        score, model = np.zeros(len(base)), attention.shaped(after)
+        for first, past, ranks, lengths in texts.pieces():
+            batches = attention.Batches(ranks, lengths, begin)
+            for k in range(0, len(batches.text), 256):
+                *what, text = batches.of(np.arange(k, min(k + 256, len(batches.text))))
+                score[first:past] += np.bincount(text, attention.log_probability(model, frequencies, *what), past - first)
+        train = np.full(len(base), total, np.int64)
+        return pa.table([pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), *map(pa.array, (texts.sizes, n_known, train, base, score / LN10))], schema=result)
+
+    fields = ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())
     result = pa.schema(fields)
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocked.groupBy("block").cogroup(words.select("block", "word", "c", "ids").groupBy("block")).applyInArrow(run, kind)
+    counted = words.join(counts, "word").select("block", "place", "c")
+    texts = blocks.select("block", "doc_ids", "held", "sizes", "places", "ids", "n_ids")
+    return texts.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(run, kind)
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

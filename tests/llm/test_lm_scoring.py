@@ -65,7 +65,7 @@ def test_probabilities_sum_to_one():
     m, frequencies = model(4500)
     inputs = np.tile(attention.inputs_of(np.arange(attention.WINDOW) * 37), (1, 1))
     scored = np.zeros(attention.WINDOW, bool)
-    scored[20] = True
+    scored[attention.WINDOW - 4] = True
     total = sum(np.exp(attention.log_probability(m, frequencies, inputs, scored, np.array([5]), np.array([t])))[0] for t in range(4500))
     assert total == pytest.approx(1, abs=5e-3)
 
@@ -110,3 +110,49 @@ def test_gradient():
         down = loss()
         m[k][i] += 1e-4
         assert (up - down) / 2e-4 == pytest.approx(g[k][i], rel=0.05, abs=1e-5), k
+
+
+def test_no_place_sees_what_comes_later():
+    m, frequencies = model()
+    rng, half = np.random.default_rng(4), attention.WINDOW // 2
+    b = attention.Batches(rng.integers(0, 5000, 300), np.array([300]), 1)
+    inputs, scored, behind, wanted, _ = b.of(np.arange(len(b.text)))
+    before = attention.log_probability(m, frequencies, inputs, scored, behind, wanted)
+    changed = inputs.copy()
+    changed[:, half:] = 5
+    after = attention.log_probability(m, frequencies, changed, scored, behind, wanted)
+    early = np.tile(np.arange(attention.WINDOW) < half, len(inputs))[scored]
+    assert np.allclose(before[early], after[early], atol=1e-5) and not np.allclose(before[~early], after[~early], atol=1e-3)
+
+
+def test_clipped_scores_have_no_gradient():
+    m, frequencies = model(5000, 3)
+    m["qkv"] *= 40
+    b = attention.Batches(np.random.default_rng(1).integers(0, 5000, 60), np.array([60]), 1)
+    what = b.of(np.arange(len(b.text)))[:-1]
+    assert any(h[4] is not None for h in attention.attend(m, what[0])[2])
+    assert all(np.isfinite(g).all() for g in attention.gradient(m, frequencies, *what).values())
+    assert np.isfinite(attention.log_probability(m, frequencies, *what)).all()
+
+
+@pytest.mark.parametrize(("sf", "margin"), [("sf0.01", 0.03), ("sf0.1", 0.05)])
+def test_training_beats_the_start(spark, sf, margin):
+    """Held-out texts: the trained model against the fixed terms it starts from, and on the larger table against the base."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    sums = lambda trains: score_texts(docs, PATH, trains=trains).filter("held_out").groupBy().sum("score", "base_score").first()
+    (start, base), (score, _) = sums(False), sums(True)
+    assert 0 > score > (1 - margin) * start
+    assert sf == "sf0.01" or score > base
+
+
+def test_every_training_text_is_stepped_over(spark):
+    """Texts far apart in a corpus of many blocks all reach the model: none is a sample's leftover."""
+    from ledgerloom.llm.lm_scoring import Texts, blocks_of
+
+    docs = spark.createDataFrame([(i, f"w{i} " * (i % 7), i % 3 == 0) for i in range(300)], "doc_id long, text string, held_out boolean")
+    rows = blocks_of(docs, PATH, 200, 4).collect()
+    assert {r.round for r in rows} == {0, 1, 2, 3}
+    rank = np.arange(60000, dtype=np.int32)
+    for only in (False, True):
+        texts = [n for r in rows for _, _, ranks, lengths in Texts(r.asDict(), rank, only).pieces() for n in lengths if lengths.sum() == len(ranks)]
+        assert len(texts) == (200 if only else 300)
