@@ -206,15 +206,15 @@ def averaged(parts: DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(r.vector for r in sorted(rows, key=lambda r: r.chunk)), np.float32)
 
 
-def trained(blocks: DataFrame, frequencies: attention.Frequencies, end: int, rounds: int, passes: int, lanes: int) -> np.ndarray:
+def trained(blocks: DataFrame, shared, end: int, rounds: int, passes: int, lanes: int) -> np.ndarray:
     """The model's weights after all rounds: every window of every training text takes part in ``passes`` steps."""
     vector = attention.flat(attention.start())
     spark = blocks.sparkSession
     for k in range(rounds * passes):
-        now = spark.sparkContext.broadcast((vector, frequencies))
+        now = spark.sparkContext.broadcast(vector)
 
         def run(batches):
-            before, known = now.value
+            before, known = now.value, shared.value
             trainer, weight, part = attention.Trainer(before, known), 0, None
             for batch in batches:
                 for row in batch.to_pylist():
@@ -231,7 +231,7 @@ def trained(blocks: DataFrame, frequencies: attention.Frequencies, end: int, rou
         own = blocks.filter(F.col("round") == k % rounds).select("block", "held", "sizes", "places", "ids", "n_ids")
         found = averaged(own.mapInArrow(run, "chunk long, lane long, part long, weight double, vector binary"))
         vector = found if len(found) else vector
-        now.unpersist()
+        now.destroy()
     return vector
 
 
@@ -256,19 +256,20 @@ def score_texts(docs: DataFrame, path: str, block_bytes: int = 8 << 20, rounds:
     n_ids = int(frequencies.sorted.sum()) - len(frequencies.sorted)
     n_blocks = blocks.count()
     passes = max(1, min(6, least_ids // max(1, n_ids))) if trains else 0
-    vector = trained(blocks, frequencies, end, rounds, passes, 1 + int(n_blocks**0.5))
-    known = spark.sparkContext.broadcast((vector, frequencies))
+    shared = spark.sparkContext.broadcast(frequencies)  # tables that the vocabulary bounds, about 20 MB
+    vector = trained(blocks, shared, end, rounds, passes, 1 + int(n_blocks**0.5))
+    known = spark.sparkContext.broadcast(vector)
 
     def run(key, own: pa.Table, counted: pa.Table) -> pa.Table:
         if not own.num_rows:
             return pa.table([[]] * len(result), schema=result)
-        (row,), (after, frequencies) = own.to_pylist(), known.value
+        (row,), frequencies = own.to_pylist(), shared.value
         texts, begin = Texts(row, frequencies.rank), int(frequencies.rank[end])
         count = np.zeros(len(texts.n_ids), np.int64)
         count[counted["place"].to_numpy()] = counted["c"].to_numpy()
         base = np.add.reduceat(np.log10((count + 1) / (total + distinct + 1))[texts.places], texts.first)
         n_known = np.add.reduceat((count > 0).astype(np.int64)[texts.places], texts.first)
-        score, model = np.zeros(len(base)), attention.shaped(after)
+        score, model = np.zeros(len(base)), attention.shaped(known.value)
         for first, past, ranks, lengths in texts.pieces():
             batches = attention.Batches(ranks, lengths, begin)
             for k in range(0, len(batches.text), 256):
