@@ -42,7 +42,7 @@ from .common import bounded_batches, materialised, table, text_or_empty
 END = b""  # the token behind each text; no word is empty
 CHUNK, PIECE = 8192, 1 << 19
 LN10 = np.log(10)
-BLOCK = "block long, round int, doc_ids array<long>, held array<boolean>, sizes binary, places binary, words binary, counts binary, ids binary, n_ids binary"
+BLOCK = "block long, round int, doc_ids array<long>, held array<boolean>, sizes binary, low binary, high binary, words binary, counts binary, ids binary, n_ids binary"
 
 
 @functools.lru_cache(maxsize=2)
@@ -86,7 +86,8 @@ class Block:
         sizes = np.fromiter(map(len, self.places), np.int64, len(self.places))
         flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint16)
         n_ids = np.fromiter(map(len, ids), np.int32, len(ids))
-        binary = [x.tobytes() for x in (sizes, np.concatenate(self.places))] + [b" ".join(self.index)] + [x.tobytes() for x in (counts, flat, n_ids)]
+        places = np.concatenate(self.places)  # the high bytes are nearly all alike, and so compress well
+        binary = [x.tobytes() for x in (sizes, (places & 0xFFFF).astype(np.uint16), (places >> 16).astype(np.uint16))] + [b" ".join(self.index)] + [x.tobytes() for x in (counts, flat, n_ids)]
         columns = [pa.array([number]), pa.array([number % rounds], pa.int32()), pa.array([self.doc_ids], pa.list_(pa.int64())), pa.array([self.held], pa.list_(pa.bool_())), *(pa.array([x], pa.binary()) for x in binary)]
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in BLOCK.split(", ")])
 
@@ -146,7 +147,7 @@ class Texts:
     """The texts of a block as ranks of subword ids, end to end."""
 
     def __init__(self, row: dict, rank: np.ndarray, only_training: bool = False):
-        self.places, sizes = np.frombuffer(row["places"], np.int32), np.frombuffer(row["sizes"], np.int64)
+        self.places, sizes = np.frombuffer(row["low"], np.uint16) | np.frombuffer(row["high"], np.uint16).astype(np.int32) << 16, np.frombuffer(row["sizes"], np.int64)
         if only_training:
             training = ~np.array(row["held"], bool)
             self.places, sizes = self.places[np.repeat(training, sizes)], sizes[training]
@@ -184,7 +185,7 @@ def pair_counts(blocks: DataFrame, frequencies: attention.Frequencies, end: int)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
     # At most BEHIND * CELLS rows, whatever the corpus.
-    found = blocks.select("held", "sizes", "places", "ids", "n_ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = blocks.select("held", "sizes", "low", "high", "ids", "n_ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(shape[0] * shape[1])
     total[found["cell"].to_numpy()] = found["n"].to_numpy()
     return total.reshape(shape)
@@ -228,7 +229,7 @@ def trained(blocks: DataFrame, shared, end: int, rounds: int, passes: int, lanes
                 columns = [pa.array(range(n), pa.int64()), pa.array([zlib.crc32(b"%d" % part) % lanes] * n, pa.int64()), pa.array([part] * n, pa.int64()), pa.array([float(weight)] * n), pa.array(cuts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["chunk", "lane", "part", "weight", "vector"])
 
-        own = blocks.filter(F.col("round") == k % rounds).select("block", "held", "sizes", "places", "ids", "n_ids")
+        own = blocks.filter(F.col("round") == k % rounds).select("block", "held", "sizes", "low", "high", "ids", "n_ids")
         found = averaged(own.mapInArrow(run, "chunk long, lane long, part long, weight double, vector binary"))
         vector = found if len(found) else vector
         now.destroy()
@@ -282,7 +283,7 @@ def score_texts(docs: DataFrame, path: str, block_bytes: int = 8 << 20, rounds:
     result = pa.schema(fields)
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     counted = words.join(counts, "word").select("block", "place", "c")
-    texts = blocks.select("block", "doc_ids", "held", "sizes", "places", "ids", "n_ids")
+    texts = blocks.select("block", "doc_ids", "held", "sizes", "low", "high", "ids", "n_ids")
     return texts.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(run, kind)
 
 
