@@ -1,12 +1,14 @@
 """Secret scans: fixed patterns, and formats learned from what they find.
 
 The patterns label credentials (``assign`` values, ``access`` keys, ``hex``
-runs).  From at most ``examples`` distinct ones of each kind, those with the
-smallest hashes of the whole table, a probabilistic automaton of the kind's
+runs).  From at most ``examples`` distinct ones of each kind, of ``characters``
+characters altogether, those with the smallest hashes of the whole table, a probabilistic automaton of the kind's
 format is inferred.  Every run of 16 or more credential characters that no
 pattern covers is then a candidate.  It is a ``format`` span if some automaton
-finds it as likely, per character, as the least likely hundredth of its own
-examples, and likelier than the frequencies of characters in all candidates do.
+finds it, its end included, as likely per symbol as automata from one half of
+the kind's examples find all but the least likely hundredth of the other half;
+and likelier than which character follows which in all other distinct
+candidates makes it.
 
 Spans are of whole pattern matches, in code points, end exclusive.
 
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .automata import Automaton
+from .automata import SYMBOLS, Automaton
 from .common import bounded_batches, materialised, table
 
 KINDS = ("assign", "access", "hex", "format")
@@ -64,26 +66,41 @@ def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[i
     return found
 
 
+START = "^"  # before a candidate's first character
+LITTLE = 0.1
+
+
+def steps_of(text: str) -> Counter:
+    """How often each character follows each other in a candidate, its start and end included."""
+    return Counter(zip(START + text, text + START, strict=True))
+
+
 class Formats:
     """Automata of the kinds, the least score of each, and the background."""
 
-    def __init__(self, labelled: dict[str, list[str]], characters: Counter):
-        self.total = sum(characters.values()) + 66
-        self.characters = characters
+    def __init__(self, labelled: dict[str, list[str]], steps: Counter):
+        self.steps, self.before = steps, Counter()
+        for (a, _), n in steps.items():
+            self.before[a] += n
         self.kinds = []
         for values in (labelled[k] for k in sorted(labelled)):
             if len(values) >= 8:
-                automaton = Automaton(values)
-                scores = sorted(map(automaton.score, values))
-                self.kinds.append((automaton, scores[len(scores) // 100] - 0.1))
+                halves = values[::2], values[1::2]
+                scores = sorted(s for one, other in (halves, halves[::-1]) for s in map(Automaton(one).score, other))
+                self.kinds.append((Automaton(values), scores[len(scores) // 100] - 0.1))
 
     def usual(self, text: str) -> float:
-        """Mean log2 frequency of the characters among candidates."""
-        return sum(log2((self.characters.get(c, 0) + 1) / self.total) for c in text) / len(text)
+        """Mean log2 probability of the steps as other candidates have them."""
+        own, before, total = steps_of(text), Counter(START + text), 0.0
+        for (a, b), n in own.items():
+            here, there = max(0, self.steps[a, b] - n), max(0, self.before[a] - before[a])
+            total += n * log2((here + LITTLE) / (there + LITTLE * SYMBOLS))
+        return total / (len(text) + 1)
 
     def match(self, text: str) -> bool:
-        usual = self.usual(text)
-        return any((score := automaton.score(text)) >= least and score > usual for automaton, least in self.kinds)
+        scores = [(automaton.score(text), least) for automaton, least in self.kinds]
+        scores = [score for score, least in scores if score >= least]
+        return bool(scores) and max(scores) > self.usual(text)
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -106,28 +123,34 @@ def scanned(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def learned(scans: DataFrame, examples: int = 300) -> Formats:
+def learned(scans: DataFrame, examples: int = 300, characters: int = 100_000) -> Formats:
     """Formats of the table's labelled credentials.
 
-    The driver gets ``examples`` values of each kind and one count for each
-    character, whatever the table's size.
+    The driver gets ``examples`` values of each kind, none longer than
+    ``characters``, and one count for each two characters, whatever the table's
+    size.  In the order of their hashes, those that fit into ``characters``
+    altogether are examples.
     """
     labelled: dict[str, list[str]] = {}
-    values = scans.select(F.explode("base").alias("b")).select("b.kind", "b.value").filter("length(value) <= 256")
+    values = scans.select(F.explode("base").alias("b")).select("b.kind", "b.value")
     for kind in range(3):
         own = values.filter(F.col("kind") == kind).groupBy("value").agg(F.first(F.xxhash64("value")).alias("h"))
-        labelled[KINDS[kind]] = [r.value for r in own.orderBy("h", "value").limit(examples).collect()]
+        left, labelled[KINDS[kind]] = characters, []
+        for r in own.filter(F.length("value") <= characters).orderBy("h", "value").limit(examples).collect():
+            if len(r.value) <= left:
+                labelled[KINDS[kind]].append(r.value)
+                left -= len(r.value)
 
     def count(batches):
         total: Counter = Counter()
         for batch in batches:
-            for found in batch.column(0).to_pylist():
-                for c in found or ():
-                    total.update(c["value"])
-        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["c", "n"])
+            for value in batch.column(0).to_pylist():
+                total.update(steps_of(value))
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in total], pa.string()), pa.array([b for _, b in total], pa.string()), pa.array(total.values(), pa.int64())], ["a", "b", "n"])
 
-    rows = scans.select("candidates").mapInArrow(count, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()
-    return Formats(labelled, Counter({r.c: r.n for r in rows}))
+    distinct = scans.select(F.explode("candidates.value").alias("value")).distinct()
+    rows = distinct.mapInArrow(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+    return Formats(labelled, Counter({(r.a, r.b): r.n for r in rows}))
 
 
 def joined(spans) -> str:

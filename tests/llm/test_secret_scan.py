@@ -75,3 +75,29 @@ def test_automaton_keeps_prefixes_and_merges_the_rest():
     assert sum(sum(t.values()) + e for t, e in zip(a.taken, a.end)) == sum(a.seen)
     other = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20))
     assert a.score(secrets(5, 9)[1][0]) > a.score(other) + 2
+
+
+def test_automata_know_lengths_and_prefixes():
+    hexes, keys, rng = secrets(11)
+    fixed = Automaton(hexes)
+    assert len(fixed.step) == 41 and fixed.end[-1] == 11 and sum(fixed.end) == 11
+    assert fixed.score(hexes[0]) > fixed.score(hexes[0][:30]) and fixed.score(hexes[0]) > fixed.score(hexes[0] * 2)
+    free = Automaton(["ab" * n for n in range(1, 60)])
+    assert len(free.step) < 12 and free.score("ab" * 300) > free.score("ba" * 300) + 1
+    mixed = Automaton([f"sk_{h[:12]}" for h in secrets(80)[0]] + secrets(80)[1])
+    assert mixed.score("sk_" + hexes[0][:12]) > mixed.score("AKI" + hexes[0][:12]) and len(mixed.step) > 20
+    long = Automaton([*hexes, "x" * 50_000])
+    assert len(long.step) < 200
+
+
+def test_planted_credentials_are_told_from_card_numbers(spark):
+    """Unlabelled hex credentials of other lengths against card numbers and words, among the credentials of a whole table."""
+    rng = random.Random(5)
+    planted = {i: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((20, 24, 28, 31)))) for i in range(100)}
+    cards = {1000 + i: "4" + "".join(rng.choice("0123456789") for _ in range(15)) for i in range(100)}
+    rows = [(-1 - i, f"see {v} there", "x", "y", 1) for i, v in (planted | cards).items()]
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    got = find_secrets(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, a string, b string, c int").select("doc_id", "text"))).filter("n_format > 0").collect()
+    found = {-1 - r.doc_id for r in got}
+    assert len(found & planted.keys()) >= 90 and not found & cards.keys()
+    assert sum(r.doc_id >= 0 for r in got) <= 3  # the table has no unlabelled credentials
