@@ -6,21 +6,28 @@ ceil((k + 1) / w).  In each slot the released block with the earliest deadline
 is served, so that after t slots a source has been served less than one block
 more or less than t * w times.
 
-Weights are whole parts of ``parts``, so the schedule repeats after that many
-slots; one period is made on the driver, whatever the corpus, and a block's slot
-follows from its number by arithmetic.  When a source ends, the others' weights
-are scaled up and a new phase begins, so no document is dropped or repeated.
-Numbers of documents within a source come from a range partitioning by source
-and doc_id, with per-partition counts, so a hot source is never one task.
+Weights are taken exactly: numbers by their decimal digits, or fractions.  Over
+their common denominator they are whole parts, and the schedule repeats after
+as many slots as there are parts; one period, or the slots until a source ends
+if these are fewer, is made on the driver, whatever the corpus, and a block's
+slot follows from its number by arithmetic.  When a source ends, the others'
+weights are scaled up and a new phase begins, so no document is dropped or
+repeated.  Sources of weight 0 share the slots, in equal parts, when all others
+have ended.  Numbers of documents within a source come from a range
+partitioning by source and doc_id, with per-partition counts, so a hot source
+is never one task.
 
 Defined results: a null source counts as ""; rows that share source and doc_id
 count as one document and stay together; a null doc_id comes first; an empty
-table gives no rows; more than ``max_sources`` sources raise a ValueError.
+table gives no rows; a negative weight is an error, and so are weights whose
+schedule has more than ``most`` slots to keep, which the caller has to round.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -59,28 +66,68 @@ def period(parts: dict[str, int]) -> dict[str, list[int]]:
     return slots
 
 
-def phases(parts: dict[str, int], blocks: dict[str, int]) -> list[dict]:
+def exact_parts(weights: dict) -> dict[str, int]:
+    """Weights over their common denominator, without a common factor."""
+    exact = {s: w if isinstance(w, Fraction) else Fraction(str(w)) for s, w in weights.items()}
+    if min(exact.values(), default=0) < 0:
+        raise ValueError("a weight is negative")
+    whole = math.lcm(*(w.denominator for w in exact.values()))
+    parts = {s: int(w * whole) for s, w in exact.items()}
+    common = math.gcd(*parts.values()) or 1
+    return {s: n // common for s, n in parts.items()}
+
+
+def served(parts: dict[str, int], blocks: dict[str, int]) -> dict[str, np.ndarray]:
+    """The slots of each source in one period, or until the first source has ended, by earliest deadline first."""
+    total, slots, left = sum(parts.values()), {s: [] for s in parts}, dict(blocks)
+    releases = [(0, s, 0) for s in sorted(parts)]
+    ready: list[tuple[int, str, int]] = []
+    for slot in range(total):
+        while releases and releases[0][0] <= slot:
+            _, s, k = heapq.heappop(releases)
+            heapq.heappush(ready, (-(-(k + 1) * total // parts[s]), s, k))
+        _, s, k = heapq.heappop(ready)
+        slots[s].append(slot)
+        left[s] -= 1
+        if not left[s]:
+            break
+        if k + 1 < parts[s]:
+            heapq.heappush(releases, ((k + 1) * total // parts[s], s, k + 1))
+    return {s: np.array(x, np.int64) for s, x in slots.items()}
+
+
+def phases(parts: dict[str, int], blocks: dict[str, int], most: int = 20_000_000) -> list[dict]:
     """For each phase: its first slot, its period, each source's first block and the period's slots."""
-    left, done, first, found = dict(blocks), dict.fromkeys(blocks, 0), 0, []
+    left, done, first, found, kept = dict(blocks), dict.fromkeys(blocks, 0), 0, [], 0
     while left := {s: n for s, n in left.items() if n > 0}:
-        own = {s: parts[s] for s in left}
-        total, slots = sum(own.values()), period(own)
-        ends = min((n - 1) // own[s] * total + slots[s][(n - 1) % own[s]] for s, n in left.items())
-        found.append({"first": first, "total": total, "base": {s: done[s] for s in left}, "slots": slots, "parts": own})
-        for s in left:
-            rounds, rest = divmod(ends + 1, total)
-            served = rounds * own[s] + int(np.searchsorted(slots[s], rest))
-            left[s] -= served
-            done[s] += served
+        own = {s: parts[s] for s in left if parts[s] > 0} or dict.fromkeys(left, 1)
+        own = exact_parts(own)
+        total = sum(own.values())
+        kept += min(total, sum(left[s] for s in own))
+        if kept > most:
+            raise ValueError(f"the weights' schedule has more than {most} slots to keep: round the weights")
+        slots = served(own, {s: left[s] for s in own})
+        if sum(map(len, slots.values())) < total:  # a source has ended within the period
+            ends = max(int(x[-1]) for x in slots.values() if len(x))
+        else:
+            ends = min((left[s] - 1) // own[s] * total + int(slots[s][(left[s] - 1) % own[s]]) for s in own)
+        found.append({"first": first, "total": total, "base": {s: done[s] for s in own}, "slots": slots, "parts": own})
+        rounds, rest = divmod(ends + 1, total)
+        for s in own:
+            n = rounds * own[s] + int(np.searchsorted(slots[s], rest))
+            left[s] -= n
+            done[s] += n
         first += ends + 1
     return found
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block_docs: int = 16, parts: int = 10_000, max_sources: int = 1000) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block_docs: int = 16, parts: int | None = None, most: int = 20_000_000) -> DataFrame:
     """source, doc_id, phase, block, release, deadline, slot and nth of every document.
 
     Without ``weights`` a source's weight is its number of documents to the
-    ``power``.  ``nth`` is the document's place in its block; (slot, nth) is the
+    ``power``, in whole hundredths of the largest source's, 1 at least.  Sources
+    that ``weights`` leaves out have weight 0.  With ``parts`` the weights are
+    rounded to so many parts, one at least for each source.  ``nth`` is the document's place in its block; (slot, nth) is the
     order of the mix.
     """
     spark = docs.sparkSession
@@ -105,12 +152,11 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, power: fl
     counts = numbered.groupBy("source", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    sizes = {r.source: r.n for r in counts.groupBy("source").agg(F.sum("n").alias("n")).limit(max_sources + 1).collect()}
-    if len(sizes) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    given = weights or {s: n**power for s, n in sizes.items()}
-    own = whole_parts({s: max(0.0, given.get(s, 0.0)) for s in sizes}, parts)
-    plan = spark.sparkContext.broadcast(phases(own, {s: -(-n // block_docs) for s, n in sizes.items()}))  # parts slots for each source that ends
+    sizes = {r.source: r.n for r in counts.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # a row for each source
+    largest = max(sizes.values(), default=1)
+    given = {s: weights.get(s, 0) for s in sizes} if weights else {s: max(1, round(100 * (n / largest) ** power)) for s, n in sizes.items()}
+    own = whole_parts({s: max(0.0, float(w)) for s, w in given.items()}, parts) if parts else exact_parts(given)
+    plan = spark.sparkContext.broadcast(phases(own, {s: -(-n // block_docs) for s, n in sizes.items()}, most))  # 8 bytes a slot, ``most`` slots
 
     def place(batches):
         for pdf in batches:
@@ -126,7 +172,8 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, power: fl
                         out.loc[here, "phase"] = k
                         out.loc[here, "release"] = p["first"] + j * total // w
                         out.loc[here, "deadline"] = p["first"] - (-(j + 1) * total // w)
-                        out.loc[here, "slot"] = p["first"] + j // w * total + np.array(p["slots"][source])[j % w]
+                        slots = p["slots"][source]  # shorter than a period if the phase ends first; blocks behind go to later phases
+                        out.loc[here, "slot"] = p["first"] + j // w * total + slots[np.minimum(j % w, len(slots) - 1)] if len(slots) else 0
                 found.append(out)
             yield pd.concat(found) if found else pd.DataFrame(columns=["source", "doc_id", "phase", "block", "release", "deadline", "slot", "nth"])
 

@@ -1,10 +1,11 @@
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerloom.llm.mixing import mixed, op7_source_mixing, period, phases, schedule, whole_parts
+from ledgerloom.llm.mixing import exact_parts, mixed, op7_source_mixing, period, phases, schedule, whole_parts
 
 
 @settings(max_examples=100, deadline=None)
@@ -58,3 +59,52 @@ def test_odd_rows(spark):
     assert sorted(map(str, got)) == sorted(map(str, docs.collect())) and got[0].asDict().keys() == {"source", "doc_id", "text", "slot"}
     assert [r.doc_id for r in got if r.source == "a"] == list(range(100))
     assert schedule(docs.limit(0)).count() == 0 and mixed(docs.limit(0)).count() == 0
+
+
+def test_exact_parts():
+    assert exact_parts({"a": 0.5, "b": "0.3", "c": Fraction(1, 5), "d": 0}) == {"a": 5, "b": 3, "c": 2, "d": 0}
+    assert exact_parts({"a": 0.1, "b": 0.2}) == {"a": 1, "b": 2} and exact_parts({}) == {}
+    with pytest.raises(ValueError):
+        exact_parts({"a": -1})
+
+
+def slots_of(found, blocks):
+    """Each block's (slot, source), phase by phase."""
+    out = []
+    for i, p in enumerate(found):
+        for s, base in p["base"].items():
+            end = next((q["base"][s] for q in found[i + 1 :] if s in q["base"]), blocks[s])
+            j = range(end - base)
+            out += [(p["first"] + k // p["parts"][s] * p["total"] + int(p["slots"][s][k % p["parts"][s]]), s) for k in j]
+    return sorted(out)
+
+
+def test_a_million_slots_follow_the_target_weights():
+    """Deviation from the given weights, not from rounded ones; a source of weight 0 comes last."""
+    weights = {"half": 0.5} | {f"s{i:02}": Fraction(1, 2 * 19) for i in range(19)} | {"never": 0}
+    blocks = {"half": 510_000} | {f"s{i:02}": 30_000 for i in range(19)} | {"never": 10}
+    order = [s for _, s in slots_of(phases(exact_parts(weights), blocks), blocks)]
+    assert len(order) == sum(blocks.values()) and set(order[-10:]) == {"never"}
+    seen = Counter()
+    for t, s in enumerate(order[:1_000_000], 1):
+        seen[s] += 1
+        assert abs(seen[s] - weights[s] * t) < 1
+        if t % 997 == 0:
+            assert all(abs(seen[x] - weights[x] * t) < 1 for x in weights)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcdef"), st.tuples(st.integers(0, 2000), st.integers(0, 60)), min_size=1))
+def test_short_sources_and_long_periods(own):
+    """Sources that end within a period; sources of weight 0 after all others."""
+    blocks = {s: n for s, (_, n) in own.items()}
+    found = slots_of(phases(exact_parts({s: w for s, (w, _) in own.items()}), blocks), blocks)
+    assert [slot for slot, _ in found] == list(range(sum(blocks.values())))
+    assert Counter(s for _, s in found) == Counter({s: n for s, n in blocks.items() if n})
+    order = [own[s][0] > 0 for _, s in found]
+    assert order == sorted(order, reverse=True)
+
+
+def test_too_fine_weights_are_refused():
+    with pytest.raises(ValueError):
+        phases(exact_parts({"a": 0.123456789, "b": 1}), {"a": 10**9, "b": 10**9}, 1000)
