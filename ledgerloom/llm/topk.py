@@ -8,14 +8,19 @@ a set of rows that are surely among the best, and one of rows still level with
 the k-th, are narrowed down.  Rows that stay level to the last slice have the
 same score and go by vec_id.
 
-Every block of queries meets every block of the index in a task of its own, and
-sends its k best; a query's best over all blocks are found last.
+Each block's slices are made once and written.  Queries form chunks of
+``block_queries``; every chunk goes to every block of the index and brings back
+its k best there; a query's best over all blocks are found last.  While there
+are fewer blocks than ``tasks``, a block's slices go to several lanes, which
+share the chunks.  What is shuffled is the index, and chunks times blocks.
 
 Defined results: vectors that are null or hold null, NaN or infinite components
-take no part, nor do rows without vec_id; a shorter vector counts as padded with
-zeros; a candidate with the query's own vec_id does not count; repeated query
-rows with equal vectors give one answer; other columns are ignored; an empty
-table gives no rows.
+take no part, nor do rows without vec_id; whole numbers beyond 2^56 count as
+2^56; ranks follow exact scores, and a score beyond 64 bits is given as the
+largest or smallest of 64 bits; a
+shorter vector counts as padded with zeros; a candidate with the query's own
+vec_id does not count; repeated query rows with equal vectors give one answer;
+other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,14 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, materialised, table
+
+LARGEST, HALF = float(1 << 56), 62
+INDEX = "block long, ids binary, low binary, bits binary, slices binary"
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id and whole-number components of the rows that take part."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     fine = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return vectors.filter(fine).select(F.col("vec_id").cast("long"), F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("x"))
+    return vectors.filter(fine).select(F.col("vec_id").cast("long"), F.transform(x, lambda v: F.floor(F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), v * scale))).cast("long")).alias("x"))
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -50,19 +58,35 @@ class BitSlices:
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, x = ids[order], x[order]
-        self.words = -(-len(ids) // 64)
         self.low = x.min(0) if len(x) else np.zeros(x.shape[1], np.int64)
         spread = x - self.low
         self.bits = [int(v).bit_length() for v in spread.max(0)] if len(x) else [0] * x.shape[1]
-        self.first = np.cumsum([0, *self.bits])
+        self._sizes()
         plain = np.zeros((self.first[-1], self.words * 8), np.uint8)
         for j, n in enumerate(self.bits):
             for b in range(n):
                 row = np.packbits((spread[:, j] >> b & 1).astype(bool), bitorder="little")
                 plain[self.first[j] + b, : len(row)] = row
-        plain = plain.view(np.uint64)
+        self._both(plain.view(np.uint64))
+
+    def _sizes(self) -> None:
+        self.words, self.first = -(-len(self.ids) // 64), np.cumsum([0, *self.bits])
+
+    def _both(self, plain: np.ndarray) -> None:
         self.slices = np.concatenate((plain, ~plain))  # the second half holds the complements
 
+    def packed(self) -> list[bytes]:
+        """ids, low, bits and slices as bytes."""
+        return [x.tobytes() for x in (self.ids, self.low, np.array(self.bits, np.int64), self.slices[: self.first[-1]])]
+
+    @classmethod
+    def of(cls, ids: bytes, low: bytes, bits: bytes, slices: bytes) -> BitSlices:
+        own = cls.__new__(cls)
+        own.ids, own.low, own.bits = np.frombuffer(ids, np.int64), np.frombuffer(low, np.int64), np.frombuffer(bits, np.int64).tolist()
+        own._sizes()
+        own._both(np.frombuffer(slices, np.uint64).reshape(int(own.first[-1]), own.words))
+        return own
+
     def scores(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """The slices of every row's score less a constant, least significant first, and the constant."""
         n = min(len(query), len(self.bits))
@@ -118,36 +142,60 @@ class BitSlices:
         rows = lambda bits: np.flatnonzero(np.unpackbits(bits.view(np.uint8), bitorder="little"))
         chosen = rows(sure)
         chosen = np.concatenate((chosen, rows(level)[: k - len(chosen)]))
-        scores = np.full(len(chosen), constant, np.int64)
+        kind = np.int64 if len(slices) < 62 and abs(constant) < 1 << 62 else object  # whole numbers of any size
+        scores = np.full(len(chosen), constant, kind)
         for b, s in enumerate(slices):
-            scores += (s[chosen // 64] >> (chosen % 64).astype(np.uint64) & np.uint64(1)).astype(np.int64) << b
+            scores += (s[chosen // 64] >> (chosen % 64).astype(np.uint64) & np.uint64(1)).astype(np.int64).astype(kind) << b
         return self.ids[chosen], scores
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 16_384, block_queries: int = 256) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 16_384, block_queries: int = 256, tasks: int = 64) -> DataFrame:
     """query_id, rank, vec_id and score: the k best of ``vectors`` for each of ``queries``, both quantised."""
+    bounded_batches(vectors.sparkSession)
     size = lambda n, each: int(max(1, -(-n // each)))
-    rows, asked = size(vectors.count(), block_rows), size(queries.count(), block_queries)
+    blocks, chunks = size(vectors.count(), block_rows), size(queries.count(), block_queries)
+    lanes = min(chunks, size(tasks, blocks))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    queries = queries.dropDuplicates(["vec_id", "x"]).withColumn("query", F.xxhash64("vec_id", "x"))
-    tasks = max(rows * asked, 1)
-    left = vectors.withColumn("block", deal(rows)).withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(asked - 1)).cast("array<long>"))).repartition(tasks, "block", "asked")
-    right = queries.withColumn("asked", deal(asked)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)).cast("array<long>"))).repartition(tasks, "block", "asked")
-    names = ["query_id", "query", "vec_id", "score"]
 
-    def run(own: pa.Table, asked: pa.Table) -> pa.Table:
+    def build(own: pa.Table) -> pa.Table:
+        packed = BitSlices(own["vec_id"].to_numpy(), matrix(own["x"])).packed()
+        return pa.table([own["block"][:1], *([x] for x in packed)], ["block", "ids", "low", "bits", "slices"])
+
+    index = materialised(vectors.withColumn("block", deal(blocks)).groupBy("block").applyInArrow(build, INDEX), "slices")
+    own = index.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)).cast("array<long>")))
+
+    asked = queries.dropDuplicates(["vec_id", "x"]).withColumn("query", F.xxhash64("vec_id", "x")).withColumn("chunk", deal(chunks))
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))
+    asked = asked.withColumn("lane", F.pmod("chunk", F.lit(lanes))).withColumn("block", everywhere)
+    names = ["query_id", "query", "vec_id", "high", "low"]
+
+    def run(index: pa.Table, asked: pa.Table) -> pa.Table:
         found: list[list[np.ndarray]] = []
-        if own.num_rows:
-            index = BitSlices(own["vec_id"].to_numpy(), matrix(own["x"]))
+        if index.num_rows:
+            own = BitSlices.of(*(index[c][0].as_py() for c in ("ids", "low", "bits", "slices")))
             for query_id, key, q in zip(asked["vec_id"].to_pylist(), asked["query"].to_pylist(), matrix(asked["x"]), strict=True):
-                ids, scores = index.top(query_id, q, k)
-                found.append([np.full(len(ids), query_id), np.full(len(ids), key), ids, scores])
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 4
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names)
-
-    some = left.groupBy("block", "asked").cogroup(right.groupBy("block", "asked")).applyInArrow(run, "query_id long, query long, vec_id long, score long")
-    best = Window.partitionBy("query_id", "query").orderBy(F.col("score").desc(), "vec_id")
-    return some.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                ids, scores = own.top(query_id, q, k)
+                found.append([np.full(len(ids), query_id), np.full(len(ids), key), ids, scores >> HALF, scores & ((1 << HALF) - 1)])
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 5
+        return pa.table([pa.array(c.astype(np.int64)) for c in columns], names)
+
+    kind = "query_id long, query long, vec_id long, high long, low long"
+    if chunks == lanes:  # one chunk for each lane
+        some = own.groupBy("block", "lane").cogroup(asked.groupBy("block", "lane")).applyInArrow(run, kind)
+    else:  # a lane's chunks go one after another, so that a task holds one at a time
+        packed = asked.groupBy("block", "lane", "chunk").agg(F.collect_list(F.struct("vec_id", "query", "x")).alias("asked"))
+
+        def each(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    rows = row.pop("asked")
+                    t = pa.table({"vec_id": [r["vec_id"] for r in rows], "query": [r["query"] for r in rows], "x": pa.array([r["x"] for r in rows], pa.list_(pa.int64()))})
+                    yield from run(pa.Table.from_pylist([row]), t).to_batches()
+
+        some = own.join(packed, ["block", "lane"]).mapInArrow(each, kind)
+    best = Window.partitionBy("query_id", "query").orderBy(F.col("high").desc(), F.col("low").desc(), "vec_id")
+    score = F.when(F.col("high") > 1, F.lit((1 << 63) - 1)).when(F.col("high") < -2, F.lit(-(1 << 63))).otherwise(F.shiftleft("high", HALF) + F.col("low"))
+    return some.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

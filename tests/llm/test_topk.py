@@ -42,3 +42,16 @@ def test_odd_rows_and_blocks(spark):
     got = sorted(map(tuple, top_k(v, v.filter("vec_id % 50 = 0"), 5, block_rows=64, block_queries=3).collect()))
     assert got == plain(whole, asked.items(), 5)
     assert top_k(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_large_finite_values_and_many_chunks(spark):
+    """Values near the largest of a float, and more chunks of queries than lanes."""
+    rows = [(0, [3e38, 1.0]), (50, [1.0, -3e38]), (1, [1e30, 1e30]), (2, [-3.4e38, 0.0])] + [(i, [float(i % 7), float(i % 11)]) for i in range(100, 400)]
+    v = quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    most = 1 << 56
+    whole = [(i, np.array([max(-most, min(most, int(256 * np.float64(np.float32(c))))) for c in x], object)) for i, x in rows]
+    stop = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    want = sorted((q, r, i, s) for q, x in whole if q % 50 == 0 for r, (s, i) in enumerate(sorted(((int(x @ y), j) for j, y in whole if j != q), key=lambda p: (-p[0], p[1]))[:5], 1))
+    want = [(q, r, i, stop(s)) for q, r, i, s in want]
+    got = sorted(map(tuple, top_k(v, v.filter("vec_id % 50 = 0"), 5, block_rows=100, block_queries=2, tasks=4).collect()))
+    assert got == want
