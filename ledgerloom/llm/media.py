@@ -9,8 +9,9 @@ integer.
 
 Recordings with equal fingerprints form one class first, so copies never meet in
 pairs.  Classes are dealt to blocks and each two blocks meet in one task, which
-compares all pairs of classes that share an integer; no integer, however common,
-makes rows or skew.  For each pair the histogram of offsets, over all
+tries every offset of every shared integer of all pairs of classes, in numpy; no
+integer, however common, makes rows or skew.  For each pair with few enough
+differing bits at some such offset the histogram of offsets, over all
 occurrences of all shared integers, picks the alignment, and the share of
 differing bits over the overlap, at least ``least`` positions long, decides.
 Linked classes are joined into components.  A task gives the number of links of
@@ -177,20 +178,65 @@ def keys(print_: np.ndarray) -> np.ndarray:
     return np.unique(wide[: len(wide) - apart] << np.uint64(32) | wide[apart:])
 
 
+class Prints:
+    """Fingerprints end to end, and their integers in order."""
+
+    def __init__(self, prints: list[np.ndarray]):
+        self.sizes = np.fromiter(map(len, prints), np.int64, len(prints))
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate([np.zeros(0, np.uint32), *prints])
+        order = np.argsort(self.flat, kind="stable")
+        self.sorted = self.flat[order]
+        self.row = np.repeat(np.arange(len(prints)), self.sizes)[order]
+        self.at = order - self.first[self.row]
+
+
+def spans(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of spans with these starts and sizes, end to end."""
+    return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def parts(sizes: np.ndarray, most: int = 4_000_000) -> list[np.ndarray]:
+    """Numbers of neighbours whose sizes add up to about ``most`` at once."""
+    return np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(sizes.cumsum() // most)) + 1) if len(sizes) else []
+
+
+def near(a: Prints, b: Prints, least: int, error: float, same: bool = False) -> np.ndarray:
+    """Pairs of places in a and b that share an integer at an offset at which few enough bits differ.
+
+    Every offset of every shared integer is tried, so no pair is lost that ``is_match`` could accept.
+    With ``same`` a and b are one list, and only pairs in order count.
+    """
+    first, past = np.searchsorted(b.sorted, a.sorted, "left"), np.searchsorted(b.sorted, a.sorted, "right")
+    some = np.flatnonzero(past > first)
+    n, found = (past - first)[some], []
+    for chunk in parts(n):
+        x, y = np.repeat(some[chunk], n[chunk]), spans(first[some[chunk]], n[chunk])
+        i, j, offset = a.row[x], b.row[y], a.at[x] - b.at[y]
+        if same:
+            ordered = i < j
+            i, j, offset = i[ordered], j[ordered], offset[ordered]
+        if not len(i):
+            continue
+        lowest, wide = offset.min(), int(np.ptp(offset)) + 1
+        tried = np.unique((i * len(b.sizes) + j) * wide + offset - lowest)
+        pair, offset = tried // wide, tried % wide + lowest
+        i, j = pair // len(b.sizes), pair % len(b.sizes)
+        at_a, at_b = np.maximum(offset, 0), np.maximum(-offset, 0)
+        size = np.minimum(a.sizes[i] - at_a, b.sizes[j] - at_b)
+        long = size >= np.minimum(least, np.minimum(a.sizes[i], b.sizes[j]))
+        i, j, at_a, at_b, size = i[long], j[long], at_a[long], at_b[long], size[long]
+        for own in parts(size):
+            bits = np.bitwise_count(a.flat[spans(a.first[i[own]] + at_a[own], size[own])] ^ b.flat[spans(b.first[j[own]] + at_b[own], size[own])])
+            wrong = np.add.reduceat(bits, size[own].cumsum() - size[own], dtype=np.int64)
+            close = own[wrong <= error * 32 * size[own] + 1e-6]
+            found.append(np.column_stack((i[close], j[close])))
+    return np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+
+
 def sharing(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """All pairs of places in a and b whose fingerprints share an integer."""
-    flat = lambda sets: (np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
-    (x, row), (y, column) = (flat([np.unique(s) for s in sets]) for sets in (a, b))
-    order = np.argsort(y, kind="stable")
-    y, column = y[order], column[order]
-    first, past = np.searchsorted(y, x, "left"), np.searchsorted(y, x, "right")
-    met = np.zeros((len(a), len(b)), bool)
-    some = np.flatnonzero(past > first)
-    n = (past - first)[some]
-    for at in np.split(np.arange(len(some)), np.flatnonzero(np.diff(n.cumsum() // 4_000_000)) + 1):
-        own = n[at]
-        met[np.repeat(row[some[at]], own), column[np.repeat(first[some[at]] - own.cumsum() + own, own) + np.arange(own.sum())]] = True
-    return np.argwhere(met)
+    return near(Prints(a), Prints(b), 0, 1.0)
 
 
 def is_match(a: np.ndarray, b: np.ndarray, least: int, error: float) -> bool:
@@ -237,10 +283,9 @@ def match(media: DataFrame, key: str = "id", content: str = "audio", least: int
         here, there = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found = np.zeros((0, 2), np.int64)
         if len(here) and len(there):
-            pairs = sharing([prints[x] for x in here], [prints[x] for x in there])
+            one = Prints([prints[x] for x in here])
+            pairs = near(one, one if i == j else Prints([prints[x] for x in there]), least, error, i == j)
             pairs = np.column_stack([here[pairs[:, 0]], there[pairs[:, 1]]])
-            if i == j:
-                pairs = pairs[pairs[:, 0] < pairs[:, 1]]
             found = pairs[[is_match(prints[x], prints[y], least, error) for x, y in pairs.tolist()]] if len(pairs) else pairs
         degree = np.bincount(found.ravel(), minlength=len(ids))
         label = merge_labels(np.arange(len(ids)), found[:, 0], found[:, 1])

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from ledgerloom.llm import media
 from ledgerloom.llm.media import aligned, chroma, fingerprint, match, op3_chroma_fingerprints, samples_of, wave
@@ -92,3 +93,43 @@ def test_steady_sounds_count_whole():
     a = np.concatenate([rng.integers(0, 2**32, 100).astype(np.uint32), steady])
     b = np.concatenate([a[90:100], steady])
     assert aligned(a, b)[:2] == (90, 310)
+
+
+def links_at_any_offset(prints, least=8, error=0.12):
+    """All pairs of fingerprints that differ in few enough bits at some offset, shared integers or not."""
+    found = set()
+    for j, b in enumerate(prints):
+        for i, a in enumerate(prints[:j]):
+            for offset in range(least - len(b), len(a) - least + 1):
+                x, y = a[max(0, offset) :], b[max(0, -offset) :]
+                n = min(len(x), len(y))
+                if np.bitwise_count(x[:n] ^ y[:n]).sum() <= error * 32 * n:
+                    found.add((i, j))
+                    break
+    return found
+
+
+@pytest.mark.parametrize("n", [30, 90])
+def test_recall_against_all_pairs_and_offsets(n):
+    """Shifted, cut and noisy recordings of shared melodies."""
+    rng, prints = np.random.default_rng(n), []
+    for i in range(n):
+        x = melody(100 + i % (n // 6), 24)[media.HOP * int(rng.integers(0, 25)) :]
+        x = x[: len(x) - media.HOP * int(rng.integers(0, 10))]
+        prints.append(fingerprint(chroma(x + rng.normal(size=len(x)).astype(np.float32) * (0.0, 0.02, 0.06, 0.1, 0.2, 0.3)[i * 7 % 6], 8000)))
+    want = links_at_any_offset(prints)
+    own = media.Prints(prints)
+    got = {(i, j) for i, j in media.near(own, own, 8, 0.12, True).tolist() if media.is_match(prints[i], prints[j], 8, 0.12)}
+    assert len(want) >= n / 2 and got <= want and len(got & want) >= 0.9 * len(want)
+
+
+def test_recall_on_the_table(spark):
+    """All pairs of 120 melodies, 40 of which come again, cut and noisy."""
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").limit(120)
+    sounds = [samples_of(r.audio)[0] for r in media.sonified(vectors, "vec_id", "embedding").collect()]
+    rng = np.random.default_rng(1)
+    sounds += [x[media.HOP * 9 :] + rng.normal(size=len(x) - media.HOP * 9).astype(np.float32) * 0.05 for x in sounds[:40]]
+    prints = [fingerprint(chroma(x, 8000)) for x in sounds]
+    want, own = links_at_any_offset(prints), media.Prints(prints)
+    got = {(i, j) for i, j in media.near(own, own, 8, 0.12, True).tolist() if media.is_match(prints[i], prints[j], 8, 0.12)}
+    assert len(want) >= 30 and got <= want and len(got & want) >= 0.9 * len(want)
