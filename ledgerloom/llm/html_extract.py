@@ -1,19 +1,24 @@
 """Main text of web pages, by union-free regular-expression inference over each host's pages.
 
-A page is parsed to a tree of tags.  Trees of one host are aligned into a
-wrapper: a node's children are aligned one by one, a child that only some pages
-have becomes optional, neighbours of one kind become one repeated group, and a
-stretch in which kinds come back becomes a repeated group of optional members.
-So a wrapper has no alternatives, and its size depends on the kinds of nodes
-and not on the number or length of pages.  Its text slots know how much text
-they hold, how much of it is link text, and whether it is the same everywhere.
+A page is parsed to a tree of tags, whose children are its token streams.  The
+streams of one host's pages are aligned into a wrapper: a tag that only some
+pages have becomes optional, neighbours of one kind become one repeated group,
+and a stretch in which kinds come back becomes a repeated group of optional
+members.  Texts that are equal stay constants and others become a slot.  So a
+wrapper has no alternatives, and its size depends on the kinds of nodes and not
+on the number or length of pages: a slot keeps how much text it has, how much
+of it is link text, and the texts that most of its pages share.
 
 Wrappers are folded per partition, then per host in two steps, so a host with
 a third of all pages is never one task.  A host's wrapper gives the path of its
 main part: the article or main element with most text, else the innermost node
-with most text outside menus and the like; text outside an article that all
-pages repeat, of three or more different contents, is left out, but for headings
-and a page's only text.  Pages without that path are their own host.
+with most text outside menus and the like.  Within it the slots decide what
+else goes: blocks that nearly all pages repeat word for word, of three or more
+different contents; groups that are mostly link text; and parts whose names
+speak of menus, notices, adverts or comments, unless such a part holds most of
+the text.  A name that only contains such a word needs a slot of much link text
+besides.  Headings and a page's only text stay.  Pages without the path are
+their own host.  Tags nested deeper than ``DEPTH`` count as neighbours.
 
 Defined results: null or empty html gives an empty text; a url without host
 goes by ""; repeated rows are extracted one by one; an empty table gives no
@@ -46,14 +51,16 @@ BLOCKS = frozenset("address article blockquote body caption center dd details di
 APART = frozenset("nav header footer aside form button select option input dialog menu fieldset label object embed canvas audio video map".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WITHIN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-#: Parts of class, id and role names that mark what is not the article.
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|menu|nav\w*|breadcrumbs?"
-    r"|sidebar|side|complementary|footer|contentinfo|header|masthead|comments?|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommend\w*"
-    r"|newsletter|subscribe|signup|login|search|form|dialog|pagination|pager|toolbar|skip|hidden|sr-only)(?:$|[\s_-])",
-    re.I,
+#: Words of class, id and role names that speak of what is not the article; and what may follow them in a name.
+WORD = (
+    r"(?:ads?|adv|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|menus?|nav\w*|breadcrumbs?"
+    r"|sidebars?|side|complementary|footer|contentinfo|masthead|comments?|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommend\w*"
+    r"|newsletters?|subscribe|signup|login|search|form|dialog|pagination|pager|toolbar|skip|hidden|sr-only)"
 )
-ROOTS = frozenset(("html", "body", "main", "article"))
+AFTER = r"(?:[_-](?:area|bar|block|body|box|boxes|button|buttons|container|content|footer|form|group|header|inner|item|items|left|link|links|list|main|menu|notice|outer|panel|popup|posts|right|section|slot|top|unit|widget|wrap|wrapper|\d+))*"
+NAMES = re.compile(rf"(?:^|[\s_-]){WORD}(?:$|[\s_-])", re.I)
+STRONG = re.compile(rf"(?:[a-z]+[_-])?{WORD}{AFTER}", re.I)
+ROOTS, HEADING = frozenset(("html", "body", "main", "article")), re.compile("h[1-6]")
 
 
 #: Names that can tell kinds of nodes apart; those with digits are often made anew for each page.
@@ -62,16 +69,21 @@ DEPTH = 200
 
 
 class Node:
-    """A tag with its kind, whether it stands apart from the main text, and its children."""
+    """A tag with its kind, whether it stands apart from the main text, and its children.
+
+    A kind ends in ! if a name contains a word of ``WORD``, and in !! if it is one.
+    """
 
     __slots__ = ("apart", "children", "kind", "tag")
 
-    def __init__(self, tag: str, attributes: str = ""):
+    def __init__(self, tag: str, attributes: str = "", inside: bool = False):
         names = " ".join(a or b or c for _, a, b, c in HINT.findall(attributes)) if attributes else ""
-        stable = [n for n in names.split() if STABLE.fullmatch(n)][:3]
+        marks = ""
+        if names and tag not in ROOTS and NAMES.search(names):
+            marks = "!!" if any(map(STRONG.fullmatch, names.split())) and not HEADING.fullmatch(tag) else "!"
         self.tag, self.children = tag, []
-        self.kind = ".".join([tag, *stable])
-        self.apart = tag in APART or (tag not in ROOTS and bool(names and NAMES.search(names))) or bool(attributes and HIDDEN.search(attributes))
+        self.kind = ".".join([tag, *(n for n in names.split() if STABLE.fullmatch(n))]) + marks
+        self.apart = (tag in APART and not (inside and tag == "header")) or bool(attributes and HIDDEN.search(attributes))
 
 
 def parse(page: str) -> Node:
@@ -111,7 +123,7 @@ def parse(page: str) -> Node:
                     break
                 if stack[i].tag in BLOCKS or stack[i].tag in APART:
                     break
-        node = Node(tag, attributes)
+        node = Node(tag, attributes, tag == "header" and any(n.tag in ("article", "main") for n in stack))
         stack[-1].children.append(node)
         if tag not in VOID and not attributes.endswith("/") and len(stack) < DEPTH:
             stack.append(node)
@@ -121,10 +133,12 @@ def parse(page: str) -> Node:
 
 
 # A wrapper node is a list: kind, apart, optional, repeated, pages, characters,
-# link characters, the slot's text if it is always the same, children, and for
-# such a slot digests of up to DISTINCT different contents of pages that have it.
-KIND, AWAY, OPTIONAL, REPEATED, PAGES, CHARS, LINKS, SAME, BELOW, SEEN = range(10)
-DISTINCT = 3
+# link characters, for blocks without blocks inside the texts that nearly all
+# pages share, and children.  Texts are a dict of digest to [pages, digests of
+# up to DISTINCT different contents of pages].
+KIND, AWAY, OPTIONAL, REPEATED, PAGES, CHARS, LINKS, SHARED, BELOW = range(9)
+#: Different contents behind a constant; the share of pages that have it; and how many pages more may lack it so far.
+DISTINCT, OFTEN, SLACK = 3, 0.9, 3
 
 
 def content_of(node: Node) -> int:
@@ -139,17 +153,46 @@ def content_of(node: Node) -> int:
     return xxhash.xxh32_intdigest(" ".join(texts).encode("utf-8", "replace"))
 
 
+def leaf_text(node: Node) -> str | None:
+    """The text of a block without blocks inside; None for any other node."""
+    if node.tag not in BLOCKS or node.tag in ROOTS:
+        return None
+    texts, todo = [], [node]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            texts.append(html.unescape(n))
+        elif n is not node and n.tag in BLOCKS:
+            return None
+        elif n is node or not n.apart:
+            todo += n.children[::-1]
+    return " ".join("".join(texts).split())
+
+
+def digest_of(text: str) -> str:
+    return xxhash.xxh32_hexdigest(text.encode("utf-8", "replace"))
+
+
 def wrapper_of(node: Node, in_link: bool = False, content: int | None = None) -> list:
     """The wrapper that fits one page's node."""
     content = content_of(node) if content is None else content
     in_link = in_link or node.tag == "a"
-    text = " ".join(" ".join(c for c in node.children if isinstance(c, str)).split())
+    n = len(" ".join(" ".join(c for c in node.children if isinstance(c, str)).split()))
     below: list = []
     for c in node.children:
         if isinstance(c, Node):
             _append(below, wrapper_of(c, in_link, content))
-    n = len(text)
-    return [node.kind, node.apart, False, False, 1, n, n * in_link, text if n <= 200 else None, _folded(below), [content] if 0 < n <= 200 else []]
+    text = leaf_text(node)
+    return [node.kind, node.apart, False, False, 1, n, n * in_link, {digest_of(text): [1, [content]]} if text else {}, _folded(below)]
+
+
+def _shared(a: dict, b: dict, pages: int, beside: bool) -> dict:
+    """The texts that nearly all pages of two slots share; as many as a page has, about, at most."""
+    total = dict(a)
+    for text, (n, seen) in b.items():
+        m, before = total.get(text, (0, []))
+        total[text] = [max(m, n) if beside else m + n, sorted({*before, *seen})[:DISTINCT]]
+    return {t: x for t, x in total.items() if x[0] >= OFTEN * pages - SLACK}
 
 
 def _append(below: list, child: list) -> None:
@@ -162,9 +205,10 @@ def _append(below: list, child: list) -> None:
 
 def _joined(a: list, b: list, beside: bool) -> list:
     """Two nodes of one kind as one; beside: both stand in one page."""
+    pages = max(a[PAGES], b[PAGES]) if beside else a[PAGES] + b[PAGES]
     return [
-        a[KIND], a[AWAY], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED] or beside, max(a[PAGES], b[PAGES]) if beside else a[PAGES] + b[PAGES],
-        a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], a[SAME] if a[SAME] == b[SAME] else None, align(a[BELOW], b[BELOW], beside), sorted({*a[SEEN], *b[SEEN]})[:DISTINCT] if a[SAME] and a[SAME] == b[SAME] else [],
+        a[KIND], a[AWAY], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED] or beside, pages,
+        a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], _shared(a[SHARED], b[SHARED], pages, beside), align(a[BELOW], b[BELOW], beside),
     ]
 
 
@@ -211,49 +255,79 @@ def merge(a: list, b: list) -> list:
     return _joined(a, b, False)
 
 
-def weight(node: list) -> tuple[int, int]:
-    """Characters and link characters of a node, without what stands apart."""
-    if node[AWAY]:
+def away(node: list, names: bool) -> bool:
+    return node[AWAY] or (names and node[KIND].endswith("!!"))
+
+
+def weight(node: list, names: bool = True) -> tuple[int, int]:
+    """Characters and link characters of a node, without what stands apart, with ``names`` by its name too."""
+    if away(node, names):
         return 0, 0
     chars, links = node[CHARS], node[LINKS]
     for c in node[BELOW]:
-        x, y = weight(c)
+        x, y = weight(c, names)
         chars, links = chars + x, links + y
     return chars, links
 
 
-def rule(wrapper: list) -> list:
-    """[kinds on the path of the main part, kinds of its slots that every page repeats]."""
-    best: tuple = (0, None)
-    todo = [(wrapper, [])]
+def tag_of(node: list) -> str:
+    return node[KIND].partition(".")[0].rstrip("!")
+
+
+def main_part(wrapper: list, names: bool) -> tuple[list, list[str]]:
+    """The node of the main part, and the kinds on its path."""
+    best: tuple = (0, None, None)
+    todo: list = [(wrapper, [])]
     while todo:
         node, path = todo.pop()
-        if node[AWAY]:
+        if away(node, names):
             continue
-        tag = node[KIND].partition(".")[0]
-        if tag in ("article", "main") or ".main" in node[KIND] + ".":
-            chars = weight(node)[0]
+        if tag_of(node) in ("article", "main") or ".main" in node[KIND] + ".":
+            chars = weight(node, names)[0]
             if chars > best[0] or (chars == best[0] and best[1] is not None and len(path) > len(best[1])):
-                best = chars, path
-            if tag == "article":
+                best = chars, path, node
+            if tag_of(node) == "article":
                 continue
         todo += [(c, [*path, c[KIND]]) for c in node[BELOW]]
     if best[1] is not None:
-        return [best[1], []]
+        return best[2], best[1]
     node, path = wrapper, []
     while True:
-        own = max(node[BELOW], key=lambda c: weight(c)[0] - weight(c)[1], default=None)
-        chars, links = weight(node)
-        if own is None or own[KIND].partition(".")[0] not in BLOCKS or own[KIND].partition(".")[0] in ("p", "li", "td", "pre", "blockquote"):
+        own = max(node[BELOW], key=lambda c: weight(c, names)[0] - weight(c, names)[1], default=None)
+        chars, links = weight(node, names)
+        if own is None or tag_of(own) not in BLOCKS or tag_of(own) in ("p", "li", "td", "pre", "blockquote"):
             break
-        if weight(own)[0] - weight(own)[1] <= 0.6 * (chars - links):
+        if weight(own, names)[0] - weight(own, names)[1] <= 0.6 * (chars - links):
             break
         if own[REPEATED] and own[PAGES] == 1:
             break
         node, path = own, [*path, own[KIND]]
-    fixed = [c for c in node[BELOW] if c[SAME] and not c[REPEATED] and len(c[SEEN]) >= DISTINCT and c[PAGES] == node[PAGES] and not c[BELOW]]
-    same = [c[KIND] for c in fixed if not re.fullmatch("h[1-6]", c[KIND].partition(".")[0])]
-    return [path, same]
+    return node, path
+
+
+def rule(wrapper: list) -> list:
+    """[kinds on the path of the main part, paths within it that go, and texts that go by the path within it]."""
+    names = 2 * weight(wrapper)[0] > weight(wrapper, False)[0]  # else names put most of the text apart, and mean nothing here
+    node, path = main_part(wrapper, names)
+    chars, links = weight(node, False)
+    gone, texts = [], {}
+    todo = [(c, [c[KIND]]) for c in node[BELOW]]
+    while todo:
+        c, below = todo.pop()
+        if c[AWAY]:
+            continue
+        own, own_links = weight(c, False)
+        marks, group = c[KIND].count("!"), tag_of(c) in ("div", "section", "ul", "ol", "dl", "table", "menu")
+        marks += (1 + (own_links >= 0.8 * own)) * (group and own_links > 0.5 * own)
+        if marks >= 2 and 2 * (own - own_links) <= chars - links:
+            gone.append(below)
+            continue
+        if not HEADING.fullmatch(tag_of(c)):
+            often = sorted(t for t, (n, seen) in c[SHARED].items() if n >= OFTEN * node[PAGES] and len(seen) >= DISTINCT)
+            if often:
+                texts["\n".join(below)] = often
+        todo += [(x, [*below, x[KIND]]) for x in c[BELOW]]
+    return [path, sorted(gone), texts]
 
 
 def found(node: Node, path: list[str]) -> list[Node]:
@@ -264,9 +338,10 @@ def found(node: Node, path: list[str]) -> list[Node]:
     return here
 
 
-def text_of(nodes: list[Node], same: list[str] = ()) -> str:
-    """The blocks of the nodes, white space turned to single spaces."""
+def text_of(nodes: list[Node], gone=(), texts=None) -> str:
+    """The blocks of the nodes, white space turned to single spaces, without paths and texts that go."""
     blocks, words = [], []
+    gone, texts = {tuple(g) for g in gone}, {tuple(k.split("\n")): {*v} for k, v in (texts or {}).items()}
 
     def flush() -> None:
         block = " ".join("".join(words).split())
@@ -274,28 +349,25 @@ def text_of(nodes: list[Node], same: list[str] = ()) -> str:
             blocks.append(block)
         words.clear()
 
-    def walk(node: Node, top: bool = False, only_headings: bool = False) -> None:
-        block = node.tag in BLOCKS
+    def walk(node: Node, path: tuple) -> None:
+        block = node.tag in BLOCKS or node.tag == "header"
+        if path in gone or (path in texts and digest_of(leaf_text(node) or "") in texts[path]):
+            flush()
+            return
         if block:
             flush()
         for c in node.children:
             if isinstance(c, str):
-                if not only_headings or node.tag in ("h1", "h2"):
-                    words.append(html.unescape(c))
+                words.append(html.unescape(c))
             elif c.tag == "br":
                 words.append(" ")
-            elif c.tag == "header" and not top_is_page:
-                flush()
-                walk(c, only_headings=True)
-                flush()
-            elif not c.apart and not (top and c.kind in same):
-                walk(c, only_headings=only_headings)
+            elif not c.apart:
+                walk(c, (*path, c.kind))
         if block:
             flush()
 
     for n in nodes:
-        top_is_page = n.tag in ("#page", "html", "body")
-        walk(n, True)
+        walk(n, ())
         flush()
     return "\n".join(blocks)
 
@@ -309,7 +381,7 @@ def main_text(page: str | None, known: list | None) -> str:
     if not nodes:
         known = rule(wrapper_of(root))
         nodes = found(root, known[0])
-    return text_of(nodes, known[1]) or text_of(nodes)
+    return text_of(nodes, *known[1:]) or text_of(nodes)
 
 
 def host_of(url: str):
@@ -348,10 +420,10 @@ def wrappers(pages: DataFrame, held: int = 5000) -> DataFrame:
     return some.groupBy("host", "lane").applyInArrow(step, kind + ", lane long").select("host", "wrapper").groupBy("host").applyInArrow(meet, kind)
 
 
-def extract(pages: DataFrame, page: str = "html", url: str = "url") -> DataFrame:
-    """``pages`` with the main text of each row and its n_chars."""
+def extract(pages: DataFrame, page: str = "html", url: str = "url", keep: list[str] | None = None) -> DataFrame:
+    """``pages``, or its columns ``keep``, with the main text of each row and its n_chars."""
     bounded_batches(pages.sparkSession)
-    keep = [c for c in pages.columns if c not in ("text", "n_chars")]
+    keep = [c for c in keep or pages.columns if c not in ("text", "n_chars")]
     own = pages.select(F.struct(*keep).alias("row"), host_of(url).alias("host"), F.col(page).alias("html"))
 
     def rules(batches):
@@ -379,4 +451,4 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url") -> DataFrame
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
-    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"]).select("page_id", "url", "text", "n_chars")

@@ -102,3 +102,49 @@ def test_copies_do_not_make_boilerplate(spark):
     assert all(got[i] == "T\nshort text" for i in range(4))
     assert all(got[10 + i] == "Recipe\n" + (f"Stir {i} times " * 20).strip() for i in range(4))
     assert all(got[20 + i].endswith("All rights reserved") for i in range(6))
+
+
+def texts(spark, html_of, n=6):
+    rows = [(i, "http://host/", html_of(i)) for i in range(n)]
+    return {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def body(i):
+    return f"Story number {i} has words of its own. " * (8 + i)
+
+
+def test_lines_that_pages_repeat_inside_articles(spark):
+    """Constants of the wrapper go whatever their class or length; slots and headings stay."""
+    long = "We value what you read and would like to say so at some length. " * 12
+    page = "<article><h1>News</h1><p>%s</p><p>Follow <b>us</b> everywhere.</p><div class=qx>%s</div><p>Also %d.</p></article>"
+    got = texts(spark, lambda i: page % (body(i), long, i))
+    assert all(got[i] == f"News\n{body(i).strip()}\nAlso {i}." for i in got)
+
+
+def test_what_stands_in_an_articles_header(spark):
+    page = "<header>Site</header><main><article><header><h1>T%d</h1><p class=dek>Standfirst %d</p></header><p>%s</p><footer>Filed under x%d</footer></article></main>"
+    got = texts(spark, lambda i: page % (i, i, body(i), i))
+    assert all(got[i] == f"T{i}\nStandfirst {i}\n{body(i).strip()}" for i in got)
+
+
+def test_names_that_mislead(spark):
+    """Names that only contain a word, and a named part that holds most of the text, stay; menus without a name go."""
+    page = "<article><h4 class='social-history'>Life %d</h4><section class='related-work'><p>Others %d</p></section><div class='sidebar'><p>%s</p></div><div class=zz><a href=a>Link one %d</a> <a href=b>Link two %d</a></div></article>"
+    got = texts(spark, lambda i: page % (i, i, body(i), i, i))
+    assert all(got[i] == f"Life {i}\nOthers {i}\n{body(i).strip()}" for i in got)
+
+
+def test_notices_and_comments_go(spark):
+    """Varying text in parts whose names say what they are."""
+    page = "<article><p>%s</p><div class='notice'><p>Notice %d</p></div><div id=comments><p>Reader %d says so</p></div><div class='newsletter-box'>Mail %d</div></article>"
+    got = texts(spark, lambda i: page % (body(i), i, i, i))
+    assert all(got[i] == body(i).strip() for i in got)
+
+
+def test_constants_survive_a_few_pages_without_them():
+    page = lambda i: f"<div><p>{'same' if i % 25 else f'own {i}'}</p>" + "".join(f"<p>{i} {j}</p>" for j in range(9)) + "</div>"
+    total = wrapper_of(parse(page(0)))
+    for i in range(1, 400):
+        total = merge(total, wrapper_of(parse(page(i))))
+    slot = total[8][0][8][0]
+    assert [(n, len(seen)) for n, seen in slot[7].values()] == [(384, 3)]
