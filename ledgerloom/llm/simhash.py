@@ -49,12 +49,16 @@ def fingerprint(text: str, words_each: int = 3) -> int:
         return 0
     n = max(1, len(words) - words_each + 1)
     shingles = map(b" ".join, zip(*(words[i : i + n] for i in range(min(words_each, len(words)))), strict=True))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 15):
+    for at in range(0, len(hashes), 1 << 15):
         block = hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(block, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, words_each: int = 3) -> DataFrame:

@@ -1,9 +1,12 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from corpus_pipeline import COLUMNS, STAGES
 from ledgerloom.llm.packing import pack_along
 from ledgerloom.llm.quality import op6_quality_classifier
 from ledgerloom.llm.secret_scan import base_spans
-from ledgerloom.llm.simhash import near_duplicates
+
+from test_similar import expected
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,7 +29,7 @@ def test_stages(spark, tmp_path):
     assert after == {i: before[i] for i in kept}
 
     before, after = map(rows, at["near_duplicates"])
-    stay = {r.component_id for r in near_duplicates(at["near_duplicates"][0]).collect()}
+    stay = set(expected([(i, r.text) for i, r in before.items()]).values())  # all pairs of five-word similarity 0.8 or more
     assert after == {i: before[i] for i in stay}
 
     before, after = map(rows, at["secrets"])
@@ -55,3 +58,24 @@ def test_sequences_follow_the_mix(spark, monkeypatch):
         ids = {r.doc_id for r in packed if r.doc_id % 2 == source}
         early = {r.doc_id for r in packed if r.doc_id % 2 == source and r.sequence_id <= half}
         assert 0.35 < len(early) / len(ids) < 0.65
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, one long text, extra columns and empty tables, through all stages."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = [(10_001, None, None, None, None), (10_002, "", "", "", 0), (None, None, None, None, None), (None, "a text without a number", "en", "web", 23), (10_003, "word " * 60_000, "en", None, 300_000), (10_004, " \n\t", "xx", "web", 3)]
+    more = docs.unionByName(spark.createDataFrame(odd, columns)).unionByName(docs.limit(20)).withColumn("slot", F.lit(1)).withColumn("code", F.lit("x"))
+    sf = tmp_path / "sf"
+    sf.mkdir()
+    more.write.parquet(str(sf / "documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(sf / "labels.parquet"))
+    packed = corpus_pipeline.run(spark, str(sf)).collect()
+    assert packed and all(r.offset + r.length <= 4096 for r in packed)
+    pieces = [(r.doc_id, r.piece) for r in packed if r.doc_id is not None]
+    assert len(pieces) == len(set(pieces))
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    more.limit(0).write.parquet(str(empty / "documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(empty / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
