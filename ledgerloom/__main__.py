@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .builder import GraphBuilder
+from .sources import clusters
 
 
 def parser() -> argparse.ArgumentParser:
@@ -19,6 +20,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--cutoff", help="drop what was modified later: milliseconds or a date")
     p.add_argument("--tag", help="tag of the top-level artifacts")
     p.add_argument("--tag-version", help="version in the tag")
+    p.add_argument("--package-tags", action="store_true", help="tag each package that a top-level artifact is")
+    p.add_argument("--cbom", help="folder for bills of materials")
+    p.add_argument("--ingested", help="text table to which the paths of what was read are appended")
+    p.add_argument("--dump", help="folder for all items as JSON lines")
     p.add_argument("--tag-json", help="JSON to overlay on the tag")
     return p
 
@@ -35,7 +40,15 @@ def main(argv: list[str] | None = None) -> None:
         builder.with_cutoff(args.cutoff)
     if args.tag:
         builder.with_tag(args.tag, args.tag_version, args.tag_json)
-    builder.run()
+    if args.package_tags:
+        builder.with_package_tags()
+    if args.cbom:
+        builder.with_bills(args.cbom)
+    if args.ingested:
+        builder.with_ingested_list(args.ingested)
+    items, edges = builder.run()
+    if args.dump:
+        clusters.dump(items, edges, args.dump, builder.extra)
 
 
 if __name__ == "__main__":

@@ -9,16 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.textual import date
-from .operators import graph, merge
-from .operators.tags import run_tag, tagged
+from .model import ALIAS_FROM, CONTAINS
+from .operators import cbom, graph, merge, strategies
+from .operators.jars import archive_facts
+from .operators.tags import package_tags, run_tag, tagged
 from .sources import clusters, files
+from .storage import materialised
 from .streaming.upsert import graph_of, with_aliases
 
 Hook = Callable[[DataFrame, DataFrame], bool]
 
 
 class GraphBuilder:
-    """Collects what to read and how; ``run`` builds one graph, whatever the number of artifacts."""
+    """Collects what to read and how; ``run`` builds one graph, whatever the number of artifacts.
+
+    After ``run``, ``extra`` has the metadata (id, key, mime, value), ``purls``
+    the package URLs (id, purl), and ``bills``, if asked for, one bill of
+    materials for each root that holds cryptographic material.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -30,6 +38,12 @@ class GraphBuilder:
         self.tag: tuple[str, str] | None = None
         self.output: str | None = None
         self.hooks: list[Hook] = []
+        self.package_tags = False
+        self.bill_folder: str | None = None
+        self.ingested: str | None = None
+        self.extra: DataFrame | None = None
+        self.purls: DataFrame | None = None
+        self.bills: DataFrame | None = None
 
     def with_folder(self, *folders: str) -> GraphBuilder:
         self.folders += folders
@@ -66,6 +80,21 @@ class GraphBuilder:
         self.tag = run_tag(name, now, version, more)
         return self
 
+    def with_package_tags(self) -> GraphBuilder:
+        """One tag for each package that a top-level artifact is, below the tag root."""
+        self.package_tags = True
+        return self
+
+    def with_bills(self, folder: str) -> GraphBuilder:
+        """Write the bills of materials to a folder."""
+        self.bill_folder = folder
+        return self
+
+    def with_ingested_list(self, folder: str) -> GraphBuilder:
+        """Append the paths of what was read to a text table."""
+        self.ingested = folder
+        return self
+
     def with_output(self, folder: str) -> GraphBuilder:
         self.output = folder
         return self
@@ -86,13 +115,40 @@ class GraphBuilder:
             own = own.unionByName(more)
         return files.expand(own, self.blocked)
 
+    def described(self, own: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Metadata and package URLs of the artifacts: what strategies extract, and what members tell of archives."""
+        texts = strategies.with_text(own)
+        # Written once: every extractor reads the claims, and none the contents.
+        claimed = materialised(strategies.claims(texts), "claims")
+        extra, purls = strategies.extract(claimed)
+        java = own.filter(F.array_contains("mime", "application/java-archive")).select(F.col("id").alias("container")).distinct()
+        members = own.filter("container is not null").select("id", "path", "container").distinct().join(java, "container", "left_semi")
+        facts = archive_facts(members.join(claimed.select("id", "text"), "id").select("container", "path", "text"))
+        extra = extra.unionByName(facts.select("id", "key", F.lit(None).cast("string").alias("mime"), "value")).distinct()
+        return materialised(extra, "extra"), materialised(purls, "purls")
+
+    def billed(self, items: DataFrame, edges: DataFrame, extra: DataFrame) -> DataFrame:
+        """(root, file_name, document) of every root that holds cryptographic material."""
+        roots = graph.roots(items, edges).select(F.col("id").alias("root"), "id")
+        down = edges.filter(F.col("edge_type") == CONTAINS)
+        found = graph.reach(roots, down, cbom.DEPTH).join(cbom.crypto_items(extra), "id", "left_semi")
+        parts = cbom.capped(cbom.algorithm_components(found, extra))
+        return cbom.documents(parts, datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))
+
     def run(self) -> tuple[DataFrame, DataFrame]:
         """Items and edges of the graph; written to the output folder if there is one."""
         own = self.artifacts()
         items, edges = graph_of(own)
         edges = with_aliases(own, edges)
-        if self.tag:
-            more_items, more_edges = tagged(self.spark, own.filter("depth = 0").select("id").distinct(), self.tag)
+        extra, purls = self.described(own)
+        edges = edges.unionByName(graph.with_reversed(purls.select(F.col("id").alias("src"), F.lit(ALIAS_FROM).alias("edge_type"), F.col("purl").alias("dst")))).distinct()
+        tops = own.filter("depth = 0").select("id").distinct()
+        added = [tagged(self.spark, tops, self.tag)] if self.tag else []
+        if self.package_tags:
+            name, version = F.regexp_extract("purl", "^pkg:([^@?#]+)", 1), F.nullif(F.regexp_extract("purl", "@([^?#]+)", 1), F.lit(""))
+            when = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+            added.append(package_tags(purls.join(tops, "id", "left_semi").select("id", name.alias("name"), version.alias("version"), F.lit(when).alias("date")).distinct()))
+        for more_items, more_edges in added:
             none = F.array().cast("array<string>")
             items = items.unionByName(more_items.select("id", "body_mime", none.alias("file_names"), none.alias("mime_types"), F.lit(None).cast("long").alias("file_size")))
             edges = edges.unionByName(graph.with_reversed(more_edges)).distinct()
@@ -100,6 +156,17 @@ class GraphBuilder:
             mtimes = own.groupBy("id").agg(F.min("mtime").alias("mtime"))
             kept, edges = graph.pruned(items.join(mtimes, "id", "left"), edges, F.col("mtime") > self.cutoff)
             items = kept.drop("mtime")
-        if self.output and all(hook(items, edges) for hook in self.hooks):
-            clusters.write_graph(items, edges, self.output)
-        return merge.merged_items(items), edges
+            extra, purls = (df.join(items.select("id"), "id", "left_semi").select(df.columns) for df in (extra, purls))
+        items = merge.merged_items(items)
+        self.extra, self.purls = extra, purls
+        if self.bill_folder:
+            self.bills = materialised(self.billed(items, edges, extra), "bills")
+        if all(hook(items, edges) for hook in self.hooks):
+            if self.output:
+                clusters.write_graph(items, edges, self.output, extra)
+                purls.select("purl").distinct().orderBy("purl").write.mode("overwrite").text(f"{self.output}/purls")
+            if self.bills is not None:
+                cbom.write_documents(self.bills, self.bill_folder)
+            if self.ingested:
+                files.record_ingested(own, self.ingested)
+        return items, edges

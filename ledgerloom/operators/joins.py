@@ -99,20 +99,22 @@ def needles_in(texts: DataFrame, needles: list[str], column: str = "text") -> Da
     return texts.select("id", F.explode(own).alias("needle"))
 
 
-def holding(texts: DataFrame, needles: DataFrame, most: int = 16 << 20, head: int = 32) -> DataFrame:
+def holding(texts: DataFrame, needles: DataFrame, most: int = 16 << 20) -> DataFrame:
     """J12 with a table of needles: (id, item_id) of each text that holds a needle whole.
 
-    Needles of at most ``most`` characters in all, a checked size, become one
-    automaton that finds all of them in one pass over a text.  More needles meet
-    the texts on their first ``head`` characters, with the places in the texts
-    where such a head stands.  Empty and null needles are in no text.
+    Needles form blocks of about ``most`` characters.  Each block becomes one
+    automaton, which finds all of its needles in one pass over the texts; only
+    one block at a time is on the driver.  Empty and null needles are in no text.
     """
     needles = needles.filter("needle <> ''").select("item_id", "needle")
-    if (needles.agg(F.sum(F.length("needle"))).first()[0] or 0) <= most:
+    blocks = max(1, -(-(needles.agg(F.sum(F.length("needle"))).first()[0] or 0) // most))
+    kind = texts.schema["id"].dataType, needles.schema["item_id"].dataType
+    schema = T.StructType([T.StructField("id", kind[0]), T.StructField("item_id", kind[1])])
+
+    def found_in(block: int) -> DataFrame:
         known: dict[str, list] = {}
-        for r in needles.collect():
+        for r in needles.filter(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == block).toLocalIterator():
             known.setdefault(r.needle, []).append(r.item_id)
-        kind = texts.schema["id"].dataType, needles.schema["item_id"].dataType
         own = texts.sparkSession.sparkContext.broadcast(known)
 
         def run(batches):
@@ -127,10 +129,9 @@ def holding(texts: DataFrame, needles: DataFrame, most: int = 16 << 20, head: in
                 a, b = zip(*found, strict=True) if found else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field(0).type), pa.array(b, to_arrow_type(kind[1]))], ["id", "item_id"])
 
-        schema = T.StructType([T.StructField("id", kind[0]), T.StructField("item_id", kind[1])])
-        return texts.select("id", "text").mapInArrow(run, schema).distinct()
-    heads = needles.withColumn("head", F.substring("needle", 1, head))
-    at = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(head)))
-    long = texts.select("id", F.explode(F.array_distinct(at)).alias("head")).join(heads.filter(F.length("needle") >= head), "head")
-    short = texts.join(needles.filter(F.length("needle") < head), F.col("text").contains(F.col("needle"))).select("id", "item_id")
-    return long.join(texts, "id").filter(F.col("text").contains(F.col("needle"))).select("id", "item_id").unionByName(short).distinct()
+        return texts.select("id", "text").mapInArrow(run, schema)
+
+    whole = found_in(0)
+    for block in range(1, blocks):
+        whole = whole.unionByName(found_in(block))
+    return whole.distinct()

@@ -69,8 +69,11 @@ def claims(artifacts: DataFrame) -> DataFrame:
 
 def with_text(artifacts: DataFrame, most: int = 16 << 20) -> DataFrame:
     """Artifacts with their text: UTF-8 contents of at most ``most`` bytes; each content once with one path."""
-    own = artifacts.groupBy("id").agg(F.min("path").alias("path"), F.first("mime").alias("mime"), F.first("content").alias("content"))
-    return own.select("id", "path", "mime", F.when(F.octet_length("content") <= most, F.try_validate_utf8("content")).alias("text"))
+    # Contents that are no text stay where they are; those that are come once for each path at first.
+    own = artifacts.select("id", "path", "mime", F.when(F.octet_length("content") <= most, F.try_validate_utf8("content")).alias("text"))
+    least = own.groupBy("id").agg(F.min(F.struct("path", "mime")).alias("at")).select("id", "at.path", "at.mime")
+    binary = least.join(own.filter("text is not null").select("id").distinct(), "id", "left_anti").withColumn("text", F.lit(None).cast("string"))
+    return own.filter("text is not null").join(least, ["id", "path", "mime"], "left_semi").dropDuplicates(["id"]).unionByName(binary)
 
 
 def _rows(df: DataFrame, prefix: str, facts: dict[str, Column]) -> DataFrame:

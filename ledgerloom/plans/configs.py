@@ -60,9 +60,9 @@ def f50_mobile_facts(spark, sf_dir):
     return configs.mobile_facts(files(spark, sf_dir, MOBILE_FILES))
 
 
-@query("p12_leak_filter", "SELECT doc_id AS id, k AS key, left(text, 500) AS value FROM documents, (VALUES ('Certificates:Serial'), ('Name')) v(k) WHERE NOT regexp_matches(left(text, 500), 'PRIVATE KEY-----|openssh-key-v1') AND (k = 'Certificates:Serial' OR NOT regexp_matches(left(text, 500), '[0-9a-f]{32,}'))")
+@query("p12_leak_filter", "SELECT doc_id AS id, k AS key, text AS value FROM documents, (VALUES ('Certificates:Serial'), ('Name')) v(k) WHERE NOT regexp_matches(text, 'PRIVATE KEY-----|openssh-key-v1') AND (k = 'Certificates:Serial' OR NOT regexp_matches(text, '[0-9a-f]{32,}'))")
 def p12_leak_filter(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array(F.lit("Certificates:Serial"), F.lit("Name"))).alias("key"), F.substring("text", 1, 500).alias("value"))
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array(F.lit("Certificates:Serial"), F.lit("Name"))).alias("key"), F.col("text").alias("value"))
     return configs.without_leaks(own)
 
 

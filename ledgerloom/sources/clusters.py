@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import roots
 from . import cbor
 
 # Magic numbers and versions of the file formats.
@@ -45,6 +46,16 @@ def write_graph(items: DataFrame, edges: DataFrame, folder: str, extra: DataFram
         extra.repartitionByRange("id").sortWithinPartitions("id", "key").write.mode("overwrite").parquet(f"{folder}/extra")
 
 
+def dump(items: DataFrame, edges: DataFrame, folder: str, extra: DataFrame | None = None) -> None:
+    """Every item with its connections and metadata, a JSON object a line, written by the tasks."""
+    nested(items, edges, extra).drop("id_md5").write.mode("overwrite").json(folder)
+
+
+def dump_roots(items: DataFrame, edges: DataFrame, folder: str) -> None:
+    """The ids of root items, a JSON string a line, in order."""
+    roots(items, edges).select("id").orderBy("id").select(F.to_json(F.array("id")).substr(F.lit(2), F.length(F.to_json(F.array("id"))) - 2).alias("value")).write.mode("overwrite").text(folder)
+
+
 def item_by_id(spark: SparkSession, folder: str, identifier: str) -> DataFrame:
     """A point read; the digest's range prunes files and row groups."""
     return spark.read.parquet(f"{folder}/items").filter((F.col("id_md5") == hashlib.md5(identifier.encode()).hexdigest()) & (F.col("id") == identifier))
@@ -121,16 +132,20 @@ def _opened(path: str, magic: int) -> tuple[bytes, dict, int]:
 
 def read_items(path: str) -> Iterator[dict]:
     """The items of a data file; a record that cannot be read ends it."""
-    data, _, at = _opened(path, DATA_MAGIC)
-    while at + 4 <= len(data):
-        length = struct.unpack(">i", data[at : at + 4])[0]
-        if length <= 0 or at + 4 + length > len(data):
-            return
-        try:
-            yield cbor.decode(data, at + 4)[0]
-        except (ValueError, IndexError):
-            return
-        at += 4 + length
+    with open(path, "rb") as file:  # one record at a time: a data file can be 15 GiB long
+        found, length = struct.unpack(">IH", file.read(6))
+        if found != DATA_MAGIC:
+            raise ValueError(f"{path} is not such a file")
+        file.seek(6 + length)
+        while len(head := file.read(4)) == 4:
+            length = struct.unpack(">i", head)[0]
+            record = file.read(length) if length > 0 else b""
+            if length <= 0 or len(record) < length:
+                return
+            try:
+                yield cbor.decode(record, 0)[0]
+            except (ValueError, IndexError):
+                return
 
 
 def read_cluster(spark: SparkSession, path: str) -> DataFrame:
@@ -153,11 +168,14 @@ def read_cluster(spark: SparkSession, path: str) -> DataFrame:
                 block: list = []
                 for item in read_items(file):
                     body = item["body"] or {}
-                    block.append((item["identifier"], item["body_mime_type"], body.get("file_names", []), body.get("mime_type", []), body.get("file_size"), [{"edge_type": a, "target": b} for a, b in item["connections"]]))
+                    block.append((item["identifier"], item["body_mime_type"], body.get("file_names", []), body.get("mime_type", []), body.get("file_size"), [{"edge_type": a, "target": b} for a, b in item["connections"]], extra_of(body)))
                     if len(block) >= 1000:
                         yield pd.DataFrame(block, columns=names)
                         block = []
                 yield pd.DataFrame(block, columns=names)
 
-    names = ["id", "body_mime", "file_names", "mime_types", "file_size", "connections"]
-    return files.repartition(max(1, len(envelope["data_files"]))).mapInPandas(run, "id string, body_mime string, file_names array<string>, mime_types array<string>, file_size long, connections array<struct<edge_type string, target string>>")
+    def extra_of(body: dict) -> dict:
+        return {k: [{"mime": v[0], "value": v[1]} if isinstance(v, list) else {"mime": None, "value": v} for v in values] for k, values in (body.get("extra") or {}).items()}
+
+    names = ["id", "body_mime", "file_names", "mime_types", "file_size", "connections", "extra"]
+    return files.repartition(max(1, len(envelope["data_files"]))).mapInPandas(run, "id string, body_mime string, file_names array<string>, mime_types array<string>, file_size long, connections array<struct<edge_type string, target string>>, extra map<string, array<struct<mime string, value string>>>")

@@ -62,12 +62,13 @@ def _unpacked(frontier: DataFrame) -> DataFrame:
     return named.select("id", clean_path(F.col("path")).alias("path"), "container", "root", "depth", "size", "mtime", "mime", "content")
 
 
-def expand(artifacts: DataFrame, blocked: DataFrame | None = None, most: int = 64) -> DataFrame:
+def expand(artifacts: DataFrame, blocked: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """The artifacts and all that their containers hold, level by level.
 
     A content is opened once, however often it occurs (P10); what is on the
     block list (id) is neither kept nor opened (P09).  Every level is written to
-    the shared folder, so a lost executor costs one level at most.
+    the shared folder, so a lost executor costs one level at most.  All levels
+    are opened, or with ``most`` so many; what lies deeper is then kept closed.
     """
     conf, batch = artifacts.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(batch)
@@ -78,11 +79,13 @@ def expand(artifacts: DataFrame, blocked: DataFrame | None = None, most: int = 6
         conf.set(batch, before)
 
 
-def _expand(artifacts: DataFrame, blocked: DataFrame | None, most: int) -> DataFrame:
+def _expand(artifacts: DataFrame, blocked: DataFrame | None, most: int | None) -> DataFrame:
     free = lambda df: df.join(blocked.select("id").distinct(), "id", "left_anti") if blocked is not None else df
     level = materialised(free(artifacts), "level")
     out, opened = level, None
-    for _ in range(most):
+    depth = 0
+    while most is None or depth < most:
+        depth += 1
         todo = level.filter(~not_archive(F.col("mime"))).dropDuplicates(["id"])
         if opened is not None:
             todo = todo.join(opened, "id", "left_anti")

@@ -162,3 +162,70 @@ def test_cbom(spark):
     assert doc.file_name == "cbom_r__1.json" and own["specVersion"] == "1.6" and [c["bom-ref"] for c in own["components"]] == ["alg:hash:sha256withrsa", "alg:pke:rsa-2048"]
     assert own["components"][1]["cryptoProperties"]["algorithmProperties"]["parameterSetIdentifier"] == "2048"
     assert cbom.capped(parts, 1).filter(F.col("truncated")).count() == 1
+
+
+@pytest.fixture(scope="module")
+def project(tmp_path_factory):
+    """A jar with a manifest and a nested jar, its project file, a lockfile, a service's configuration and a tar with a password file."""
+    root = tmp_path_factory.mktemp("project")
+    pom = "<project><groupId>org.foo</groupId><artifactId>bar</artifactId><version>1.2</version><name>Bar</name></project>"
+    manifest = b"Manifest-Version: 1.0\r\nAutomatic-Module-Name: org.foo.bar\r\n"
+    (root / "org.foo.bar-1.2.jar").write_bytes(zipped(**{"META-INF/MANIFEST.MF": manifest, "lib/inner.jar": zipped(a=b"x"), "META-INF/services/org.foo.Api": b"org.foo.Impl"}))
+    (root / "bar-1.2.pom").write_text(pom)
+    (root / "requirements.txt").write_text("cryptography==41.0\nflask==1.0\n")
+    (root / "nginx.conf").write_text("ssl_protocols TLSv1.2 TLSv1.3;\nssl_ciphers AES128-SHA:HIGH;\n")
+    (root / "layer.tar").write_bytes(tarred(**{"etc/shadow": b"root:$6$salt$hash:19000:0:::::\n"}))
+    return root
+
+
+def test_build_from_files_to_bills(spark, project, tmp_path):
+    """Claims, metadata, package URLs, archive facts, tags, the written tables and the bills of one folder."""
+    builder = GraphBuilder(spark).with_folder(str(project)).with_tag("run").with_package_tags().with_bills(str(tmp_path / "bills")).with_output(str(tmp_path / "graph")).with_ingested_list(str(tmp_path / "read"))
+    items, edges = builder.run()
+    by = {n.rpartition("/")[2]: r.id for r in items.collect() for n in r.file_names or []}
+    facts = {(r.id, r.key, r.value) for r in builder.extra.collect()}
+    jar, layer = by["org.foo.bar-1.2.jar"], by["layer.tar"]
+    assert {
+        (jar, "maven:AutomaticModuleName", "org.foo.bar"), (jar, "maven:NestedJars", "lib/inner.jar"), (jar, "maven:ServiceProviders", "org.foo.Api"), (by["bar-1.2.pom"], "Name", "Bar"),
+        (by["requirements.txt"], "CryptoDependency:name", "cryptography"), (by["nginx.conf"], "TLSConfig:algorithms", "aes-128-cbc"), (by["shadow"], "PasswordHash:Algorithm", "sha512"),
+    } <= facts
+    purls = {(r.id, r.purl) for r in builder.purls.collect()}
+    assert (by["bar-1.2.pom"], "pkg:maven/org.foo/bar@1.2?type=pom") in purls
+    links = {tuple(r) for r in edges.select("src", "edge_type", "dst").collect()}
+    assert {(i, "alias:from", p) for i, p in purls} | {(p, "alias:to", i) for i, p in purls} <= links
+    tags = [r.id for r in items.filter("body_mime like '%.tag'").collect()]
+    assert len(tags) == 1 + len({p.partition("?")[0] for i, p in purls if i in by.values()}) and all((t, "tag:from", "tags") in links and ("tags", "tag:to", t) in links for t in tags)
+    bills = {r.root: json.loads(r.document) for r in builder.bills.collect()}
+    assert {c["name"].lower() for c in bills[layer]["components"]} == {"sha512"} and bills[layer]["bomFormat"] == "CycloneDX" and jar not in bills
+    assert len(list((tmp_path / "bills").glob("cbom_*.json"))) == len(bills) >= 2
+    assert {r.value for r in spark.read.text(str(tmp_path / "graph/purls")).collect()} == {p for _, p in purls}
+    assert spark.read.parquet(str(tmp_path / "graph/extra")).count() == len(facts) and spark.read.text(str(tmp_path / "read")).count() == 5
+    rows = clusters.nested(items, edges, builder.extra)
+    read = clusters.read_cluster(spark, clusters.export_cluster(rows, str(tmp_path / "c")))
+    assert {(r.id, k, v.value) for r in read.collect() for k, values in (r.extra or {}).items() for v in values} == {f for f in facts}
+    clusters.dump(items, edges, str(tmp_path / "dump"), builder.extra)
+    assert spark.read.json(str(tmp_path / "dump")).count() == rows.count()
+    clusters.dump_roots(items, edges, str(tmp_path / "roots"))
+    assert [json.loads(r.value) for r in spark.read.text(str(tmp_path / "roots")).collect()] == sorted(r.id for r in graph.roots(items, edges).collect())
+
+
+def test_types_of_long_texts(spark):
+    """Multi-byte characters at the end of what is looked at, and marks far behind the beginning."""
+    from ledgerloom.functions.mime import PROBE, mime_types
+
+    contents = {"a.txt": ("a" + "é" * 3000).encode(), "b.txt": ("a" + "é" * PROBE).encode(), "c.pem": ("# " + "x" * 9000 + "\n-----BEGIN CERTIFICATE-----").encode(), "d.bin": b"\xff" * 5000, "e.crl": b"0\x82\x01\x00" + b"x" * 300, "f": b"", "g.asc": b"-----BEGIN PGP PUBLIC KEY BLOCK-----", "h.img": b"KDMV" + bytes(600)}
+    df = spark.createDataFrame(list(contents.items()), "path string, content binary")
+    got = {r.path: r.t for r in df.select("path", mime_types(F.col("content"), F.col("path")).alias("t")).collect()}
+    assert got["a.txt"] == got["b.txt"] == ["text/plain"] and "application/x-pem-file" in got["c.pem"]
+    assert got["d.bin"] == got["f"] == ["application/octet-stream"] and "application/pkix-crl" in got["e.crl"]
+    assert "application/pgp-keys" in got["g.asc"] and "application/x-vmdk" in got["h.img"]
+
+
+def test_deep_nesting_is_opened(spark, tmp_path):
+    data = b"bottom"
+    for _ in range(3):
+        data = zipped(**{"in.zip": data})
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "top.zip").write_bytes(data)
+    assert files.expand(files.scan(spark, str(tmp_path / "in"))).count() == 4
+    assert files.expand(files.scan(spark, str(tmp_path / "in")), most=1).count() == 2
