@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .clustering import OP13_SQL, op13_centroid_clustering
 from .html_extract import op2_html_extraction
 from .lm_scoring import op1_lm_scoring
 from .media import op3_chroma_fingerprints
@@ -12,6 +13,7 @@ from .secret_scan import op4_secret_scans
 from .simhash import op5_simhash_near_dedup
 from .token_counts import op8_token_counts
 from .topk import OP9_SQL, op9_exact_topk
+from .whitening import op11_embedding_whitening
 
 QUERIES = {
     "op4_secret_scans": op4_secret_scans,
@@ -24,6 +26,8 @@ QUERIES = {
     "op7_source_mixing": op7_source_mixing,
     "op9_exact_topk": op9_exact_topk,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
-SQL: dict[str, str] = {"op9_exact_topk": OP9_SQL}
+SQL: dict[str, str] = {"op9_exact_topk": OP9_SQL, "op13_centroid_clustering": OP13_SQL}
