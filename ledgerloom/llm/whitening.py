@@ -118,22 +118,23 @@ def whitened(vectors: DataFrame, count: int = 16, scale: int = 64, shift: int =
             basis = basis * np.where(basis[np.abs(basis).argmax(0), np.arange(len(values))] < 0, -1, 1)  # the largest entry is positive
     scaled_basis = basis / np.sqrt(values)
     k = len(values)
-    if k:
-        inner = added(scaled_basis, lambda c, b: (c @ b).T @ (c @ b)).reshape(k, k) / centre.n
-        error = float(np.abs(inner - np.eye(k)).max())
+    if not k:
+        return spark.createDataFrame([], WHITENED)
+    inner = added(scaled_basis, lambda c, b: (c @ b).T @ (c @ b)).reshape(k, k) / centre.n
+    error = float(np.abs(inner - np.eye(k)).max())
 
     def project(batches):
         for batch in batches:
-            n = batch.num_rows if k else 0
-            exact = centre.exact(matrix(batch.column(1), width)[:n])
+            n = batch.num_rows
+            exact = centre.exact(matrix(batch.column(1), width))
             every = lambda a: np.repeat(a, k)
             columns = [
-                batch.column(0).slice(0, n).take(pa.array(every(np.arange(n)))),
+                batch.column(0).take(pa.array(every(np.arange(n)))),
                 pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), n)),
                 pa.array(np.full(n * k, centre.n, np.int64)),
                 pa.array(every(centre.deviation(exact))),
                 pa.array((centre.floats(exact) @ scaled_basis).ravel()),
-                pa.array(np.tile(values / trace if k else values, n)),
+                pa.array(np.tile(values / trace, n)),
                 pa.array(np.full(n * k, error)),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"])
