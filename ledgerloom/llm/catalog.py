@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .clustering import OP13_SQL, op13_centroid_clustering
 from .html_extract import op2_html_extraction
+from .line_dedup import OP12_SQL, op12_line_dedup
 from .lm_scoring import op1_lm_scoring
 from .media import op3_chroma_fingerprints
 from .mixing import op7_source_mixing
@@ -27,7 +28,8 @@ QUERIES = {
     "op9_exact_topk": op9_exact_topk,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_line_dedup": op12_line_dedup,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 
-SQL: dict[str, str] = {"op9_exact_topk": OP9_SQL, "op13_centroid_clustering": OP13_SQL}
+SQL: dict[str, str] = {"op9_exact_topk": OP9_SQL, "op12_line_dedup": OP12_SQL, "op13_centroid_clustering": OP13_SQL}
