@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.textual import date
-from .model import ALIAS_FROM, CONTAINS
-from .operators import cbom, graph, merge, strategies
+from .model import ALIAS_FROM, CONTAINS, METADATA_BODY
+from .operators import cbom, graph, images, merge, strategies
+from .operators.configs import without_leaks
 from .operators.jars import archive_facts
 from .operators.tags import package_tags, run_tag, tagged
 from .sources import clusters, files
@@ -18,6 +19,17 @@ from .storage import materialised
 from .streaming.upsert import graph_of, with_aliases
 
 Hook = Callable[[DataFrame, DataFrame], bool]
+MANIFEST = "META-INF/MANIFEST.MF"
+
+
+def elsewhere(claimed: DataFrame, held: DataFrame, taken: DataFrame) -> DataFrame:
+    """Claimed artifacts (id, path) but those that occur only as parts of what took them: ``taken`` has container and id.
+
+    Only the occurrences of taken contents are looked at.
+    """
+    own = held.join(taken.select("id").distinct(), "id", "left_semi").join(taken.select(F.col("container").alias("scope"), "id", F.lit(True).alias("took")), ["scope", "id"], "left")
+    gone = own.groupBy("id", "path").agg(F.bool_and(F.coalesce("took", F.lit(False))).alias("all")).filter("all").select("id", "path")
+    return claimed.join(gone, ["id", "path"], "left_anti")
 
 
 class GraphBuilder:
@@ -115,17 +127,25 @@ class GraphBuilder:
             own = own.unionByName(more)
         return files.expand(own, self.blocked)
 
-    def described(self, own: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Metadata and package URLs of the artifacts: what strategies extract, and what members tell of archives."""
-        texts = strategies.with_text(own)
+    def described(self, own: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Metadata and package URLs of the artifacts, and the images among them with their layers.
+
+        Facts come from what strategies extract, from what members tell of archives, and from images.
+        """
         # Written once: every extractor reads the claims, and none the contents.
-        claimed = materialised(strategies.claims(texts), "claims")
-        extra, purls = strategies.extract(claimed)
+        claimed = materialised(strategies.needed(strategies.claims(strategies.with_text(own))), "claims")
+        held = own.filter("container is not null").select(F.col("container").alias("scope"), "path", "id")
+        jsons = claimed.filter(F.array_contains("mime", "application/json") & F.col("text").isNotNull()).select("id", F.col("text").alias("json")).dropDuplicates(["id"])
+        found = materialised(images.images(held, jsons), "images")
+        layers = materialised(images.layers(found, held), "layers")
+        extra, purls = strategies.extract(elsewhere(claimed, held, images.members(found, layers)))
         java = own.filter(F.array_contains("mime", "application/java-archive")).select(F.col("id").alias("container")).distinct()
         members = own.filter("container is not null").select("id", "path", "container").distinct().join(java, "container", "left_semi")
-        facts = archive_facts(members.join(claimed.select("id", "text"), "id").select("container", "path", "text"))
-        extra = extra.unionByName(facts.select("id", "key", F.lit(None).cast("string").alias("mime"), "value")).distinct()
-        return materialised(extra, "extra"), materialised(purls, "purls")
+        heads = strategies.with_text(own.filter(F.col("path") == MANIFEST)).select("id", "text").dropDuplicates(["id"])
+        of_path = members.join(heads, "id", "left").withColumn("text", F.when(F.col("path") == MANIFEST, F.col("text")))
+        facts = archive_facts(of_path.select("container", "path", "text"))
+        extra = extra.unionByName(facts.select("id", "key", F.lit(None).cast("string").alias("mime"), "value")).unionByName(without_leaks(images.metadata(found))).distinct()
+        return materialised(extra, "extra"), materialised(purls.unionByName(images.purls(found).select("id", "purl")).distinct(), "purls"), found, layers
 
     def billed(self, items: DataFrame, edges: DataFrame, extra: DataFrame) -> DataFrame:
         """(root, file_name, document) of every root that holds cryptographic material."""
@@ -140,16 +160,21 @@ class GraphBuilder:
         own = self.artifacts()
         items, edges = graph_of(own)
         edges = with_aliases(own, edges)
-        extra, purls = self.described(own)
+        extra, purls, found, layers = self.described(own)
+        edges = edges.unionByName(images.layer_edges(layers))
+        typed = images.types(found, layers)
+        none = F.array().cast("array<string>")
+        items = items.unionByName(typed.select("id", F.lit(METADATA_BODY).alias("body_mime"), none.alias("file_names"), "mime_types", F.lit(None).cast("long").alias("file_size")))
         edges = edges.unionByName(graph.with_reversed(purls.select(F.col("id").alias("src"), F.lit(ALIAS_FROM).alias("edge_type"), F.col("purl").alias("dst")))).distinct()
         tops = own.filter("depth = 0").select("id").distinct()
         added = [tagged(self.spark, tops, self.tag)] if self.tag else []
         if self.package_tags:
             name, version = F.regexp_extract("purl", "^pkg:([^@?#]+)", 1), F.nullif(F.regexp_extract("purl", "@([^?#]+)", 1), F.lit(""))
             when = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-            added.append(package_tags(purls.join(tops, "id", "left_semi").select("id", name.alias("name"), version.alias("version"), F.lit(when).alias("date")).distinct()))
+            packaged = purls.join(tops, "id", "left_semi").select("id", name.alias("name"), version.alias("version"), F.lit(when).alias("date"))
+            tagged_images = images.image_tags(found).filter("position = 0").select(F.col("config").alias("id"), F.col("tag").alias("name"), F.nullif(F.regexp_extract("tag", ":([^:]*)$", 1), F.lit("")).alias("version"), F.lit(when).alias("date"))
+            added.append(package_tags(packaged.unionByName(tagged_images).distinct()))
         for more_items, more_edges in added:
-            none = F.array().cast("array<string>")
             items = items.unionByName(more_items.select("id", "body_mime", none.alias("file_names"), none.alias("mime_types"), F.lit(None).cast("long").alias("file_size")))
             edges = edges.unionByName(graph.with_reversed(more_edges)).distinct()
         if self.cutoff is not None:

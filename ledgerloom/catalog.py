@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import artifacts, configs, scalars, trees
+from .plans import archives, artifacts, configs, scalars, trees
 from .plans.base import QUERIES, SQL
 
 FLAGSHIP = "m01_roots"
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "artifacts", "configs", "scalars", "trees"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "archives", "artifacts", "configs", "scalars", "trees"]

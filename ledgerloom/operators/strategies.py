@@ -38,12 +38,14 @@ def _name() -> Column:
 
 
 def claims(artifacts: DataFrame) -> DataFrame:
-    """Artifacts (path, mime, text) with the first strategy that takes them; text is null for binary contents."""
+    """Artifacts (path, mime, text) with the first strategy that takes them; text is null for binary contents.
+
+    What belongs to a container image is told by ``images.members``, as it takes several artifacts.
+    """
     name, text, path = _name(), F.coalesce("text", F.lit("")), F.col("path")
     has = lambda *types: F.arrays_overlap("mime", F.array(*map(F.lit, types)))
     chain = [
         ("maven", packages.is_archive(name) | name.rlike(r"\.pom$|-(sources|javadocs?)\.jar$") | (name == "pom.xml")),
-        ("docker", (name == "manifest.json") & text.contains('"Layers"')),
         ("os-package", has("application/x-rpm") | name.rlike(r"\.(deb|apk|pkg\.tar\.(xz|zst))$") | (path.rlike(r"(^|/)control$") & text.rlike("(?m)^Package: "))),
         ("dotnet", has("application/x-msdownload") & name.rlike(r"(?i)\.(dll|exe)$")),
         ("language-package", name.rlike(r"\.(whl|gem|crate|nupkg)$") | name.isin("package.json", "PKG-INFO", "Cargo.toml", "go.mod")),
@@ -68,12 +70,15 @@ def claims(artifacts: DataFrame) -> DataFrame:
 
 
 def with_text(artifacts: DataFrame, most: int = 16 << 20) -> DataFrame:
-    """Artifacts with their text: UTF-8 contents of at most ``most`` bytes; each content once with one path."""
-    # Contents that are no text stay where they are; those that are come once for each path at first.
-    own = artifacts.select("id", "path", "mime", F.when(F.octet_length("content") <= most, F.try_validate_utf8("content")).alias("text"))
-    least = own.groupBy("id").agg(F.min(F.struct("path", "mime")).alias("at")).select("id", "at.path", "at.mime")
-    binary = least.join(own.filter("text is not null").select("id").distinct(), "id", "left_anti").withColumn("text", F.lit(None).cast("string"))
-    return own.filter("text is not null").join(least, ["id", "path", "mime"], "left_semi").dropDuplicates(["id"]).unionByName(binary)
+    """Artifacts (id, path, mime), once for each path of a content, with their text: UTF-8 contents of at most ``most`` bytes."""
+    own = artifacts.select("id", F.when(F.octet_length("content") <= most, F.try_validate_utf8("content")).alias("text")).filter("text is not null")
+    return artifacts.select("id", "path", "mime").distinct().join(own.dropDuplicates(["id"]), "id", "left")
+
+
+def needed(claimed_: DataFrame) -> DataFrame:
+    """Claimed artifacts without the texts that no extractor reads: a licence under a million paths is not written a million times."""
+    read = (F.col("strategy") != "generic") | F.array_contains("mime", "application/json")
+    return claimed_.withColumn("text", F.when(read, F.col("text")))
 
 
 def _rows(df: DataFrame, prefix: str, facts: dict[str, Column]) -> DataFrame:
@@ -122,9 +127,9 @@ def extract(claimed_: DataFrame) -> tuple[DataFrame, DataFrame]:
     locks = of("crypto-dependency").select("id", _name().alias("name"), "text")
     whole = F.when(F.col("name") == "Cargo.lock", textual.cargo_lock(F.col("text"))).when(F.col("name") == "package-lock.json", textual.npm_lock(F.col("text"))).when(F.col("name").isin("yarn.lock", "pnpm-lock.yaml"), textual.yarn_lock(F.col("text")))
     by_line = F.when(F.col("name") == "go.sum", F.transform(F.split("text", "\n"), textual.checksum_line)).when(F.col("name") == "requirements.txt", F.transform(F.split("text", "\n"), textual.requirement))
-    needed = locks.select("id", F.explode(F.coalesce(whole, F.filter(by_line, lambda d: d.isNotNull()))).alias("d")).select("id", "d.name", "d.version")
-    needed = needed.withColumn("families", F.try_element_at(crypto.lookup(crypto.FAMILIES), F.col("name"))).filter(F.col("families").isNotNull() | F.col("name").isin(*crypto.UNMAPPED))
-    extra.append(_rows(needed, "CryptoDependency:", {"name": F.col("name"), "version": F.col("version"), "algorithms": F.col("families"), "mapped": F.col("families").isNotNull()}))
+    asked = locks.select("id", F.explode(F.coalesce(whole, F.filter(by_line, lambda d: d.isNotNull()))).alias("d")).select("id", "d.name", "d.version")
+    asked = asked.withColumn("families", F.try_element_at(crypto.lookup(crypto.FAMILIES), F.col("name"))).filter(F.col("families").isNotNull() | F.col("name").isin(*crypto.UNMAPPED))
+    extra.append(_rows(asked, "CryptoDependency:", {"name": F.col("name"), "version": F.col("version"), "algorithms": F.col("families"), "mapped": F.col("families").isNotNull()}))
 
     release = of("jvm").select("id", "path", textual.properties(F.col("text")).alias("p"))
     value = lambda k: textual.unquoted(F.try_element_at("p", F.lit(k.lower())))

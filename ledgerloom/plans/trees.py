@@ -193,13 +193,6 @@ def j08_reference_edges(spark, sf_dir):
     return found.groupBy(F.col("p_brand").alias("container")).agg(F.array_join(F.array_sort(F.collect_set("path")), ",").alias("associated_files"))
 
 
-@query("j09_layers", "SELECT DISTINCT 'C' || o_custkey AS src, 'contained:down' AS edge_type, 'O' || o_orderkey AS dst FROM orders WHERE o_orderstatus = 'O'")
-def j09_layers(spark, sf_dir):
-    """Image configurations (customers) hold their layers (open orders); these edges get no reverses."""
-    own = table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'")
-    return graph.with_reversed(own.select(F.concat(F.lit("C"), "o_custkey").alias("src"), F.lit("contained:down").alias("edge_type"), F.concat(F.lit("O"), "o_orderkey").alias("dst")))
-
-
 @query("j04_class_source", "SELECT DISTINCT l.l_orderkey AS class_id, 'build:down' AS edge_type, o.o_custkey AS source_id FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_linenumber = 1")
 def j04_class_source(spark, sf_dir):
     """Classes meet sources on archive and path: first lines and their orders."""
