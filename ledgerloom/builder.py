@@ -138,7 +138,10 @@ class GraphBuilder:
         jsons = claimed.filter(F.array_contains("mime", "application/json") & F.col("text").isNotNull()).select("id", F.col("text").alias("json")).dropDuplicates(["id"])
         found = materialised(images.images(held, jsons), "images")
         layers = materialised(images.layers(found, held), "layers")
-        extra, purls = strategies.extract(elsewhere(claimed, held, images.members(found, layers)))
+        claimed = elsewhere(claimed, held, images.members(found, layers))
+        wanted = claimed.filter("strategy = 'certificates' and text is null").select("id", "path").distinct()
+        contents = own.select("id", "path", "content").join(wanted, ["id", "path"], "left_semi").dropDuplicates(["id"])
+        extra, purls = strategies.extract(claimed, contents)
         java = own.filter(F.array_contains("mime", "application/java-archive")).select(F.col("id").alias("container")).distinct()
         members = own.filter("container is not null").select("id", "path", "container").distinct().join(java, "container", "left_semi")
         heads = strategies.with_text(own.filter(F.col("path") == MANIFEST)).select("id", "text").dropDuplicates(["id"])

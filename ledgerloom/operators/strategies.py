@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crypto, openssl, packages, poms, textual, tokens
-from . import configs
+from . import configs, keymaterial
 from .filters import scan_filtered
 from .joins import claimed, needles_in
 
@@ -50,7 +50,7 @@ def claims(artifacts: DataFrame) -> DataFrame:
         ("dotnet", has("application/x-msdownload") & name.rlike(r"(?i)\.(dll|exe)$")),
         ("language-package", name.rlike(r"\.(whl|gem|crate|nupkg)$") | name.isin("package.json", "PKG-INFO", "Cargo.toml", "go.mod")),
         ("embedded-certificates", has("application/x-sharedlib") & name.rlike(r"^lib(ssl|crypto|gnutls|nss|mbed)")),
-        ("certificates", (has("application/x-pem-file") & text.contains("-----BEGIN CERTIFICATE-----")) | textual.keystore_type(name).isNotNull() | name.rlike(r"(?i)\.(crt|cer|der|crl|pgp|asc)$")),
+        ("certificates", (has("application/x-pem-file") & text.rlike("-----BEGIN (CERTIFICATE|X509 CRL|PGP PUBLIC KEY BLOCK)-----")) | textual.keystore_type(name).isNotNull() | name.rlike(r"(?i)\.(crt|cer|der|crl|pgp|gpg|asc)$|-cert\.pub$")),
         ("shadow", path.rlike(r"(^|/)etc/(shadow|gshadow|passwd|group)$")),
         ("usign", path.contains("etc/opkg/keys/") | text.rlike(r"^untrusted comment:")),
         ("ssh", path.rlike(r"(^|/)\.ssh/|authorized_keys|ssh_host_[a-z0-9]+_key(\.pub)?$|id_[a-z0-9]+(\.pub)?$")),
@@ -87,16 +87,25 @@ def _rows(df: DataFrame, prefix: str, facts: dict[str, Column]) -> DataFrame:
     return df.select("id", F.explode(each).alias("f")).select("id", "f.key", F.lit(None).cast("string").alias("mime"), "f.value").filter("value is not null and value <> ''")
 
 
-def extract(claimed_: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Metadata and package URLs of claimed artifacts (id, path, mime, text, strategy)."""
+def extract(claimed_: DataFrame, contents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Metadata and package URLs of claimed artifacts (id, path, mime, text, strategy).
+
+    ``contents`` (id, path, content) has the claimed key material that is no text.
+    """
     of = lambda *names: claimed_.filter(F.col("strategy").isin(*names) & F.col("text").isNotNull())
     lines = lambda df: df.select("id", "path", F.explode(F.split("text", r"\r?\n")).alias("line"))
     extra, purls = [], []
 
-    certificates = of("certificates", "embedded-pem").select("id", F.explode(tokens.pem_certificates(F.col("text"))).alias("c")).select("id", tokens.certificate_facts("c").alias("c")).filter("c.subject is not null")
-    names = {"SubjectDN": "subject", "IssuerDN": "issuer", "Serial": "serial", "NotBefore": "not_before", "NotAfter": "not_after", "KeyAlgorithm": "key_algorithm", "SigAlgorithm": "sig_algorithm", "SpkiSha256": "spki_sha256", "CertSha256": "cert_sha256", "SelfSigned": "self_signed", "Version": "version", "KeySize": "key_size", "Curve": "curve"}
-    extra.append(_rows(certificates, "Certificates:", {k: F.col(f"c.{v}") for k, v in names.items()}))
-    purls.append(certificates.select("id", F.concat(F.lit("pkg:generic/x509/spki-sha256@"), "c.spki_sha256", F.lit("?alg="), F.lower("c.key_algorithm")).alias("purl")))
+    pem = of("certificates", "embedded-pem").select("id", "text").dropDuplicates(["id"])
+    blocks = pem.withColumn("c", tokens.pem_certificates(F.col("text"))).select("id", F.size("c").alias("total"), F.posexplode("c").alias("n", "content"))
+    binary = contents.filter(F.lower("path").rlike(r"\.(crt|cer|der)$") & (F.hex(F.substring("content", 1, 1)) == "30")).select("id", F.lit(1).alias("total"), F.lit(0).alias("n"), "content") if contents is not None else None
+    certificates = blocks.unionByName(binary) if binary is not None else blocks
+    facts = keymaterial.certificate_rows(certificates)
+    if contents is not None:
+        facts = facts.unionByName(keymaterial.material_rows(pem, contents))
+    extra.append(facts.select("id", F.concat(F.lit("Certificates:"), "key").alias("key"), F.lit(None).cast("string").alias("mime"), "value"))
+    keys = certificates.select("id", tokens.certificate_facts("content").alias("c")).filter("c.subject is not null")
+    purls.append(keys.select("id", F.concat(F.lit("pkg:generic/x509/spki-sha256@"), "c.spki_sha256", F.lit("?alg="), F.lower("c.key_algorithm")).alias("purl")))
 
     shadow = lines(of("shadow")).filter(F.col("path").rlike("shadow$") & F.col("line").contains(":")).select("id", F.split("line", ":").alias("f"))
     shadow = shadow.select("id", F.element_at("f", 1).alias("user"), crypto.crypt_details(F.element_at("f", 2)).alias("h"))
