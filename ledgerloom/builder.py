@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.textual import date
 from .model import ALIAS_FROM, CONTAINS, METADATA_BODY
-from .operators import cbom, graph, images, merge, strategies
+from .operators import cbom, classes, graph, images, merge, strategies
 from .operators.configs import without_leaks
 from .operators.jars import archive_facts
 from .operators.tags import package_tags, run_tag, tagged
@@ -147,6 +147,9 @@ class GraphBuilder:
         heads = strategies.with_text(own.filter(F.col("path") == MANIFEST)).select("id", "text").dropDuplicates(["id"])
         of_path = members.join(heads, "id", "left").withColumn("text", F.when(F.col("path") == MANIFEST, F.col("text")))
         facts = archive_facts(of_path.select("container", "path", "text"))
+        modules = materialised(classes.described_modules(own), "modules")
+        named = modules.filter("key = 'maven:AutomaticModuleName'").select("id", "key")  # a descriptor's name counts, not the manifest's
+        facts = facts.join(named, ["id", "key"], "left_anti").select(facts.columns).unionByName(modules)
         extra = extra.unionByName(facts.select("id", "key", F.lit(None).cast("string").alias("mime"), "value")).unionByName(without_leaks(images.metadata(found))).distinct()
         return materialised(extra, "extra"), materialised(purls.unionByName(images.purls(found).select("id", "purl")).distinct(), "purls"), found, layers
 
@@ -164,7 +167,7 @@ class GraphBuilder:
         items, edges = graph_of(own)
         edges = with_aliases(own, edges)
         extra, purls, found, layers = self.described(own)
-        edges = edges.unionByName(images.layer_edges(layers))
+        edges = edges.unionByName(images.layer_edges(layers)).unionByName(graph.with_reversed(classes.built_from(own)))
         typed = images.types(found, layers)
         none = F.array().cast("array<string>")
         items = items.unionByName(typed.select("id", F.lit(METADATA_BODY).alias("body_mime"), none.alias("file_names"), "mime_types", F.lit(None).cast("long").alias("file_size")))

@@ -1,12 +1,14 @@
-"""Queries of operators that join what archives hold: images and their layers."""
+"""Queries of operators that join what archives hold: images and their layers, classes and their sources."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import images
+from ..operators import classes, images
+from ..sources.records import records
 from .base import query, table
+from .material import raw, text, whole
 
 
 def image_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -64,3 +66,46 @@ def j03_image_facts(spark, sf_dir):
 def j09_layers(spark, sf_dir):
     """Image configurations contain their layers."""
     return images.layer_edges(_layers(spark, sf_dir))
+
+
+def utf8(value):
+    """A text constant of a class file."""
+    return F.concat(raw("01"), whole(F.length(text(value)), 2), text(value))
+
+
+def class_file(name, source):
+    """A class with a wide constant before its source file's name; a null source leaves the attribute out."""
+    pool = F.concat(utf8(name), raw("070001"), raw("050000000000000007"), utf8(F.lit("SourceFile")), utf8(F.coalesce(source, F.lit("none"))))
+    attribute = F.when(source.isNotNull(), raw("00010005000000020006")).otherwise(raw("0000"))
+    return F.concat(raw("CAFEBABE000000410007"), pool, raw("002100020000000000000000"), attribute)
+
+
+@query("j04_class_source", """WITH c AS (SELECT o_orderkey, o_custkey, 'pkg/' || lower(o_orderstatus) || '/C' || (o_orderkey % 10) || '.java' AS path, o_orderpriority LIKE '5%' AS bare FROM orders)
+SELECT DISTINCT 'K' || k.o_orderkey AS src, 'build:down' AS edge_type, 'S' || s.o_custkey || '-' || s.path AS dst FROM c k JOIN c s ON k.o_custkey = s.o_custkey AND k.path = s.path WHERE s.o_orderkey % 4 <> 1 AND NOT k.bare AND k.o_custkey % 3 <> 0""")
+def j04_class_source(spark, sf_dir):
+    """Customers as pairs of archives: orders are classes in one, some have their source in the other; every third has no companion."""
+    own = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.concat(F.lit("pkg/"), F.lower("o_orderstatus"), F.lit("/")).alias("package"), F.concat(F.lit("C"), F.col("o_orderkey") % 10, F.lit(".java")).alias("file"))
+    jar, sources = F.concat(F.lit("J"), "o_custkey"), F.concat(F.lit("S"), "o_custkey")
+    path = lambda end: F.concat(F.lit("repo/app"), "o_custkey", F.lit(end))
+    customers = own.select("o_custkey").distinct()
+    archives = customers.select(jar.alias("id"), path("-1.0.jar").alias("path"), F.lit(None).cast("string").alias("scope"))
+    archives = archives.unionByName(customers.filter("o_custkey % 3 <> 0").select(sources.alias("id"), path("-1.0-sources.jar").alias("path"), F.lit(None).cast("string").alias("scope")))
+    id_ = F.concat(F.lit("K"), "o_orderkey")
+    contents = own.select(id_.alias("id"), class_file(F.concat("package", F.lit("K"), "o_orderkey"), F.when(~F.col("o_orderpriority").startswith("5"), F.col("file"))).alias("content"))
+    there = own.filter("o_orderkey % 4 <> 1").select(sources.alias("sources"), F.concat("package", "file").alias("path")).withColumn("id", F.concat("sources", F.lit("-"), "path"))
+    return classes.source_edges(own.select(jar.alias("jar"), id_.alias("id")), classes.class_facts(records(contents, "class")), classes.paired(archives), there)
+
+
+@query("f56_module_descriptors", """SELECT CAST(p_partkey AS VARCHAR) AS id, u.key, u.value FROM part, LATERAL (VALUES ('AutomaticModuleName', 'm.' || p_partkey), ('ModuleRequires', '["java.base","r.' || p_size || '"]'), ('ModuleExports', '["e.' || p_size || '"]'), ('ModuleUses', CASE WHEN p_partkey % 2 = 0 THEN '["u.Service"]' END), ('ModuleProvides', '{"u.Service":["i.A' || p_size || '","u.Service"]}')) u(key, value) WHERE u.value IS NOT NULL""")
+def f56_module_descriptors(spark, sf_dir):
+    """Each part is a module."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    pool = F.concat(
+        utf8(F.lit("module-info")), raw("070001"), utf8(F.lit("Module")), utf8(F.concat(F.lit("m."), key)), raw("130004"), utf8(F.lit("java.base")), raw("130006"), utf8(F.concat(F.lit("r."), size)), raw("130008"),
+        utf8(F.concat(F.lit("e/"), size)), raw("14000A"), utf8(F.lit("u/Service")), raw("07000C"), utf8(F.concat(F.lit("i/A"), size)), raw("07000E"),
+    )
+    uses = F.when(key % 2 == 0, raw("0001000D")).otherwise(raw("0000"))
+    requires, exports, provides = raw("0002" + "000780000000" + "000900000000"), raw("0001" + "000B000000010007"), raw("0001" + "000D0002000F000D")
+    body = F.concat(raw("000500000000"), requires, exports, raw("0000"), uses, provides)
+    content = F.concat(raw("CAFEBABE000000410010"), pool, raw("8000" + "0002" + "0000" * 4 + "0001"), raw("0003"), whole(F.length(body), 4), body)
+    return classes.module_facts(records(table(spark, sf_dir, "part").select(key.cast("string").alias("id"), content.alias("content")), "class"))

@@ -193,13 +193,6 @@ def j08_reference_edges(spark, sf_dir):
     return found.groupBy(F.col("p_brand").alias("container")).agg(F.array_join(F.array_sort(F.collect_set("path")), ",").alias("associated_files"))
 
 
-@query("j04_class_source", "SELECT DISTINCT l.l_orderkey AS class_id, 'build:down' AS edge_type, o.o_custkey AS source_id FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_linenumber = 1")
-def j04_class_source(spark, sf_dir):
-    """Classes meet sources on archive and path: first lines and their orders."""
-    classes = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"))
-    return classes.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select(F.col("o_orderkey").alias("class_id"), F.lit("build:down").alias("edge_type"), F.col("o_custkey").alias("source_id")).distinct()
-
-
 @query("a02_extra_union", "SELECT user_id AS id, event_type AS key, json_extract_string(props, '$.k') AS value FROM events GROUP BY ALL")
 def a02_extra_union(spark, sf_dir):
     own = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("key"), F.lit(None).cast("string").alias("mime"), F.get_json_object("props", "$.k").alias("value"))

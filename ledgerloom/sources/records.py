@@ -1,4 +1,4 @@
-"""Binary formats as rows of tag and value: DER, OpenSSH certificates, OpenPGP packets and Java key stores.
+"""Binary formats as rows of tag and value: DER, OpenSSH certificates, OpenPGP packets, Java key stores and class files.
 
 ``records`` turns a column of contents into one row for each element, with its place in the tree; what the
 elements mean is told by DataFrame expressions over these rows (``operators.keymaterial``).  Only
@@ -237,11 +237,78 @@ def key_store(data: bytes) -> Iterator[Record]:
             yield (n, j), (tag, CHAIN), at - len(content), len(content), content
 
 
-WALKS = {"der": der, "ssh": ssh_certificate, "pgp": pgp, "store": key_store}
+#: First places of a class file's rows: its name, its source file, and the parts of a module.
+CLASS, SOURCE, MODULE, REQUIRES, EXPORTS, OPENS, PROVIDES, USES = range(8)
+# How many bytes a constant has behind its tag; a text's length stands in front of it.
+CONSTANTS = {3: 4, 4: 4, 5: 8, 6: 8, 7: 2, 8: 2, 9: 4, 10: 4, 11: 4, 12: 4, 15: 3, 16: 2, 17: 4, 18: 4, 19: 2, 20: 2}
+
+
+def java_class(data: bytes) -> Iterator[Record]:
+    """A class file's name and source file; of a module its name and version, and what it requires, exports, opens, provides and uses.
+
+    One pass notes where each constant begins; wide ones count as two.  Fields, methods and code are stepped over.
+    """
+    if data[:4] != b"\xca\xfe\xba\xbe":
+        return
+    two = lambda at: struct.unpack_from(">H", data, at)[0]
+    places, at, n = {}, 10, 1
+    while n < two(8):
+        places[n] = at
+        tag = data[at]
+        at += 1 + (2 + two(at + 1) if tag == 1 else CONSTANTS[tag])
+        n += 2 if tag in (5, 6) else 1
+
+    def text(number: int) -> bytes:
+        where = places[number]
+        while data[where] != 1:  # a class, package or module names its text
+            where = places[two(where + 1)]
+        return data[where + 3 : where + 3 + two(where + 1)]
+
+    def row(path: tuple[int, ...], number: int) -> Record:
+        return path, (0,) * len(path), places[number], 0, text(number)
+
+    def attributes(at: int) -> tuple[list[tuple[int, int]], int]:
+        """Name and place of the content of each attribute, and where they end."""
+        out = []
+        count, at = two(at), at + 2
+        for _ in range(count):
+            out.append((two(at), at + 6))
+            at += 6 + struct.unpack_from(">I", data, at + 2)[0]
+        return out, at
+
+    yield row((CLASS,), two(at + 2))
+    at += 6
+    at += 2 + 2 * two(at)
+    for _ in range(2):  # fields and methods
+        count, at = two(at), at + 2
+        for _ in range(count):
+            at = attributes(at + 6)[1]
+    for name, at in attributes(at)[0]:
+        if text(name) == b"SourceFile":
+            yield row((SOURCE,), two(at))
+        elif text(name) == b"Module":
+            yield row((MODULE, 0), two(at))
+            if two(at + 4):
+                yield row((MODULE, 1), two(at + 4))
+            at += 6
+            for part in (REQUIRES, EXPORTS, OPENS, USES, PROVIDES):
+                count, at = two(at), at + 2
+                for j in range(count):
+                    yield row((part, j), two(at))
+                    at += {REQUIRES: 6, EXPORTS: 4, OPENS: 4}.get(part, 2)
+                    if part in (EXPORTS, OPENS, PROVIDES):
+                        many, at = two(at), at + 2
+                        for k in range(many):
+                            if part == PROVIDES:
+                                yield row((part, j, k), two(at))
+                            at += 2
+
+
+WALKS = {"class": java_class, "der": der, "ssh": ssh_certificate, "pgp": pgp, "store": key_store}
 
 
 def records(contents: DataFrame, kind: str) -> DataFrame:
-    """Rows of RECORD from contents (id, content) of one kind: der, ssh, pgp or store."""
+    """Rows of RECORD from contents (id, content) of one kind, a key of WALKS."""
     walk = WALKS[kind]
 
     def rows(batches):
@@ -251,7 +318,7 @@ def records(contents: DataFrame, kind: str) -> DataFrame:
                 try:
                     for path, *rest in walk(data or b""):
                         yield (id_, path, *rest)
-                except (ValueError, IndexError, struct.error, binascii.Error, UnicodeDecodeError):
+                except (ValueError, KeyError, IndexError, struct.error, binascii.Error, UnicodeDecodeError):
                     if path:
                         yield id_, (*path[:-1], path[-1] + 1), (BROKEN,), 0, 0, None
 
