@@ -141,7 +141,8 @@ class GraphBuilder:
         claimed = elsewhere(claimed, held, images.members(found, layers))
         wanted = claimed.filter("strategy = 'certificates' and text is null").select("id", "path").distinct()
         contents = own.select("id", "path", "content").join(wanted, ["id", "path"], "left_semi").dropDuplicates(["id"])
-        extra, purls = strategies.extract(claimed, contents)
+        places = own.select(F.coalesce("container", F.lit("")).alias("scope"), "path", "id").distinct()
+        extra, purls = strategies.extract(claimed, contents, places)
         java = own.filter(F.array_contains("mime", "application/java-archive")).select(F.col("id").alias("container")).distinct()
         members = own.filter("container is not null").select("id", "path", "container").distinct().join(java, "container", "left_semi")
         heads = strategies.with_text(own.filter(F.col("path") == MANIFEST)).select("id", "text").dropDuplicates(["id"])
@@ -150,7 +151,7 @@ class GraphBuilder:
         modules = materialised(classes.described_modules(own), "modules")
         named = modules.filter("key = 'maven:AutomaticModuleName'").select("id", "key")  # a descriptor's name counts, not the manifest's
         facts = facts.join(named, ["id", "key"], "left_anti").select(facts.columns).unionByName(modules)
-        extra = extra.unionByName(facts.select("id", "key", F.lit(None).cast("string").alias("mime"), "value")).unionByName(without_leaks(images.metadata(found))).distinct()
+        extra = extra.unionByName(facts.select("id", "key", F.lit(None).cast("string").alias("mime"), "value")).unionByName(without_leaks(images.metadata(found), long_hex=False)).distinct()
         return materialised(extra, "extra"), materialised(purls.unionByName(images.purls(found).select("id", "purl")).distinct(), "purls"), found, layers
 
     def billed(self, items: DataFrame, edges: DataFrame, extra: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEPTH = 10
+#: A document type: names and quoted strings, which may hold any mark, and a subset in brackets.
+DOCTYPE = r"""<!DOCTYPE(?:[^>\["']|"[^"]*"|'[^']*')*(?:\[(?:[^\]"']|"[^"]*"|'[^']*')*\])?\s*>"""
 
 
 def parsed(text: str | None) -> ET.Element | None:
@@ -17,7 +19,7 @@ def parsed(text: str | None) -> ET.Element | None:
     if not text:
         return None
     try:
-        root = ET.fromstring(re.sub(r"<!DOCTYPE[^>\[]*(\[.*?\])?\s*>", "", text, flags=re.S).strip())
+        root = ET.fromstring(re.sub(DOCTYPE, "", text, flags=re.S).strip())
     except (ET.ParseError, ValueError):
         return None
     for e in root.iter():

@@ -80,8 +80,8 @@ def protocols(extra: DataFrame) -> DataFrame:
     number = lambda c: F.regexp_replace(c, "^(?i)(TLS|SSL)v", "")
     own = extra.filter(F.col("key").rlike(r"^(openssl\.cnf|TLSConfig|ServiceCrypto):"))
     return own.groupBy("id").agg(
-        number(one("MinProtocol", "protocol_min")).alias("min_version"), number(one("MaxProtocol", "protocol_max")).alias("max_version"),
-        F.filter(F.split(one("CipherString", "cipher_suite"), r"[:;,\s]+"), lambda s: s != "").alias("suites"),
+        number(one("MinProtocol", "min_protocol", "protocol_min")).alias("min_version"), number(one("MaxProtocol", "max_protocol", "protocol_max")).alias("max_version"),
+        F.filter(F.split(one("CipherString", "cipher_string", "cipher_suite"), r"[:;,\s]+"), lambda s: s != "").alias("suites"),
     )
 
 

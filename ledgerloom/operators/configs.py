@@ -82,8 +82,11 @@ def mobile_facts(files: DataFrame) -> DataFrame:
     return own.select("id", "f.key", "f.value")
 
 
-def without_leaks(extra: DataFrame) -> DataFrame:
-    """Metadata without values that look like key material; long hex runs only under keys that may hold them."""
+def without_leaks(extra: DataFrame, long_hex: bool = True) -> DataFrame:
+    """Metadata without values that look like key material; long hex runs only under keys that may hold them, or that name files.
+
+    Where digests are what is told, as in images, ``long_hex=False`` lets them stay.
+    """
     bad = F.col("value").rlike("|".join(f"(?:{p})" for p in FORBIDDEN))
-    long = ~F.col("key").rlike(LONG_HEX_KEYS) & F.col("value").rlike("[0-9a-f]{32,}")
+    long = ~F.col("key").rlike(LONG_HEX_KEYS) & ~F.col("key").endswith(":associated_files") & F.col("value").rlike("[0-9a-f]{32,}") if long_hex else F.lit(False)
     return extra.filter(~bad & ~long)

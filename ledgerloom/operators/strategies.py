@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import crypto, openssl, packages, poms, textual, tokens
-from . import configs, keymaterial
+from ..functions import crypto, packages, poms, textual, tokens
+from ..storage import materialised
+from . import configs, inifiles, keymaterial
 from .filters import scan_filtered
 from .joins import claimed, needles_in
 
@@ -87,10 +88,22 @@ def _rows(df: DataFrame, prefix: str, facts: dict[str, Column]) -> DataFrame:
     return df.select("id", F.explode(each).alias("f")).select("id", "f.key", F.lit(None).cast("string").alias("mime"), "f.value").filter("value is not null and value <> ''")
 
 
-def extract(claimed_: DataFrame, contents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def prefixed(prefix: str, facts: DataFrame) -> DataFrame:
+    """Facts (id, key, value) as metadata rows."""
+    return facts.select("id", F.concat(F.lit(prefix), "key").alias("key"), F.lit(None).cast("string").alias("mime"), "value")
+
+
+def bundled(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, key, value) of the files that each of ``files`` (scope, path, id) includes by a reference."""
+    edges = inifiles.include_edges(files, wanted)
+    return inifiles.associated(files, edges, inifiles.layers(files, edges)).select("id", F.lit("associated_files").alias("key"), "value")
+
+
+def extract(claimed_: DataFrame, contents: DataFrame | None = None, places: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Metadata and package URLs of claimed artifacts (id, path, mime, text, strategy).
 
-    ``contents`` (id, path, content) has the claimed key material that is no text.
+    ``contents`` (id, path, content) has the claimed key material that is no text; ``places`` (scope, path, id)
+    tells which files lie in one container, the empty scope being that of the files themselves.
     """
     of = lambda *names: claimed_.filter(F.col("strategy").isin(*names) & F.col("text").isNotNull())
     lines = lambda df: df.select("id", "path", F.explode(F.split("text", r"\r?\n")).alias("line"))
@@ -103,7 +116,7 @@ def extract(claimed_: DataFrame, contents: DataFrame | None = None) -> tuple[Dat
     facts = keymaterial.certificate_rows(certificates)
     if contents is not None:
         facts = facts.unionByName(keymaterial.material_rows(pem, contents))
-    extra.append(facts.select("id", F.concat(F.lit("Certificates:"), "key").alias("key"), F.lit(None).cast("string").alias("mime"), "value"))
+    extra.append(prefixed("Certificates:", facts))
     keys = certificates.select("id", tokens.certificate_facts("content").alias("c")).filter("c.subject is not null")
     purls.append(keys.select("id", F.concat(F.lit("pkg:generic/x509/spki-sha256@"), "c.spki_sha256", F.lit("?alg="), F.lower("c.key_algorithm")).alias("purl")))
 
@@ -118,7 +131,7 @@ def extract(claimed_: DataFrame, contents: DataFrame | None = None) -> tuple[Dat
     extra.append(_rows(usign, "Usign:", {"Comment": F.col("comment"), "KeyId": F.when(F.length("raw") >= 10, F.lower(F.hex(F.substring("raw", 3, 8)))), "KeyAlgorithm": F.when(F.length("raw") >= 10, F.lit("ed25519"))}))
 
     prefix = F.when(F.col("service").isin("uhttpd", "nginx", "lighttpd"), "TLSConfig:").when(F.col("service").isin("java.security", "crypto.policy"), "java.security:").otherwise("ServiceCrypto:")
-    facts = configs.service_facts(of("service-tls", "service-crypto", "java-security", "mobile-tls").select("id", "path", "text"))
+    facts = configs.service_facts(of("service-tls", "service-crypto", "mobile-tls").select("id", "path", "text"))
     extra.append(facts.select("id", F.concat(prefix, "key").alias("key"), F.lit(None).cast("string").alias("mime"), "value"))
     suites = facts.filter(F.col("key").isin("cipher_suite", "CipherString")).select("id", prefix.alias("p"), F.explode(F.split("value", r"[:;,\s]+")).alias("t"))
     resolved = suites.select("id", "p", F.explode(F.split(F.coalesce(crypto.suite_algorithms(F.col("t")), F.try_element_at(crypto.lookup(crypto.ALGORITHM_NAMES), F.upper("t"))), " ")).alias("value"))
@@ -170,8 +183,19 @@ def extract(claimed_: DataFrame, contents: DataFrame | None = None) -> tuple[Dat
     wheel = of("language-package").filter(_name() == "PKG-INFO").select("id", tokens.manifest(F.col("text")).alias("p"))
     purls.append(wheel.filter(field("name").isNotNull()).select("id", packages.purl("pypi", F.regexp_replace(F.lower(field("name")), "[-_.]+", "-"), field("version")).alias("purl")))
 
-    ssl = of("openssl").select("id", openssl.config_facts("text").alias("o"))
-    extra.append(_rows(ssl, "openssl.cnf:", {"CipherString": F.col("o.cipher_string"), "Ciphersuites": F.col("o.cipher_suites"), "MinProtocol": F.col("o.min_protocol"), "MaxProtocol": F.col("o.max_protocol"), "Options": F.array_join("o.options", ",")}))
+    at = places if places is not None else claimed_.select(F.lit("").alias("scope"), "path", "id")
+    ini = of("openssl").select("id", "text").dropDuplicates(["id"])
+    if not ini.isEmpty():
+        rows = materialised(inifiles.section_rows(ini), "sections")
+        sections = materialised(inifiles.active(rows), "active")
+        own = at.join(of("openssl").select("id", "path").distinct(), ["id", "path"], "left_semi")
+        extra += [prefixed("openssl.cnf:", inifiles.security_facts(rows, sections)), prefixed("openssl.cnf:", bundled(own, inifiles.openssl_includes(rows, sections)))]
+    java = of("java-security").select("id", "text").dropDuplicates(["id"])
+    if not java.isEmpty():
+        own = at.join(of("java-security").select("id", "path").distinct(), ["id", "path"], "left_semi")
+        wanted = inifiles.java_includes(java)
+        facts = inifiles.effective(own, inifiles.java_properties(java), inifiles.include_edges(own, wanted))
+        extra += [prefixed("java.security:", facts), prefixed("java.security:", bundled(own, wanted))]
 
     def union(parts: list[DataFrame]) -> DataFrame:
         whole_ = parts[0]

@@ -209,21 +209,3 @@ def a10_dependency_groups(spark, sf_dir):
 def a11_line_sets(spark, sf_dir):
     own = table(spark, sf_dir, "documents").select("source", F.explode(F.regexp_extract_all("text", F.lit("(token|password|secret) ?[=:]"), 1)).alias("w"))
     return own.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("w")), ",").alias("words"))
-
-
-@query("a12_effective_config", """WITH own AS (SELECT c_nationkey AS id, c_mktsegment AS v FROM customer), all_ AS (SELECT id, v FROM own UNION SELECT n.n_nationkey, o.v FROM nation n JOIN nation m ON n.n_regionkey = m.n_regionkey AND m.n_nationkey <= n.n_nationkey JOIN own o ON o.id = m.n_nationkey)
-SELECT id, array_to_string(list_sort(list(DISTINCT v)), ',') AS listed FROM all_ GROUP BY id""")
-def a12_effective_config(spark, sf_dir):
-    """List properties are united along include edges: a nation includes those of its region before it."""
-    own = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("src"), F.col("c_mktsegment").alias("v")).distinct()
-    n = table(spark, sf_dir, "nation")
-    include = n.select(F.col("n_nationkey").alias("id"), "n_regionkey").join(n.select(F.col("n_nationkey").alias("src"), "n_regionkey"), "n_regionkey").filter("src <= id")
-    return include.join(own, "src").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("v")), ",").alias("listed"))
-
-
-@query("g04_section_pointers", """WITH RECURSIVE step AS (SELECT p_partkey AS a, (p_partkey * 7 + 3) % 50 AS b FROM part WHERE p_partkey < 50), walk AS (SELECT a AS root, a AS id, 0 AS depth FROM step UNION SELECT w.root, s.b, w.depth + 1 FROM walk w JOIN step s ON w.id = s.a WHERE w.depth < 8)
-SELECT root, id, min(depth) AS depth FROM walk GROUP BY ALL""")
-def g04_section_pointers(spark, sf_dir):
-    """Pointers from section to section, at most eight deep, safe against cycles."""
-    own = table(spark, sf_dir, "part").filter("p_partkey < 50").select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + 3) % 50).alias("dst"))
-    return graph.reach(own.select(F.col("src").alias("root"), F.col("src").alias("id")), own, 8)

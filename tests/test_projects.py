@@ -2,7 +2,6 @@ import json
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.openssl import config, config_facts, order_of
 from ledgerloom.functions.poms import project, project_facts, rendered, repository, runtime
 from ledgerloom.operators import cbom
 from ledgerloom.sources.scanners import changes, eligible, read_reports
@@ -30,32 +29,6 @@ def test_repository():
     assert repository("<metadata><versioning><latest>2</latest><versions><version>1</version><version>2</version></versions></versioning></metadata>") == {"latest": "2", "release": None, "versions": ["1", "2"]}
 
 
-CNF = """openssl_conf = init
-.include other.cnf
-[unused]
-MinProtocol = SSLv3
-[init]
-ssl_conf = ssl
-[ssl]
-system_default = tls # comment
-[tls]
-CipherString = DEFAULT@SECLEVEL=2
-MinProtocol = TLSv1.2
-Options = A, B,\\
- C
-ssl_conf = init
-"""
-
-
-def test_openssl(spark):
-    got = config(CNF)
-    assert got["reached"] == ["init", "ssl", "tls"] and got["min_protocol"] == "TLSv1.2" and got["cipher_string"] == "DEFAULT@SECLEVEL=2"
-    assert got["options"] == ["A", "B", "C"] and got["includes"] == ["other.cnf"] and got["sections"] == ["init", "ssl", "tls", "unused"]
-    df = spark.createDataFrame([(CNF,), (None,), ("",)], "t string").select(config_facts("t").alias("c")).select("c.min_protocol", "c.sections")
-    assert [r.min_protocol for r in df.collect()] == ["TLSv1.2", None, None]
-    assert order_of({"a": ["b"], "b": ["c", "a"], "c": [], "d": ["x"]}) == ["c", "b", "a", "d"]
-
-
 def test_scanner(spark, tmp_path):
     report = {
         "artifacts": [{"id": "p", "name": "n", "version": "1", "type": "java", "purl": "pkg:maven/g/n@1"}, {"id": "q", "name": "m"}],
