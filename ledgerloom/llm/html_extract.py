@@ -7,7 +7,13 @@ and a stretch in which kinds come back becomes a repeated group of optional
 members.  Texts that are equal stay constants and others become a slot.  So a
 wrapper has no alternatives, and its size depends on the kinds of nodes and not
 on the number or length of pages: a slot keeps how much text it has, how much
-of it is link text, and the texts that most of its pages share.
+of it is link text, and a summary of its frequent texts.
+
+The summary is that of Misra and Gries: at most four texts for each that a page
+has in the slot, on average, and eight more; where there are more, the least counts are taken off all.
+It merges in any order and surely holds what nearly all pages share.  A second pass over
+the pages counts exactly these candidates, so neither the order of rows nor
+their partitions decide what is a constant.
 
 Wrappers are folded per partition, then per host in two steps, so a host with
 a third of all pages is never one task.  A host's wrapper gives the path of its
@@ -133,12 +139,11 @@ def parse(page: str) -> Node:
 
 
 # A wrapper node is a list: kind, apart, optional, repeated, pages, characters,
-# link characters, for blocks without blocks inside the texts that nearly all
-# pages share, and children.  Texts are a dict of digest to [pages, digests of
-# up to DISTINCT different contents of pages].
-KIND, AWAY, OPTIONAL, REPEATED, PAGES, CHARS, LINKS, SHARED, BELOW = range(9)
-#: Different contents behind a constant; the share of pages that have it; and how many pages more may lack it so far.
-DISTINCT, OFTEN, SLACK = 3, 0.9, 3
+# link characters, number of texts and, for blocks without blocks inside, the summary
+# of the texts by digest, and children.
+KIND, AWAY, OPTIONAL, REPEATED, PAGES, CHARS, LINKS, TEXTS, SHARED, BELOW = range(10)
+#: The share of the main part's pages that a constant is in; it stands beside three different contents or more.
+OFTEN = 0.9
 
 
 def content_of(node: Node) -> int:
@@ -173,26 +178,28 @@ def digest_of(text: str) -> str:
     return xxhash.xxh32_hexdigest(text.encode("utf-8", "replace"))
 
 
-def wrapper_of(node: Node, in_link: bool = False, content: int | None = None) -> list:
+def wrapper_of(node: Node, in_link: bool = False) -> list:
     """The wrapper that fits one page's node."""
-    content = content_of(node) if content is None else content
     in_link = in_link or node.tag == "a"
     n = len(" ".join(" ".join(c for c in node.children if isinstance(c, str)).split()))
     below: list = []
     for c in node.children:
         if isinstance(c, Node):
-            _append(below, wrapper_of(c, in_link, content))
+            _append(below, wrapper_of(c, in_link))
     text = leaf_text(node)
-    return [node.kind, node.apart, False, False, 1, n, n * in_link, {digest_of(text): [1, [content]]} if text else {}, _folded(below)]
+    return [node.kind, node.apart, False, False, 1, n, n * in_link, 1 if text else 0, {digest_of(text): 1} if text else {}, _folded(below)]
 
 
-def _shared(a: dict, b: dict, pages: int, beside: bool) -> dict:
-    """The texts that nearly all pages of two slots share; as many as a page has, about, at most."""
+def _shared(a: dict, b: dict, pages: int, texts: int, beside: bool) -> dict:
+    """The summary of two slots' texts: counts may be too small, by less than a quarter of the pages where these are alike."""
     total = dict(a)
-    for text, (n, seen) in b.items():
-        m, before = total.get(text, (0, []))
-        total[text] = [max(m, n) if beside else m + n, sorted({*before, *seen})[:DISTINCT]]
-    return {t: x for t, x in total.items() if x[0] >= OFTEN * pages - SLACK}
+    for text, n in b.items():
+        total[text] = max(total.get(text, 0), n) if beside else total.get(text, 0) + n
+    most = 4 * -(-texts // pages) + 8
+    if len(total) > most and not beside:
+        off = sorted(total.values(), reverse=True)[most]
+        total = {t: n - off for t, n in total.items() if n > off}
+    return total
 
 
 def _append(below: list, child: list) -> None:
@@ -208,7 +215,7 @@ def _joined(a: list, b: list, beside: bool) -> list:
     pages = max(a[PAGES], b[PAGES]) if beside else a[PAGES] + b[PAGES]
     return [
         a[KIND], a[AWAY], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED] or beside, pages,
-        a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], _shared(a[SHARED], b[SHARED], pages, beside), align(a[BELOW], b[BELOW], beside),
+        a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], a[TEXTS] + b[TEXTS], _shared(a[SHARED], b[SHARED], pages, a[TEXTS] + b[TEXTS], beside), align(a[BELOW], b[BELOW], beside),
     ]
 
 
@@ -284,7 +291,7 @@ def main_part(wrapper: list, names: bool) -> tuple[list, list[str]]:
             continue
         if tag_of(node) in ("article", "main") or ".main" in node[KIND] + ".":
             chars = weight(node, names)[0]
-            if chars > best[0] or (chars == best[0] and best[1] is not None and len(path) > len(best[1])):
+            if best[1] is None and chars > 0 or best[1] is not None and (chars, len(path), path) > (best[0], len(best[1]), best[1]):
                 best = chars, path, node
             if tag_of(node) == "article":
                 continue
@@ -293,7 +300,7 @@ def main_part(wrapper: list, names: bool) -> tuple[list, list[str]]:
         return best[2], best[1]
     node, path = wrapper, []
     while True:
-        own = max(node[BELOW], key=lambda c: weight(c, names)[0] - weight(c, names)[1], default=None)
+        own = max(node[BELOW], key=lambda c: (weight(c, names)[0] - weight(c, names)[1], c[KIND]), default=None)
         chars, links = weight(node, names)
         if own is None or tag_of(own) not in BLOCKS or tag_of(own) in ("p", "li", "td", "pre", "blockquote"):
             break
@@ -306,7 +313,7 @@ def main_part(wrapper: list, names: bool) -> tuple[list, list[str]]:
 
 
 def rule(wrapper: list) -> list:
-    """[kinds on the path of the main part, paths within it that go, and texts that go by the path within it]."""
+    """[kinds on the path of the main part, paths within it that go, and texts that may be constants by the path within it]."""
     names = 2 * weight(wrapper)[0] > weight(wrapper, False)[0]  # else names put most of the text apart, and mean nothing here
     node, path = main_part(wrapper, names)
     chars, links = weight(node, False)
@@ -322,10 +329,8 @@ def rule(wrapper: list) -> list:
         if marks >= 2 and 2 * (own - own_links) <= chars - links:
             gone.append(below)
             continue
-        if not HEADING.fullmatch(tag_of(c)):
-            often = sorted(t for t, (n, seen) in c[SHARED].items() if n >= OFTEN * node[PAGES] and len(seen) >= DISTINCT)
-            if often:
-                texts["\n".join(below)] = often
+        if c[SHARED] and not HEADING.fullmatch(tag_of(c)):
+            texts["\n".join(below)] = sorted(c[SHARED])
         todo += [(x, [*below, x[KIND]]) for x in c[BELOW]]
     return [path, sorted(gone), texts]
 
@@ -372,6 +377,25 @@ def text_of(nodes: list[Node], gone=(), texts=None) -> str:
     return "\n".join(blocks)
 
 
+def constants_in(page: str, known: list) -> tuple[int, set[tuple[str, str]]] | None:
+    """The digest of a page's content, and (path, digest) of the rule's candidates that are in its main part; None without that part."""
+    root = parse(page)
+    nodes = found(root, known[0])
+    if not nodes:
+        return None
+    asked = {tuple(k.split("\n")): {*v} for k, v in known[2].items()}
+    has: set = set()
+    todo: list = [(n, ()) for n in nodes]
+    while todo:
+        node, path = todo.pop()
+        if path in asked:
+            digest = digest_of(leaf_text(node) or "")
+            if digest in asked[path]:
+                has.add(("\n".join(path), digest))
+        todo += [(c, (*path, c.kind)) for c in node.children if isinstance(c, Node) and not c.apart]
+    return content_of(root), has
+
+
 def main_text(page: str | None, known: list | None) -> str:
     """The main text of a page under its host's rule, or under its own if the rule does not fit."""
     if not page:
@@ -379,7 +403,7 @@ def main_text(page: str | None, known: list | None) -> str:
     root = parse(page)
     nodes = found(root, known[0]) if known else []
     if not nodes:
-        known = rule(wrapper_of(root))
+        known = [*rule(wrapper_of(root))[:2], {}]  # one page has no constants
         nodes = found(root, known[0])
     return text_of(nodes, *known[1:]) or text_of(nodes)
 
@@ -420,17 +444,54 @@ def wrappers(pages: DataFrame, held: int = 5000) -> DataFrame:
     return some.groupBy("host", "lane").applyInArrow(step, kind + ", lane long").select("host", "wrapper").groupBy("host").applyInArrow(meet, kind)
 
 
+def rules(pages: DataFrame) -> DataFrame:
+    """host and rule, as JSON, over all pages; pages has host and html."""
+
+    def drafted(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([json.dumps(rule(json.loads(w))) for w in batch.column(1).to_pylist()], pa.string())], ["host", "rule"])
+
+    drafts = materialised(wrappers(pages).mapInArrow(drafted, "host string, rule string"), "drafts")
+
+    def counted(batches):
+        parsed: dict = {}
+        for batch in batches:
+            rows = []
+            for host, page, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r not in parsed:
+                    if len(parsed) > 10_000:
+                        parsed.clear()
+                    parsed[r] = json.loads(r)
+                if page and (own := constants_in(page, parsed[r])):
+                    rows += [(host, None, None, own[0]), *((host, *x, own[0]) for x in own[1])]
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], ["host", "path", "digest", "content"])
+
+    asked = pages.join(drafts.filter("rule not like '%{}]'"), "host").select("host", "html", "rule")
+    seen = asked.mapInArrow(counted, "host string, path string, digest string, content long").withColumn("c", F.col("content").cast("decimal(20,0)"))
+    sums = seen.groupBy("host", "path", "digest").agg(F.count("*").alias("n"), F.min("c").alias("a"), F.max("c").alias("b"), F.sum("c").alias("s"), F.sum(F.col("c").cast("decimal(10,0)") * F.col("c").cast("decimal(10,0)")).alias("q"))
+    sums = materialised(sums, "constants")
+    # All contents are the least or the greatest if the sum of (c - a) * (c - b), none of which is above zero, is zero.
+    third = F.col("q") - (F.col("a") + F.col("b")).cast("decimal(11,0)") * F.col("s").cast("decimal(26,0)") + F.col("n").cast("decimal(16,0)") * (F.col("a").cast("decimal(10,0)") * F.col("b").cast("decimal(10,0)"))
+    whole = sums.filter("path is null").select("host", F.col("n").alias("pages"))
+    often = sums.filter("path is not null").join(whole, "host").filter((F.col("n") >= OFTEN * F.col("pages")) & (third != 0))
+    texts = often.groupBy("host", "path").agg(F.array_sort(F.collect_list("digest")).alias("digests")).groupBy("host").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "digests"))))).alias("texts"))
+
+    def final(batches):
+        for batch in batches:
+            out = [json.dumps([*json.loads(r)[:2], json.loads(t or "{}")]) for r, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["host", "rule"])
+
+    return materialised(drafts.join(texts, "host", "left").select("host", "rule", "texts").mapInArrow(final, "host string, rule string"), "rules")
+
+
 def extract(pages: DataFrame, page: str = "html", url: str = "url", keep: list[str] | None = None) -> DataFrame:
     """``pages``, or its columns ``keep``, with the main text of each row and its n_chars."""
     bounded_batches(pages.sparkSession)
     keep = [c for c in keep or pages.columns if c not in ("text", "n_chars")]
     own = pages.select(F.struct(*keep).alias("row"), host_of(url).alias("host"), F.col(page).alias("html"))
 
-    def rules(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([json.dumps(rule(json.loads(w))) for w in batch.column(1).to_pylist()], pa.string())], ["host", "rule"])
-
-    known = materialised(wrappers(own).mapInArrow(rules, "host string, rule string"), "rules")
+    known = rules(own)
     schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
