@@ -116,7 +116,8 @@ class Batches:
 def attend(model, inputs):
     """Place vectors, what is seen at each place, and of each head: queries, keys, values, attention and what it sees.
 
-    Scores stop at ``MOST``, so that no exponential overflows; attention is zero from behind.
+    Where a score is beyond ``MOST``, or a place's own below its negative, each row's maximum is taken off
+    first, so that no exponential overflows and no sum vanishes; attention is zero from behind.
     """
     x = model["embed"].take(inputs.ravel(), axis=0)
     qkv = (x @ model["qkv"]).reshape(*inputs.shape, -1)
@@ -128,11 +129,11 @@ def attend(model, inputs):
         q *= np.asarray(KEY**-0.5, q.dtype)
         weight = q @ k.transpose(0, 2, 1)
         weight += near[h]
-        np.minimum(weight, MOST, out=weight)
-        stopped = weight == MOST if weight.max() >= MOST else None
+        if weight.max(initial=0) > MOST or weight.diagonal(0, 1, 2).min(initial=0) < -MOST:
+            weight -= weight.max(-1, keepdims=True)
         np.exp(weight, out=weight)
         weight /= (weight.reshape(-1, WINDOW) @ ones).reshape(*inputs.shape, 1)
-        heads.append((q, k, v, weight, stopped, weight @ v))
+        heads.append((q, k, v, weight, weight @ v))
     return x, np.concatenate([h[-1] for h in heads], -1).reshape(-1, HEADS * VALUE), heads
 
 
@@ -199,14 +200,12 @@ def gradient(model, frequencies: Frequencies, inputs, scored, behind, targets) -
     d_qkv = np.empty((*inputs.shape, 2 * QK + HEADS * VALUE), x.dtype)
     out["near"] = np.zeros_like(model["near"])
     ones = np.ones(VALUE, x.dtype)
-    for h, (q, k, v, weight, stopped, own) in enumerate(heads):
+    for h, (q, k, v, weight, own) in enumerate(heads):
         ds = np.ascontiguousarray(d_seen[..., h * VALUE : (h + 1) * VALUE])
         d_qkv[..., 2 * QK + h * VALUE : 2 * QK + (h + 1) * VALUE] = weight.transpose(0, 2, 1) @ ds
         d_score = ds @ v.transpose(0, 2, 1)
         d_score -= ((ds * own).reshape(-1, VALUE) @ ones).reshape(*inputs.shape, 1)
         d_score *= weight
-        if stopped is not None:
-            d_score[stopped] = 0
         out["near"][h] = np.bincount(BACK.ravel(), d_score.sum(0).ravel(), WINDOW)
         d_qkv[..., h * KEY : (h + 1) * KEY] = d_score @ k
         d_qkv[..., QK + h * KEY : QK + (h + 1) * KEY] = d_score.transpose(0, 2, 1) @ q

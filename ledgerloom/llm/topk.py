@@ -25,31 +25,43 @@ other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialised, table
+from .vectors import matrix as dense
 
-LARGEST, HALF = float(1 << 56), 62
+LARGEST = sys.float_info.max
 INDEX = "block long, ids binary, low binary, bits binary, slices binary"
 
 
-def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and whole-number components of the rows that take part."""
+def quantised(rows: DataFrame, scale: int = 256) -> DataFrame:
+    """vec_id and components of the rows that take part, whole numbers kept as doubles, which have them exactly."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     fine = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return vectors.filter(fine).select(F.col("vec_id").cast("long"), F.transform(x, lambda v: F.floor(F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), v * scale))).cast("long")).alias("x"))
+    # A double of 2^52 or more is whole already.
+    whole = lambda v: F.when(F.abs(v) < float(1 << 52), F.floor(v).cast("double")).otherwise(v)
+    return rows.filter(fine).select(F.col("vec_id").cast("long"), F.transform(x, lambda v: whole(F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), v * scale)))).alias("x"))
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Rows of lists as a matrix, padded with zeros."""
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), max(map(len, rows), default=0)), np.int64)
-    for i, row in enumerate(rows):
-        out[i, : len(row)] = row
-    return out
+    """Rows of lists as a matrix of whole numbers, padded with zeros; Python's where 64 bits are too few."""
+    rows = dense(column, max(column.combine_chunks().value_lengths().to_pylist(), default=0)) if len(column) else np.zeros((0, 0))
+    if np.abs(rows).max(initial=0) < 1 << 61:
+        return rows.astype(np.int64)
+    return np.frompyfunc(int, 1, 1)(rows).astype(object)
+
+
+def order_key(score: int) -> str:
+    """A text that sorts as scores of any size do."""
+    digits = f"{abs(score):x}"
+    if score >= 0:
+        return f"1{len(digits):04x}{digits}"
+    return f"0{0xFFFF - len(digits):04x}{16 ** len(digits) - 1 + score:0{len(digits)}x}"
 
 
 class BitSlices:
@@ -58,8 +70,8 @@ class BitSlices:
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, x = ids[order], x[order]
-        self.low = x.min(0) if len(x) else np.zeros(x.shape[1], np.int64)
-        spread = x - self.low
+        self.low = x.min(0) if len(x) else np.zeros(x.shape[1], x.dtype)
+        spread = x - self.low  # below 2^62 unless Python's numbers
         self.bits = [int(v).bit_length() for v in spread.max(0)] if len(x) else [0] * x.shape[1]
         self._sizes()
         plain = np.zeros((self.first[-1], self.words * 8), np.uint8)
@@ -77,12 +89,14 @@ class BitSlices:
 
     def packed(self) -> list[bytes]:
         """ids, low, bits and slices as bytes."""
-        return [x.tobytes() for x in (self.ids, self.low, np.array(self.bits, np.int64), self.slices[: self.first[-1]])]
+        low = ",".join(map(str, self.low.tolist())).encode()
+        return [self.ids.tobytes(), low, np.array(self.bits, np.int64).tobytes(), self.slices[: self.first[-1]].tobytes()]
 
     @classmethod
     def of(cls, ids: bytes, low: bytes, bits: bytes, slices: bytes) -> BitSlices:
         own = cls.__new__(cls)
-        own.ids, own.low, own.bits = np.frombuffer(ids, np.int64), np.frombuffer(low, np.int64), np.frombuffer(bits, np.int64).tolist()
+        own.ids, own.bits = np.frombuffer(ids, np.int64), np.frombuffer(bits, np.int64).tolist()
+        own.low = [int(v) for v in low.split(b",") if v]
         own._sizes()
         own._both(np.frombuffer(slices, np.uint64).reshape(int(own.first[-1]), own.words))
         return own
@@ -167,19 +181,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
     asked = queries.dropDuplicates(["vec_id", "x"]).withColumn("query", F.xxhash64("vec_id", "x")).withColumn("chunk", deal(chunks))
     everywhere = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))
     asked = asked.withColumn("lane", F.pmod("chunk", F.lit(lanes))).withColumn("block", everywhere)
-    names = ["query_id", "query", "vec_id", "high", "low"]
+    names = ["query_id", "query", "vec_id", "score", "key"]
+    most = (1 << 63) - 1
 
     def run(index: pa.Table, asked: pa.Table) -> pa.Table:
-        found: list[list[np.ndarray]] = []
+        found: list[list[list]] = [[] for _ in names]
         if index.num_rows:
             own = BitSlices.of(*(index[c][0].as_py() for c in ("ids", "low", "bits", "slices")))
             for query_id, key, q in zip(asked["vec_id"].to_pylist(), asked["query"].to_pylist(), matrix(asked["x"]), strict=True):
                 ids, scores = own.top(query_id, q, k)
-                found.append([np.full(len(ids), query_id), np.full(len(ids), key), ids, scores >> HALF, scores & ((1 << HALF) - 1)])
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 5
-        return pa.table([pa.array(c.astype(np.int64)) for c in columns], names)
+                scores = scores.tolist()
+                for own_, new in zip(found, ([query_id] * len(ids), [key] * len(ids), ids.tolist(), [max(-most - 1, min(most, s)) for s in scores], map(order_key, scores)), strict=True):
+                    own_ += new
+        return pa.table([pa.array(c, pa.string() if n == "key" else pa.int64()) for c, n in zip(found, names, strict=True)], names)
 
-    kind = "query_id long, query long, vec_id long, high long, low long"
+    kind = "query_id long, query long, vec_id long, score long, key string"
     if chunks == lanes:  # one chunk for each lane
         some = own.groupBy("block", "lane").cogroup(asked.groupBy("block", "lane")).applyInArrow(run, kind)
     else:  # a lane's chunks go one after another, so that a task holds one at a time
@@ -189,13 +205,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
             for batch in batches:
                 for row in batch.to_pylist():
                     rows = row.pop("asked")
-                    t = pa.table({"vec_id": [r["vec_id"] for r in rows], "query": [r["query"] for r in rows], "x": pa.array([r["x"] for r in rows], pa.list_(pa.int64()))})
+                    t = pa.table({"vec_id": [r["vec_id"] for r in rows], "query": [r["query"] for r in rows], "x": pa.array([r["x"] for r in rows], pa.list_(pa.float64()))})
                     yield from run(pa.Table.from_pylist([row]), t).to_batches()
 
         some = own.join(packed, ["block", "lane"]).mapInArrow(each, kind)
-    best = Window.partitionBy("query_id", "query").orderBy(F.col("high").desc(), F.col("low").desc(), "vec_id")
-    score = F.when(F.col("high") > 1, F.lit((1 << 63) - 1)).when(F.col("high") < -2, F.lit(-(1 << 63))).otherwise(F.shiftleft("high", HALF) + F.col("low"))
-    return some.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
+    best = Window.partitionBy("query_id", "query").orderBy(F.col("key").desc(), "vec_id")
+    return some.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,17 @@ def test_probabilities_sum_to_one():
     assert total == pytest.approx(1, abs=5e-3)
 
 
+@pytest.mark.parametrize("by", [-200, 200, -1e4])
+def test_scores_far_from_zero(by):
+    """Neither very small nor very large attention scores lose a row; what all scores share has no effect."""
+    m, frequencies = model(4500)
+    inputs = np.tile(attention.inputs_of(np.arange(attention.WINDOW) * 37), (2, 1))
+    scored, targets = np.ones(inputs.size, bool), np.arange(inputs.size) * 31 % 4500
+    plain = attention.log_probability(m, frequencies, inputs, scored, targets % attention.BEHIND, targets)
+    moved = attention.log_probability(m | {"near": m["near"] + np.float32(by)}, frequencies, inputs, scored, targets % attention.BEHIND, targets)
+    assert np.allclose(plain, moved, atol=2e-2 if abs(by) > 1e3 else 1e-3)
+
+
 def test_untrained_model_gives_frequencies():
     frequencies = attention.Frequencies(np.array([50, 20, 30, 0]))
     m = attention.start()

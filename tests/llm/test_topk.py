@@ -3,7 +3,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerloom.llm.topk import OP9_SQL, BitSlices, op9_exact_topk, quantised, top_k
+from ledgerloom.llm.topk import OP9_SQL, BitSlices, op9_exact_topk, order_key, quantised, top_k
 
 
 def plain(rows, queries, k):
@@ -48,10 +48,25 @@ def test_large_finite_values_and_many_chunks(spark):
     """Values near the largest of a float, and more chunks of queries than lanes."""
     rows = [(0, [3e38, 1.0]), (50, [1.0, -3e38]), (1, [1e30, 1e30]), (2, [-3.4e38, 0.0])] + [(i, [float(i % 7), float(i % 11)]) for i in range(100, 400)]
     v = quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    most = 1 << 56
-    whole = [(i, np.array([max(-most, min(most, int(256 * np.float64(np.float32(c))))) for c in x], object)) for i, x in rows]
+    whole = [(i, np.array([int(np.floor(np.float64(np.float32(c)) * 256)) for c in x], object)) for i, x in rows]
     stop = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
     want = sorted((q, r, i, s) for q, x in whole if q % 50 == 0 for r, (s, i) in enumerate(sorted(((int(x @ y), j) for j, y in whole if j != q), key=lambda p: (-p[0], p[1]))[:5], 1))
     want = [(q, r, i, stop(s)) for q, r, i, s in want]
     got = sorted(map(tuple, top_k(v, v.filter("vec_id % 50 = 0"), 5, block_rows=100, block_queries=2, tasks=4).collect()))
     assert got == want
+
+
+def test_no_clipping(spark):
+    """Whole numbers beyond 2^56 keep their order, among few and among many bits."""
+    rows = [(0, [1 / 256]), (1, [2.0**50]), (2, [2.0**51]), (3, [-(2.0**300)]), (4, [2.0**200 + 2.0**150]), (50, [-1.0])]
+    v = quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [(r.query_id, r.vec_id, r.score) for r in top_k(v, v.filter("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect()]
+    most = (1 << 63) - 1
+    assert got[:5] == [(0, 4, most), (0, 2, 1 << 59), (0, 1, 1 << 58), (0, 50, -256), (0, 3, -most - 1)]
+    assert [i for _, i, _ in got[5:]] == [3, 0, 1, 2, 4]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.integers(-20, 20), st.integers(-(1 << 300), 1 << 300)), max_size=20))
+def test_order_of_keys(scores):
+    assert sorted(scores, key=order_key) == sorted(scores)
