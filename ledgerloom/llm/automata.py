@@ -159,3 +159,12 @@ class Automaton:
             at = self.step[at][c if c in self.step[at] else self.usual[at]] if self.usual[at] else 0
         total += math.log2((self.end[at] + weight * (sum(self.end) + 1) / all_) / (self.seen[at] + weight))
         return total / (len(text) + 1)
+
+    def accepts(self, text: str) -> bool:
+        """Whether every step has been seen, and an end behind the last."""
+        at = 0
+        for c in text:
+            at = self.step[at].get(c, -1)
+            if at < 0:
+                return False
+        return self.end[at] > 0

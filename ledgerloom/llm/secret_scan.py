@@ -3,12 +3,14 @@
 The patterns label credentials (``assign`` values, ``access`` keys, ``hex``
 runs).  From at most ``examples`` distinct ones of each kind, of ``characters``
 characters altogether, those with the smallest hashes of the whole table, a probabilistic automaton of the kind's
-format is inferred.  Every run of 16 or more credential characters that no
+format is inferred.  Every run of 8 or more credential characters, the least that
+a labelled one has, that no
 pattern covers is then a candidate.  It is a ``format`` span if some automaton
 finds it, its end included, as likely per symbol as automata from one half of
 the kind's examples find all but the least likely hundredth of the other half;
 and likelier than which character follows which in all other distinct
-candidates makes it.
+candidates makes it.  A run of fewer than ``SHORT`` characters tells too little for
+that alone: the automaton also has to accept it, each step and the end having been seen.
 
 Spans are of whole pattern matches, in code points, end exclusive.
 
@@ -31,15 +33,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automata import SYMBOLS, Automaton
-from .common import bounded_batches, materialised, table
+from .common import Remembered, bounded_batches, materialised, table
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a maximal run, as every shorter run fails
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{8,}")  # as short as a labelled credential may be
 LABELS = ("password", "passwd", "secret", "token", "api")
 MASK = "[REDACTED]"
+#: Shorter candidates have to be accepted as well.
+SHORT = 16
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -82,7 +86,7 @@ class Formats:
         self.steps, self.before = steps, Counter()
         for (a, _), n in steps.items():
             self.before[a] += n
-        self.kinds = []
+        self.kinds, self.known = [], Remembered(self.fits)
         for values in (labelled[k] for k in sorted(labelled)):
             if len(values) >= 8:
                 halves = values[::2], values[1::2]
@@ -98,7 +102,11 @@ class Formats:
         return total / (len(text) + 1)
 
     def match(self, text: str) -> bool:
-        scores = [(automaton.score(text), least) for automaton, least in self.kinds]
+        """``fits``, remembered for words that come again."""
+        return self.known[text] if len(text) <= 64 else self.fits(text)
+
+    def fits(self, text: str) -> bool:
+        scores = [(automaton.score(text), least) for automaton, least in self.kinds if len(text) >= SHORT or automaton.accepts(text)]
         scores = [score for score, least in scores if score >= least]
         return bool(scores) and max(scores) > self.usual(text)
 

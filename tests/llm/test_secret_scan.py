@@ -101,3 +101,15 @@ def test_planted_credentials_are_told_from_card_numbers(spark):
     found = {-1 - r.doc_id for r in got}
     assert len(found & planted.keys()) >= 90 and not found & cards.keys()
     assert sum(r.doc_id >= 0 for r in got) <= 3  # the table has no unlabelled credentials
+
+
+def test_short_formats(spark):
+    """A format of twelve characters is learned and found; words and numbers of that length stay."""
+    rng = random.Random(8)
+    make = lambda: "zk" + "".join(rng.choice("0123456789") for _ in range(5)) + "".join(rng.choice("QRSTVW") for _ in range(5))
+    rows = [(-1 - i, f"api_key = {make()} here") for i in range(200)] + [(-1001 - i, f"see {make()} there") for i in range(100)]
+    rows += [(-2001 - i, f"{rng.choice(('zookeeper', 'quartz-watch', 'zk-workgroup'))} {rng.randrange(10**11, 10**12)} {rng.randrange(10**7, 10**8)}/2024") for i in range(200)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id for r in find_secrets(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))).filter("n_format > 0").collect()}
+    assert sum(-1101 < i <= -1001 for i in got) >= 80
+    assert sum(i <= -2001 for i in got) == 0 and sum(i >= 0 for i in got) <= 3
