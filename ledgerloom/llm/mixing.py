@@ -19,8 +19,9 @@ is never one task.
 
 Defined results: a null source counts as ""; rows that share source and doc_id
 count as one document and stay together; a null doc_id comes first; an empty
-table gives no rows; a negative weight is an error, and so are weights whose
-schedule has more than ``most`` slots to keep, which the caller has to round.
+table gives no rows; a negative weight is an error.  Where exact weights need more
+than ``most`` slots to keep, blocks are doubled until they fit: the weights stay exact, and
+the deviation stays below one block.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ from pyspark.sql import functions as F
 from .common import materialised, table
 
 
+class TooManySlots(ValueError):
+    """A schedule that is not kept: it needs larger blocks."""
+
+
 def whole_parts(weights: dict[str, float], parts: int) -> dict[str, int]:
     """Weights as whole parts, at least one each, of ``parts`` in all (more if there are more sources)."""
     parts = max(parts, len(weights))
@@ -105,7 +110,7 @@ def phases(parts: dict[str, int], blocks: dict[str, int], most: int = 20_000_000
         total = sum(own.values())
         kept += min(total, sum(left[s] for s in own))
         if kept > most:
-            raise ValueError(f"the weights' schedule has more than {most} slots to keep: round the weights")
+            raise TooManySlots(f"the weights' schedule has more than {most} slots to keep")
         slots = served(own, {s: left[s] for s in own})
         if sum(map(len, slots.values())) < total:  # a source has ended within the period
             ends = max(int(x[-1]) for x in slots.values() if len(x))
@@ -127,7 +132,8 @@ def schedule(docs: DataFrame, weights: dict | None = None, power: float = 0.5, b
     Without ``weights`` a source's weight is its number of documents to the
     ``power``, in whole hundredths of the largest source's, 1 at least.  Sources
     that ``weights`` leaves out have weight 0.  With ``parts`` the weights are
-    rounded to so many parts, one at least for each source.  ``nth`` is the document's place in its block; (slot, nth) is the
+    rounded to so many parts, one at least for each source.  Blocks are of
+    ``block_docs`` documents, or a power of two times as many where ``most`` slots would not do.  ``nth`` is the document's place in its block; (slot, nth) is the
     order of the mix.
     """
     spark = docs.sparkSession
@@ -156,7 +162,15 @@ def schedule(docs: DataFrame, weights: dict | None = None, power: float = 0.5, b
     largest = max(sizes.values(), default=1)
     given = {s: weights.get(s, 0) for s in sizes} if weights else {s: max(1, round(100 * (n / largest) ** power)) for s, n in sizes.items()}
     own = whole_parts({s: max(0.0, float(w)) for s, w in given.items()}, parts) if parts else exact_parts(given)
-    plan = spark.sparkContext.broadcast(phases(own, {s: -(-n // block_docs) for s, n in sizes.items()}, most))  # 8 bytes a slot, ``most`` slots
+    while True:
+        try:
+            kept = phases(own, {s: -(-n // block_docs) for s, n in sizes.items()}, most)
+            break
+        except TooManySlots:
+            if block_docs > largest:  # each source is one block
+                raise
+            block_docs *= 2
+    plan = spark.sparkContext.broadcast(kept)  # 8 bytes a slot, ``most`` slots
 
     def place(batches):
         for pdf in batches:

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerloom.llm.mixing import exact_parts, mixed, op7_source_mixing, period, phases, schedule, whole_parts
+from ledgerloom.llm.mixing import TooManySlots, exact_parts, mixed, op7_source_mixing, period, phases, schedule, whole_parts
 
 
 @settings(max_examples=100, deadline=None)
@@ -105,6 +105,18 @@ def test_short_sources_and_long_periods(own):
     assert order == sorted(order, reverse=True)
 
 
-def test_too_fine_weights_are_refused():
-    with pytest.raises(ValueError):
+def test_fine_weights_make_blocks_larger(spark):
+    """No weight is rounded; each source stays within one block of its exact share."""
+    weights = {"a": 0.1234567890123, "b": 0.8765432109877}
+    docs = spark.range(60_000).selectExpr("id as doc_id", "if(id < 8000, 'a', 'b') as source")
+    rows = schedule(docs, weights, block_docs=2, most=2000).orderBy("slot", "nth").collect()
+    assert len({(r.source, r.doc_id) for r in rows}) == 60_000
+    size = 1 + max(r.nth for r in rows)
+    assert size == 32 and len({r.slot for r in rows}) <= 2000
+    own, served = exact_parts(weights), Counter()
+    order = list(dict.fromkeys((r.slot, r.source) for r in rows if r.phase == 0))
+    for t, (_, s) in enumerate(order, 1):
+        served[s] += 1
+        assert all(abs(served[x] - Fraction(t * own[x], sum(own.values()))) < 1 for x in own)
+    with pytest.raises(TooManySlots):
         phases(exact_parts({"a": 0.123456789, "b": 1}), {"a": 10**9, "b": 10**9}, 1000)
