@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import crypto, packages, poms, textual, tokens
 from ..storage import materialised
-from . import configs, inifiles, keymaterial
+from ..sources import records
+from . import configs, inifiles, keymaterial, manifests
 from .filters import scan_filtered
 from .joins import claimed, needles_in
 
@@ -47,9 +48,9 @@ def claims(artifacts: DataFrame) -> DataFrame:
     has = lambda *types: F.arrays_overlap("mime", F.array(*map(F.lit, types)))
     chain = [
         ("maven", packages.is_archive(name) | name.rlike(r"\.pom$|-(sources|javadocs?)\.jar$") | (name == "pom.xml")),
-        ("os-package", has("application/x-rpm") | name.rlike(r"\.(deb|apk|pkg\.tar\.(xz|zst))$") | (path.rlike(r"(^|/)control$") & text.rlike("(?m)^Package: "))),
+        ("os-package", has("application/x-rpm") | name.rlike(r"\.(deb|apk|pkg\.tar\.(xz|zst))$") | (path.rlike(r"(^|/)control$") & text.rlike("(?m)^Package: ")) | name.isin(".PKGINFO", "+MANIFEST", "+COMPACT_MANIFEST")),
         ("dotnet", has("application/x-msdownload") & name.rlike(r"(?i)\.(dll|exe)$")),
-        ("language-package", name.rlike(r"\.(whl|gem|crate|nupkg)$") | name.isin("package.json", "PKG-INFO", "Cargo.toml", "go.mod")),
+        ("language-package", name.rlike(r"\.(whl|gem|crate|nupkg)$") | manifests.is_language_manifest(path)),
         ("embedded-certificates", has("application/x-sharedlib") & name.rlike(r"^lib(ssl|crypto|gnutls|nss|mbed)")),
         ("certificates", (has("application/x-pem-file") & text.rlike("-----BEGIN (CERTIFICATE|X509 CRL|PGP PUBLIC KEY BLOCK)-----")) | textual.keystore_type(name).isNotNull() | name.rlike(r"(?i)\.(crt|cer|der|crl|pgp|gpg|asc)$|-cert\.pub$")),
         ("shadow", path.rlike(r"(^|/)etc/(shadow|gshadow|passwd|group)$")),
@@ -171,19 +172,18 @@ def extract(claimed_: DataFrame, contents: DataFrame | None = None, places: Data
     jars = claimed_.filter("strategy = 'maven'").select("id", packages.coordinates(_name()).alias("c"), packages.classifier_qualifier(packages.classifier(_name())).alias("q")).filter("c.version is not null and c.group_id is not null")
     purls.append(jars.select("id", packages.purl("maven", F.col("c.artifact_id"), F.col("c.version"), F.col("c.group_id"), F.col("q")).alias("purl")))
 
-    control = of("os-package").select("id", textual.properties(F.regexp_replace("text", r"(?m)^([A-Za-z-]+): ?", "$1=")).alias("p"))
-    field = lambda k: F.try_element_at("p", F.lit(k))
-    extra.append(_rows(control, "", {"Name": field("package"), "Version": field("version"), "Description": field("description"), "Baharat:Arch": field("architecture"), "Baharat:Maintainer": field("maintainer"), "Baharat:Installed_size": field("installed-size")}))
-    purls.append(control.filter(field("package").isNotNull()).select("id", packages.purl("deb", field("package"), field("version"), F.lit("debian"), F.concat(F.lit("arch="), field("architecture"))).alias("purl")))
-
-    npm = of("language-package").filter(_name() == "package.json")
-    json = lambda k: F.get_json_object("text", f"$.{k}")
-    extra.append(_rows(npm, "", {"Name": json("name"), "Version": json("version"), "Description": json("description"), "License": json("license"), "Annatto:Ecosystem": F.lit("npm")}))
-    purls.append(npm.filter(json("name").isNotNull()).select("id", packages.purl("npm", F.substring_index(json("name"), "/", -1), json("version"), F.when(json("name").contains("/"), F.substring_index(json("name"), "/", 1))).alias("purl")))
-    wheel = of("language-package").filter(_name() == "PKG-INFO").select("id", tokens.manifest(F.col("text")).alias("p"))
-    purls.append(wheel.filter(field("name").isNotNull()).select("id", packages.purl("pypi", F.regexp_replace(F.lower(field("name")), "[-_.]+", "-"), field("version")).alias("purl")))
-
     at = places if places is not None else claimed_.select(F.lit("").alias("scope"), "path", "id")
+    once = lambda name: of(name).select("id", "path", "text").distinct()
+    for found, language in ((manifests.language_packages(once("language-package")), True), (manifests.system_packages(once("os-package"), at), False)):
+        facts, own = manifests.facts(manifests.held_by(found, at), language)
+        extra.append(prefixed("", facts))
+        purls.append(own)
+    if contents is not None:
+        rpms = contents.filter(F.hex(F.substring("content", 1, 4)) == "EDABEEDB")
+        facts, own = manifests.facts(manifests.rpm_rows(records.records(rpms, "rpm")), False)
+        extra.append(prefixed("", facts))
+        purls.append(own)
+
     ini = of("openssl").select("id", "text").dropDuplicates(["id"])
     if not ini.isEmpty():
         rows = materialised(inifiles.section_rows(ini), "sections")

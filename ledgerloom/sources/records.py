@@ -304,7 +304,37 @@ def java_class(data: bytes) -> Iterator[Record]:
                             at += 2
 
 
-WALKS = {"class": java_class, "der": der, "ssh": ssh_certificate, "pgp": pgp, "store": key_store}
+# Tags of an RPM header whose texts and numbers are told.
+RPM_TAGS = frozenset((1000, 1001, 1002, 1003, 1004, 1005, 1006, 1009, 1011, 1014, 1015, 1016, 1020, 1022))
+
+
+def rpm(data: bytes) -> Iterator[Record]:
+    """Texts and numbers of the main header of an RPM package, by tag; behind the lead and the signature header."""
+    if data[:4] != b"\xed\xab\xee\xdb":
+        return
+    at = 96
+    for main in (False, True):
+        if data[at : at + 3] != b"\x8e\xad\xe8":
+            raise ValueError("a header is missing")
+        entries, size = struct.unpack_from(">II", data, at + 8)
+        store = at + 16 + 16 * entries
+        if store + size > len(data):
+            raise ValueError("the header is cut off")
+        for n in range(entries if main else 0):
+            tag, kind, offset, _ = struct.unpack_from(">IIII", data, at + 16 + 16 * n)
+            if tag in RPM_TAGS and offset < size:
+                if kind == 4:
+                    value = data[store + offset : store + offset + 4]
+                elif kind in (6, 8, 9):
+                    value = data[store + offset : data.index(b"\0", store + offset)]
+                else:
+                    continue
+                yield (n,), (tag,), store + offset, len(value), value
+        at = store + size
+        at += 0 if main else -at % 8
+
+
+WALKS = {"rpm": rpm, "class": java_class, "der": der, "ssh": ssh_certificate, "pgp": pgp, "store": key_store}
 
 
 def records(contents: DataFrame, kind: str) -> DataFrame:
