@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import crypto, packages, poms, textual, tokens
 from ..storage import materialised
 from ..sources import records
-from . import configs, inifiles, keymaterial, manifests
+from . import assemblies, configs, inifiles, keymaterial, manifests
 from .filters import scan_filtered
 from .joins import claimed, needles_in
 
@@ -179,6 +179,9 @@ def extract(claimed_: DataFrame, contents: DataFrame | None = None, places: Data
         extra.append(prefixed("", facts))
         purls.append(own)
     if contents is not None:
+        facts, own = assemblies.facts(records.records(contents.filter(F.hex(F.substring("content", 1, 2)) == "4D5A"), "assembly"))
+        extra.append(prefixed("", facts))
+        purls.append(own)
         rpms = contents.filter(F.hex(F.substring("content", 1, 4)) == "EDABEEDB")
         facts, own = manifests.facts(manifests.rpm_rows(records.records(rpms, "rpm")), False)
         extra.append(prefixed("", facts))

@@ -334,7 +334,133 @@ def rpm(data: bytes) -> Iterator[Record]:
         at += 0 if main else -at % 8
 
 
-WALKS = {"rpm": rpm, "class": java_class, "der": der, "ssh": ssh_certificate, "pgp": pgp, "store": key_store}
+# Columns of .NET's metadata tables up to that of references: numbers by their bytes, heaps (s, g, b), tables in hex, and coded indexes.
+TABLES = (
+    "2 s g g g", "ResolutionScope s s", "4 s s TypeDefOrRef t04 t06", "t04", "2 s b", "t06", "4 2 2 s b t08", "t08", "2 2 s", "t02 TypeDefOrRef", "MemberRefParent s b", "2 HasConstant b",
+    "HasCustomAttribute CustomAttributeType b", "HasFieldMarshal b", "2 HasDeclSecurity b", "2 4 t02", "4 t04", "b", "t02 t14", "t14", "2 s TypeDefOrRef", "t02 t17", "t17", "2 s b", "2 t06 HasSemantics",
+    "t02 MethodDefOrRef MethodDefOrRef", "s", "b", "2 MemberForwarded s t1A", "4 t04", "4 4", "4", "4 2 2 2 2 4 b s s", "4", "4 4 4", "2 2 2 2 4 b s s b",
+)
+# The tables that a coded index may name, in the order of its lowest bits; FF is none.
+CODED = {
+    "TypeDefOrRef": "02 01 1B", "HasConstant": "04 08 17", "HasCustomAttribute": "06 04 01 02 08 09 0A 00 0E 17 14 11 1A 1B 20 23 26 27 28 2A 2C 2B", "HasFieldMarshal": "04 08", "HasDeclSecurity": "02 06 20",
+    "MemberRefParent": "02 01 1A 06 1B", "HasSemantics": "14 17", "MethodDefOrRef": "06 0A", "MemberForwarded": "04 06", "CustomAttributeType": "FF FF 06 0A FF", "ResolutionScope": "00 1A 23 01",
+}
+TYPE_REF, MEMBER_REF, ATTRIBUTE, ASSEMBLY, REFERENCE = 0x01, 0x0A, 0x0C, 0x20, 0x23
+#: First places of an assembly's rows: itself, what it refers to, and its attributes.
+OWN, NEEDED, NOTED = 0, 1, 2
+
+
+def assembly(data: bytes) -> Iterator[Record]:
+    """A .NET assembly's name, version, culture and key, those of its references, and its attributes with a text.
+
+    Below OWN and NEEDED: 0 name, 1 version as eight bytes, 2 culture, 3 key or token, 4 flags; below NOTED: 0 type, 1 text.
+    How wide a row is depends on the sizes of heaps and on how many rows other tables have.
+    """
+    if data[:2] != b"MZ":
+        return
+    two, four = (lambda at, f=f: struct.unpack_from(f, data, at)[0] for f in ("<H", "<I"))
+    head = four(0x3C)
+    if data[head : head + 4] != b"PE\0\0":
+        return
+    optional = head + 24
+    directories = optional + {0x10B: 96, 0x20B: 112}.get(two(optional), 0)
+    sections = [struct.unpack_from("<IIII", data, optional + two(head + 20) + 40 * n + 8) for n in range(two(head + 6))]
+
+    def place_of(address: int) -> int:
+        for size, start, stored, raw in sections:
+            if start <= address < start + max(size, stored):
+                return raw + address - start
+        raise ValueError("an address lies in no section")
+
+    runtime = four(directories + 8 * 14)
+    if directories == optional or not runtime:
+        return
+    root = place_of(four(place_of(runtime) + 8))
+    if data[root : root + 4] != b"BSJB":
+        raise ValueError("no metadata")
+    at = root + 16 + four(root + 12)
+    heaps = {}
+    at, count = at + 4, two(at + 2)
+    for _ in range(count):
+        end = data.index(b"\0", at + 8)
+        heaps[data[at + 8 : end].decode("latin-1")] = root + four(at)
+        at = at + 8 + (end - at - 8) // 4 * 4 + 4
+    base = heaps.get("#~", heaps.get("#-"))
+    if base is None:
+        raise ValueError("no tables")
+    sizes, present = data[base + 6], struct.unpack_from("<Q", data, base + 8)[0]
+    at, rows = base + 24, [0] * 64
+    for n in range(64):
+        if present >> n & 1:
+            rows[n], at = four(at), at + 4
+
+    def width(kind: str) -> int:
+        if kind.isdigit():
+            return int(kind)
+        if kind in "sgb":
+            return 4 if sizes >> "sgb".index(kind) & 1 else 2
+        if kind in CODED:
+            tables = [int(t, 16) for t in CODED[kind].split()]
+            return 2 if max(rows[t] for t in tables if t < 64) < 1 << 16 - (len(tables) - 1).bit_length() else 4
+        return 2 if rows[int(kind[1:], 16)] < 1 << 16 else 4
+
+    layouts, starts = [[width(k) for k in t.split()] for t in TABLES], []
+    for n, layout in enumerate(layouts):
+        starts.append(at)
+        at += rows[n] * sum(layout)
+
+    def row(table: int, number: int) -> list[int]:
+        where, out = starts[table] + (number - 1) * sum(layouts[table]), []
+        if not 1 <= number <= rows[table]:
+            raise ValueError("a row that is not there")
+        for size in layouts[table]:
+            out.append(int.from_bytes(data[where : where + size], "little"))
+            where += size
+        return out
+
+    def text(offset: int) -> bytes:
+        where = heaps["#Strings"] + offset
+        return data[where : data.index(b"\0", where)]
+
+    def sized(where: int) -> tuple[int, int]:
+        """Size and start of what stands behind a packed length."""
+        first = data[where]
+        if first < 0x80:
+            return first, where + 1
+        if first < 0xC0:
+            return (first & 0x3F) << 8 | data[where + 1], where + 2
+        return int.from_bytes(data[where : where + 4], "big") & 0x1FFFFFFF, where + 4
+
+    def blob(offset: int) -> bytes:
+        size, where = sized(heaps["#Blob"] + offset) if offset else (0, 0)
+        return data[where : where + size]
+
+    out = lambda path, value: (path, (0,) * len(path), base, len(value), value)
+    for table, first, own, skip in ((ASSEMBLY, OWN, 1, 1), (REFERENCE, NEEDED, rows[REFERENCE], 0)):
+        for n in range(1, min(own, rows[table]) + 1):
+            values = row(table, n)[skip:]
+            version, flags, key, name, culture = values[:4], *values[4:8]
+            for j, value in enumerate((text(name), struct.pack(">HHHH", *version), text(culture), blob(key), struct.pack(">I", flags))):
+                yield out((first, n - 1, j), value)
+    noted = 0
+    for n in range(1, rows[ATTRIBUTE] + 1):
+        parent, kind, value = row(ATTRIBUTE, n)
+        if parent != 1 << 5 | 14 or kind & 7 != 3:  # of the assembly, made by a member of another
+            continue
+        owner = row(MEMBER_REF, kind >> 3)[0]
+        if owner & 7 != 1:
+            continue
+        _, name, space = row(TYPE_REF, owner >> 3)
+        content = blob(value)
+        if content[:2] == b"\x01\0" and content[2:3] not in (b"", b"\xff"):
+            size, start = sized(heaps["#Blob"] + value)
+            length, start = sized(start + 2)
+            yield out((NOTED, noted, 0), text(space) + b"." + text(name))
+            yield out((NOTED, noted, 1), data[start : start + length])
+            noted += 1
+
+
+WALKS = {"assembly": assembly, "rpm": rpm, "class": java_class, "der": der, "ssh": ssh_certificate, "pgp": pgp, "store": key_store}
 
 
 def records(contents: DataFrame, kind: str) -> DataFrame:
