@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.textual import date
 from .model import ALIAS_FROM, CONTAINS, METADATA_BODY
-from .operators import cbom, classes, graph, images, merge, strategies
+from .operators import bills, cbom, classes, graph, images, merge, strategies
 from .operators.configs import without_leaks
 from .operators.jars import archive_facts
 from .operators.tags import package_tags, run_tag, tagged
@@ -158,9 +158,11 @@ class GraphBuilder:
         """(root, file_name, document) of every root that holds cryptographic material."""
         roots = graph.roots(items, edges).select(F.col("id").alias("root"), "id")
         down = edges.filter(F.col("edge_type") == CONTAINS)
-        found = graph.reach(roots, down, cbom.DEPTH).join(cbom.crypto_items(extra), "id", "left_semi")
-        parts = cbom.capped(cbom.algorithm_components(found, extra))
-        return cbom.documents(parts, datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))
+        found = graph.reach(roots, down, cbom.DEPTH)
+        items = materialised(bills.described(bills.item_maps(extra)), "described")
+        own = bills.components(items, edges.filter(F.col("edge_type") == ALIAS_FROM).select(F.col("src").alias("id"), F.col("dst").alias("alias")))
+        parts = bills.of_roots(found, own)
+        return bills.documents(parts, datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """Items and edges of the graph; written to the output folder if there is one."""

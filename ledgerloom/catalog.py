@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import archives, artifacts, configs, inifiles, material, scalars, trees
+from .plans import archives, artifacts, bills, configs, inifiles, material, scalars, trees
 from .plans.base import QUERIES, SQL
 
 FLAGSHIP = "m01_roots"
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "archives", "artifacts", "configs", "inifiles", "material", "scalars", "trees"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "archives", "artifacts", "bills", "configs", "inifiles", "material", "scalars", "trees"]

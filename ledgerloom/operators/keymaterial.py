@@ -168,8 +168,11 @@ def distinguished(rows: DataFrame) -> DataFrame:
     return pair.groupBy("id", "field").agg(ordered.alias("parts")).select("id", "field", joined.alias("name"))
 
 
-def revocation_facts(rows: DataFrame) -> DataFrame:
-    """(id, key, value) of revocation lists: names, times, number, and the first ``MOST`` serial numbers with the full count."""
+def revocation_facts(rows: DataFrame, contents: DataFrame | None = None) -> DataFrame:
+    """(id, key, value) of revocation lists: names, times, number, and the first ``MOST`` serial numbers with the full count.
+
+    ``contents`` (id, content), if given, adds the lists' digests.
+    """
     signed = (F.size("path") >= 3) & (place(0) == 0) & (place(1) == 0)
     at = lambda condition, value: F.max(F.when(condition, value))
     listed = (F.size("path") == 5) & (tag(3) == 0x30) & (tag(4) == 2) & (place(4) == 0)
@@ -183,13 +186,15 @@ def revocation_facts(rows: DataFrame) -> DataFrame:
     issuers = distinguished(rows).groupBy("id").agg(F.min_by("name", "field").alias("issuer"))
     numbers = extensions(rows, 0xA0).filter("oid = '2.5.29.20'").groupBy("id").agg(F.max(F.get("items", F.lit(0))["value"]).alias("number"))
     known = some.join(issuers, "id", "left").join(numbers, "id", "left")
+    if contents is not None:
+        known = known.join(contents.select("id", F.sha2("content", 256).alias("digest")), "id", "left")
     from ..functions.tokens import OIDS
 
     name = identifier(F.col("algorithm"))
     return long_form(known, {
         "IssuerDN": F.col("issuer"), "ThisUpdate": F.get("times", F.lit(0))["t"], "NextUpdate": F.get("times", F.lit(1))["t"],
         "SigAlgorithm": F.coalesce(F.try_element_at(lookup(OIDS), name), F.concat(F.lit("<unknown-sig-oid-"), name, F.lit(">"))),
-        "CrlNumber": number(F.col("number")), "RevokedCount": F.col("revoked"),
+        "CrlSha256": F.col("digest") if contents is not None else F.lit(None), "CrlNumber": number(F.col("number")), "RevokedCount": F.col("revoked"),
         "RevokedSerials": F.array_join(F.transform("serials", lambda s: s["s"]), ","), "RevokedTruncated": F.when(F.col("revoked") > MOST, "true"),
     })
 
@@ -340,7 +345,7 @@ def material_rows(texts: DataFrame, contents: DataFrame) -> DataFrame:
     decoded = F.filter(F.transform(certified, lambda b: F.try_to_binary(b, F.lit("base64"))), lambda b: b.isNotNull())
     ssh = _keyed(_numbered(texts.filter(F.col("text").contains(CERTIFIED)), decoded))
     stores = contents.filter(F.hex(F.substring("content", 1, 4)).isin(*STORE_TYPES) | name.rlike(r"\.(p12|pfx)$")).select("id", "content")
-    found = [revocation_facts(records(lists, "der")), key_ring_facts(records(rings, "pgp")), ssh_certificate_facts(records(ssh, "ssh"), ssh), store_facts(records(stores, "store"), stores)]
+    found = [revocation_facts(records(lists, "der"), lists), key_ring_facts(records(rings, "pgp")), ssh_certificate_facts(records(ssh, "ssh"), ssh), store_facts(records(stores, "store"), stores)]
     whole = _unkeyed(found[0])
     for more in (found[1], _unkeyed(found[2]), found[3]):
         whole = whole.unionByName(more)

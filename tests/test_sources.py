@@ -196,7 +196,7 @@ def test_build_from_files_to_bills(spark, project, tmp_path):
     tags = [r.id for r in items.filter("body_mime like '%.tag'").collect()]
     assert len(tags) == 1 + len({p.partition("?")[0] for i, p in purls if i in by.values()}) and all((t, "tag:from", "tags") in links and ("tags", "tag:to", t) in links for t in tags)
     bills = {r.root: json.loads(r.document) for r in builder.bills.collect()}
-    assert {c["name"].lower() for c in bills[layer]["components"]} == {"sha512"} and bills[layer]["bomFormat"] == "CycloneDX" and jar not in bills
+    assert {c["name"].lower() for c in bills[layer]["components"]} == {"sha512", by["shadow"]} and bills[layer]["bomFormat"] == "CycloneDX" and jar not in bills
     assert len(list((tmp_path / "bills").glob("cbom_*.json"))) == len(bills) >= 2
     assert {r.value for r in spark.read.text(str(tmp_path / "graph/purls")).collect()} == {p for _, p in purls}
     assert spark.read.parquet(str(tmp_path / "graph/extra")).count() == len(facts) and spark.read.text(str(tmp_path / "read")).count() == 5
