@@ -17,6 +17,7 @@ from ..model import BUILT_FROM
 from ..sources import records as rec
 from .joins import companions
 from .keymaterial import long_form, place
+from .merge import name_map
 
 
 def class_facts(rows: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def source_edges(classes: DataFrame, facts: DataFrame, pairs: DataFrame, sources
 
     classes: jar, id.  facts: id, source_path.  pairs: jar, sources.  sources: sources, path, id.
     """
-    known = sources.groupBy("sources", F.col("path").alias("source_path")).agg(F.min("id").alias("dst"))
+    known = name_map(sources.withColumnRenamed("sources", "scope")).select(F.col("scope").alias("sources"), F.col("path").alias("source_path"), F.col("id").alias("dst"))
     asked = classes.join(facts.filter("source_path is not null").select("id", "source_path"), "id").join(pairs, "jar")
     return asked.join(known, ["sources", "source_path"]).select(F.col("id").alias("src"), F.lit(BUILT_FROM).alias("edge_type"), "dst").distinct()
 

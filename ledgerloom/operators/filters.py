@@ -68,3 +68,8 @@ def scan_filtered(artifacts: DataFrame, ignored: DataFrame, exclude: str | None
 def unblocked(artifacts: DataFrame, blocked: DataFrame) -> DataFrame:
     """Artifacts (id, ...) whose identity is not on the block list (id)."""
     return artifacts.join(blocked.select("id").distinct(), "id", "left_anti")
+
+
+def of_types(files: DataFrame, *types: str) -> DataFrame:
+    """Files whose types (mime) meet the given ones."""
+    return files.filter(F.arrays_overlap("mime", F.array(*map(F.lit, types))))

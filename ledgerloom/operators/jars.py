@@ -46,3 +46,14 @@ def archive_facts(members: DataFrame) -> DataFrame:
     # Modules are listed for enterprise archives alone.
     ears = own.filter(F.col("JarType") == "ear").select("id")
     return long.filter("key <> 'maven:EarModules'").unionByName(long.filter("key = 'maven:EarModules'").join(ears, "id", "left_semi"))
+
+
+#: Sources of an archive's coordinates, the most trusted first.
+SOURCES = ("pom", "embedded", "filename", "manifest", "metadata")
+
+
+def coordinates(told: DataFrame) -> DataFrame:
+    """Id, field, value and source: each field (id, source, field, value) from the first source that tells it; of equal sources the least value."""
+    rank = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source"))
+    known = told.filter(F.col("value").isNotNull() & (F.col("value") != "") & (rank > 0))
+    return known.groupBy("id", "field").agg(F.min(F.struct(rank.alias("rank"), "value", "source")).alias("best")).select("id", "field", "best.value", "best.source")

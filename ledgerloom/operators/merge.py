@@ -50,3 +50,31 @@ def qualified_names(names: DataFrame) -> DataFrame:
     own = names.withColumn("several", F.size(F.collect_set("value").over(Window.partitionBy("id"))) > 1)
     both = F.when(F.col("several") & F.col("parent").isNotNull(), F.array("value", F.concat_ws("/", "parent", "value"))).otherwise(F.array("value"))
     return own.select("id", F.explode(both).alias("value")).distinct()
+
+
+def name_map(files: DataFrame) -> DataFrame:
+    """Scope, path and id: the file that a name means in its scope; of several the least."""
+    return files.groupBy("scope", "path").agg(F.min("id").alias("id"))
+
+
+def failures(paths: DataFrame, top: int = 10) -> DataFrame:
+    """The folders with most of the failed paths, and how many."""
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    return paths.groupBy(folder.alias("folder")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "folder").limit(top)
+
+
+def changes_by_hash(changes: DataFrame) -> DataFrame:
+    """Hash and changes, the sorted list of all that several sources (hash, key, value) say of it; each source's own are listed."""
+    told = F.concat_ws(":", "key", "value")
+    return changes.groupBy("hash").agg(F.array_sort(F.collect_list(told)).alias("changes"))
+
+
+def line_sets(files: DataFrame, pattern: str) -> DataFrame:
+    """Id and values, the sorted set of what the pattern's first group finds in the files' texts (id, text)."""
+    found = files.select("id", F.explode(F.regexp_extract_all("text", F.lit(pattern), 1)).alias("value"))
+    return found.groupBy("id").agg(F.array_sort(F.collect_set("value")).alias("values"))
+
+
+def dependency_groups(dependencies: DataFrame) -> DataFrame:
+    """A10: id, name, versions and n: each dependency (id, name, version) of a file once, with the sorted set of its versions."""
+    return dependencies.groupBy("id", "name").agg(F.array_sort(F.collect_set("version")).alias("versions"), F.count("*").alias("n"))

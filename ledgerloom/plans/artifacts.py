@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity
 from ..model import ALIAS_FROM, CONTAINED_BY, METADATA_BODY
-from ..operators import filters, graph, joins, merge
+from ..operators import bills, filters, graph, joins, merge, tags
 from .base import GITOID_SQL, query, table
 
 
@@ -175,7 +175,8 @@ def p10_expand_once(spark, sf_dir):
 @query("a06_name_map", f"WITH {ARTIFACTS_SQL} SELECT source || '/' || lang AS name, min(id) AS id FROM artifacts WHERE path LIKE '%.txt' GROUP BY 1")
 def a06_name_map(spark, sf_dir):
     own = artifacts(spark, sf_dir).filter(F.col("path").endswith(".txt"))
-    return own.groupBy(F.concat_ws("/", "source", "lang").alias("name")).agg(F.min("id").alias("id"))
+    named = own.select(F.lit("").alias("scope"), F.concat_ws("/", "source", "lang").alias("path"), "id")
+    return merge.name_map(named).select(F.col("path").alias("name"), "id")
 
 
 @query("a08_merkle", """WITH g AS (SELECT DISTINCT conv_id, 'gitoid:blob:sha256:' || sha256('blob ' || strlen(text) || chr(0) || text) AS id FROM conversations),
@@ -198,7 +199,8 @@ def j05_augmentation(spark, sf_dir):
 @query("a16_augment_merge", f"WITH {ARTIFACTS_SQL} SELECT id, array_to_string(list_sort(list(quality || ':' || toxic)), ',') AS changes FROM artifacts JOIN labels USING (doc_id) GROUP BY id")
 def a16_augment_merge(spark, sf_dir):
     own = artifacts(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
-    return own.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "quality", "toxic"))), ",").alias("changes"))
+    found = merge.changes_by_hash(own.select(F.col("id").alias("hash"), F.col("quality").cast("string").alias("key"), F.col("toxic").cast("string").alias("value")))
+    return found.select(F.col("hash").alias("id"), F.array_join("changes", ",").alias("changes"))
 
 
 LINES_SQL = "lines AS (SELECT DISTINCT doc_id AS src, x AS dst FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) t WHERE length(x) > 20)"
@@ -252,15 +254,17 @@ def k06_root_dump(spark, sf_dir):
     return graph.roots(items_of(own), edges_of(own)).select("id")
 
 
-@query("t02_run_tag", f"WITH {ARTIFACTS_SQL} SELECT DISTINCT container AS src, 'tag:from' AS edge_type, 'tag:run-1' AS dst FROM artifacts UNION SELECT DISTINCT 'tag:run-1', 'tag:to', container FROM artifacts")
+@query("t02_run_tag", f"WITH {ARTIFACTS_SQL} SELECT DISTINCT container AS src, 'tag:from' AS edge_type, 'tag:run-1' AS dst FROM artifacts UNION SELECT DISTINCT 'tag:run-1', 'tag:to', container FROM artifacts UNION SELECT 'tag:run-1', 'tag:from', 'tags' UNION SELECT 'tags', 'tag:to', 'tag:run-1'")
 def t02_run_tag(spark, sf_dir):
-    tops = artifacts(spark, sf_dir).select(F.col("container").alias("src")).distinct()
-    return graph.with_reversed(tops.select("src", F.lit("tag:from").alias("edge_type"), F.lit("tag:run-1").alias("dst")))
+    tops = artifacts(spark, sf_dir).select(F.col("container").alias("id")).distinct()
+    _, edges = tags.tagged(spark, tops, ("tag:run-1", "{}"))
+    return graph.with_reversed(edges)
 
 
 @query("w04_first_of_name", f"WITH {ARTIFACTS_SQL} SELECT source, lang, min(path) AS path FROM artifacts GROUP BY source, lang")
 def w04_first_of_name(spark, sf_dir):
-    return artifacts(spark, sf_dir).groupBy("source", "lang").agg(F.min("path").alias("path"))
+    own = artifacts(spark, sf_dir).select(F.col("source").alias("scope"), F.col("lang").alias("path"), F.col("path").alias("id"))
+    return merge.name_map(own).select(F.col("scope").alias("source"), F.col("path").alias("lang"), F.col("id").alias("path"))
 
 
 @query("u04_cluster_merge", f"WITH {ARTIFACTS_SQL} SELECT id, max(size) AS file_size, count(DISTINCT path) AS n_names FROM artifacts GROUP BY id UNION ALL SELECT container, 0, 1 FROM artifacts GROUP BY container")
@@ -283,10 +287,12 @@ def p11_binary_text(spark, sf_dir):
 def a14_failures(spark, sf_dir):
     """The folders with most failures; low-quality documents stand for failures."""
     bad = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").filter("quality = 0"), "doc_id")
-    return bad.groupBy(F.concat_ws("/", "source", "lang").alias("folder")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "folder").limit(10)
+    return merge.failures(bad.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path")))
 
 
 @query("w03_first_ref", f"WITH {ARTIFACTS_SQL} SELECT container, lang AS ref, min(doc_id) AS doc_id FROM artifacts GROUP BY container, lang")
 def w03_first_ref(spark, sf_dir):
-    first = Window.partitionBy("container", "lang").orderBy("doc_id")
-    return artifacts(spark, sf_dir).withColumn("n", F.row_number().over(first)).filter("n = 1").select("container", F.col("lang").alias("ref"), "doc_id")
+    own = artifacts(spark, sf_dir)
+    found = own.select(F.col("container").alias("root"), F.col("doc_id").alias("id"), F.lit(0).alias("depth"))
+    parts = own.select(F.col("doc_id").alias("id"), F.col("lang").alias("ref"), F.lit(0).alias("place"), F.col("doc_id").alias("component"))
+    return bills.of_roots(found, parts).select(F.col("root").alias("container"), "ref", F.col("component").alias("doc_id"))

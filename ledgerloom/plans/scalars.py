@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import crypto, packages, textual
-from ..operators import joins
+from ..functions.tokens import image_facts
+from ..operators import bills, joins
+from ..operators.jars import coordinates
 from .base import picked, picked_sql, query, quoted, table, values_sql
 
 
@@ -207,8 +209,10 @@ def w01_primary(spark, sf_dir):
 @query("w02_priority", "SELECT p_partkey, coalesce(CASE WHEN p_size % 2 = 0 THEN 'pom' END, CASE WHEN p_size % 3 = 0 THEN 'embedded' END, CASE WHEN p_size % 5 = 0 THEN 'filename' END, 'manifest') AS origin FROM part")
 def w02_priority(spark, sf_dir):
     """Each field comes from the first source that tells it."""
-    told = lambda n, name: F.when(F.col("p_size") % n == 0, name)
-    return part(spark, sf_dir).select("p_partkey", F.coalesce(told(2, "pom"), told(3, "embedded"), told(5, "filename"), F.lit("manifest")).alias("origin"))
+    told = lambda n, name: F.when(F.col("p_size") % n == 0, F.struct(F.lit(name).alias("source"), F.lit("version").alias("field"), F.concat(F.lit("1."), "p_size").alias("value")))
+    rows = F.filter(F.array(told(5, "filename"), told(3, "embedded"), told(1, "manifest"), told(2, "pom")), lambda r: r.isNotNull())
+    own = part(spark, sf_dir).select(F.col("p_partkey").alias("id"), F.explode(rows).alias("r")).select("id", "r.*")
+    return coordinates(own).select(F.col("id").alias("p_partkey"), F.col("source").alias("origin"))
 
 
 IMAGES = ("nginx:1.2", "library/nginx:latest", "reg.io:5000/ns/app:v1", "a/b/c/d:e", "nginx")
@@ -303,30 +307,41 @@ def f58_keystores(spark, sf_dir):
     return part(spark, sf_dir).select("p_partkey", textual.keystore_type(picked("p_partkey", STORES)).alias("type"))
 
 
-HISTORY = "COPY a|RUN b|EMPTY|RUN c|CMD d"
-
-
-@query("w05_history", "SELECT p_partkey, array_to_string(list_filter(string_split('COPY a|RUN b|EMPTY|RUN c|CMD d', '|')[1:(p_partkey % 6)], lambda x: x <> 'EMPTY')[-3:], '|') AS history FROM part")
+@query("w05_history", "SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size % 2 = 0 THEN 'COPY ' || p_name END, 'RUN ' || p_type, CASE WHEN p_size % 3 = 0 THEN 'CMD ' || p_brand END, CASE WHEN p_size % 5 = 0 THEN 'END' END], lambda x: x IS NOT NULL)[-3:], '|') AS history FROM part")
 def w05_history(spark, sf_dir):
-    """The last three commands of an image's history, without empty layers."""
-    own = F.filter(F.slice(F.split(F.lit(HISTORY), r"\|"), F.lit(1), (F.col("p_partkey") % 6).cast("int")), lambda x: x != "EMPTY")
-    last = F.slice(own, F.greatest(F.size(own) - 2, F.lit(1)), F.lit(3))
-    return part(spark, sf_dir).select("p_partkey", F.array_join(last, "|").alias("history"))
+    """The last three commands of each part's image configuration, without empty layers."""
+    step = lambda c, empty: F.struct(c.alias("created_by"), empty.alias("empty_layer"))
+    odd = lambda n: F.col("p_size") % n != 0
+    steps = F.array(step(F.concat(F.lit("COPY "), "p_name"), odd(2)), step(F.concat(F.lit("RUN "), "p_type"), F.lit(False)), step(F.concat(F.lit("CMD "), "p_brand"), odd(3)), step(F.lit("END"), odd(5)))
+    config = F.to_json(F.struct(F.lit("linux").alias("os"), steps.alias("history")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(image_facts(config)["history"], "|").alias("history"))
 
 
 @query("c03_algorithm_components", f"""WITH t AS (SELECT p_brand AS root, {A_SQL} AS a FROM part) SELECT DISTINCT root, 'alg:' || {PRIMITIVE_SQL} || ':' || {NAME_SQL} AS ref FROM t WHERE {NAME_SQL} <> 'unknown'""")
 def c03_algorithm_components(spark, sf_dir):
-    own = part(spark, sf_dir, a=picked("p_partkey", ALGORITHMS)).filter(crypto.normal_name(F.col("a")) != "unknown")
-    return own.select(F.col("p_brand").alias("root"), crypto.algorithm_ref(F.col("a")).alias("ref")).distinct()
+    """The algorithms of services, each once for a brand."""
+    own = part(spark, sf_dir, a=picked("p_partkey", ALGORITHMS)).select(F.col("p_brand").alias("root"), F.col("p_partkey").cast("string").alias("id"), "a")
+    extra = own.select("id", F.lit("CryptoAlgorithms:algorithm").alias("key"), F.lit(None).cast("string").alias("mime"), F.col("a").alias("value"))
+    parts = bills.components(bills.described(bills.item_maps(extra)))
+    return bills.of_roots(own.select("root", "id", F.lit(0).alias("depth")), parts).select("root", "ref")
 
 
 @query("c04_library_components", f"SELECT name, min(CAST(p_size AS VARCHAR)) AS version, 'dep-' || replace(replace(lower(name), '/', '-'), ' ', '-') AS ref FROM (SELECT {picked_sql('p_partkey', PACKAGES)} AS name, p_size FROM part) t GROUP BY name")
 def c04_library_components(spark, sf_dir):
-    own = part(spark, sf_dir, name=picked("p_partkey", PACKAGES)).groupBy("name").agg(F.min(F.col("p_size").cast("string")).alias("version"))
-    return own.select("name", "version", packages.dependency_ref(F.col("name")).alias("ref"))
+    """Lock files of one dependency in several versions: the lowest comes first."""
+    own = part(spark, sf_dir, name=picked("p_partkey", PACKAGES)).select("name", F.col("p_size").cast("string").alias("version")).distinct()
+    fact = lambda k, v: F.struct(F.lit(f"CryptoDependency:{k}").alias("key"), F.col(v).alias("value"))
+    extra = own.select(F.col("name").alias("id"), F.explode(F.array(fact("name", "name"), fact("version", "version"))).alias("f")).select("id", "f.key", F.lit(None).cast("string").alias("mime"), "f.value")
+    parts = bills.components(bills.described(bills.item_maps(extra)))
+    json = lambda k: F.get_json_object("component", f"$.{k}")
+    return parts.select(json("name").alias("name"), json("version").alias("version"), "ref")
 
 
-@query("c05_certificate_keys", f"SELECT p_partkey, coalesce(nullif({picked_sql('p_partkey', ('CN=a', '', 'CN=b'))}, ''), 'CN=first') AS subject FROM part")
+@query("c05_certificate_keys", f"SELECT CAST(p_partkey AS VARCHAR) AS id, coalesce(nullif({picked_sql('p_partkey', ('CN=a', '', 'CN=b'))}, ''), 'CN=' || p_name) AS subject FROM part")
 def c05_certificate_keys(spark, sf_dir):
     """A certificate's own value, else that of the first of its bundle."""
-    return part(spark, sf_dir).select("p_partkey", F.coalesce(F.nullif(picked("p_partkey", ("CN=a", "", "CN=b")), F.lit("")), F.lit("CN=first")).alias("subject"))
+    own = F.nullif(picked("p_partkey", ("CN=a", "", "CN=b")), F.lit(""))
+    rows = F.array(F.struct(F.lit("Certificates:SubjectDN").alias("key"), own.alias("value")), F.struct(F.lit("Certificates:Cert:0:SubjectDN").alias("key"), F.concat(F.lit("CN="), "p_name").alias("value")), F.struct(F.lit("Certificates:Cert:1:SubjectDN").alias("key"), F.lit("CN=0").alias("value")))
+    extra = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.explode(rows).alias("f")).select("id", "f.key", F.lit(None).cast("string").alias("mime"), "f.value").filter("value is not null")
+    parts = bills.components(bills.described(bills.item_maps(extra)))
+    return parts.select("id", F.get_json_object("component", "$.cryptoProperties.certificateProperties.subjectName").alias("subject"))

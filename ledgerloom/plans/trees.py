@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, joins, merge
-from ..operators.filters import IncludeExclude, not_archive, not_compressed, scan_filtered
+from ..operators import graph, joins, merge, strategies
+from ..operators.filters import IncludeExclude, not_archive, not_compressed, of_types, scan_filtered
 from .base import TREE_SQL, picked, picked_sql, query, table, tree
 
 
@@ -113,7 +113,7 @@ def s13_not_compressed(spark, sf_dir):
 
 @query("u02_type_overlap", f"WITH t AS (SELECT p_partkey, {TYPES_SQL} AS types FROM part) SELECT p_partkey FROM t WHERE list_has_any(types, ['application/zip', 'application/x-rpm'])")
 def u02_type_overlap(spark, sf_dir):
-    return typed_parts(spark, sf_dir).filter(F.arrays_overlap("types", F.array(F.lit("application/zip"), F.lit("application/x-rpm")))).select("p_partkey")
+    return of_types(typed_parts(spark, sf_dir).withColumnRenamed("types", "mime"), "application/zip", "application/x-rpm").select("p_partkey")
 
 
 @query("s03_scan_filter", """WITH p AS (SELECT DISTINCT regexp_replace(url, '^[a-z]+://', '') AS path FROM pages), i AS (SELECT path FROM p WHERE path LIKE '%.html')
@@ -138,13 +138,17 @@ def s05_clean_path(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", clean_path(F.concat(picked("p_partkey", DIRTY), "p_name")).alias("path"))
 
 
-CLAIM_SQL = """CASE WHEN event_type = 'purchase' THEN 'maven' WHEN value > 50 AND event_type <> 'view' THEN 'docker' WHEN event_id % 7 = 0 THEN 'shadow' WHEN event_type = 'view' THEN 'tls' ELSE 'generic' END"""
+CLAIMED = ("repo/a-1.0.jar", "x/pom.xml", "etc/shadow", "home/.ssh/authorized_keys", "etc/nginx.conf", "etc/openvpn/a.conf", "requirements.txt", "gradle.lockfile", "n/package.json", "app/Info.plist", "readme.md")
 
 
-@query("j01_claims", f"SELECT event_id, {CLAIM_SQL} AS strategy FROM events")
+@query("j01_claims", f"""SELECT event_id, CASE WHEN value > 50 AND regexp_matches(path, 'requirements|gradle|Info|readme') THEN 'crypto-footprint' WHEN regexp_matches(path, 'jar|pom') THEN 'maven' WHEN path = 'etc/shadow' THEN 'shadow' WHEN path LIKE '%keys' THEN 'ssh'
+WHEN path LIKE '%nginx%' THEN 'service-tls' WHEN path LIKE '%openvpn%' THEN 'service-crypto' WHEN path LIKE 'req%' THEN 'crypto-dependency' WHEN path LIKE 'gradle%' THEN 'gradle' WHEN path LIKE '%json' THEN 'language-package' WHEN path LIKE '%plist' THEN 'mobile-tls' ELSE 'generic' END AS strategy
+FROM (SELECT event_id, value, {picked_sql('event_id', CLAIMED)} AS path FROM events) t""")
 def j01_claims(spark, sf_dir):
-    claimers = [("maven", F.col("event_type") == "purchase"), ("docker", (F.col("value") > 50) & (F.col("event_type") != "view")), ("shadow", F.col("event_id") % 7 == 0), ("tls", F.col("event_type") == "view")]
-    return joins.claimed(table(spark, sf_dir, "events"), claimers).select("event_id", "strategy")
+    """Events as files: the chain's first strategy takes each; texts that name a library's functions come before those behind it."""
+    text = F.when(F.col("value") > 50, "return EVP_sha256();").otherwise(F.col("event_type"))
+    files = table(spark, sf_dir, "events").select("event_id", picked("event_id", CLAIMED).alias("path"), F.array(F.lit("text/plain")).alias("mime"), text.alias("text"))
+    return strategies.claims(files).select("event_id", "strategy")
 
 
 @query("u03_residual", "SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 97 = 0)")
@@ -202,10 +206,11 @@ def a02_extra_union(spark, sf_dir):
 @query("a10_dependency_groups", "SELECT user_id, event_type AS name, array_to_string(list_sort(list(DISTINCT json_extract_string(props, '$.k'))), ',') AS versions, count(*) AS n FROM events GROUP BY ALL")
 def a10_dependency_groups(spark, sf_dir):
     own = table(spark, sf_dir, "events")
-    return own.groupBy("user_id", F.col("event_type").alias("name")).agg(F.array_join(F.array_sort(F.collect_set(F.get_json_object("props", "$.k"))), ",").alias("versions"), F.count("*").alias("n"))
+    found = merge.dependency_groups(own.select(F.col("user_id").alias("id"), F.col("event_type").alias("name"), F.get_json_object("props", "$.k").alias("version")))
+    return found.select(F.col("id").alias("user_id"), "name", F.array_join("versions", ",").alias("versions"), "n")
 
 
 @query("a11_line_sets", "SELECT source, array_to_string(list_sort(list(DISTINCT w)), ',') AS words FROM (SELECT source, unnest(regexp_extract_all(text, '(token|password|secret) ?[=:]', 1)) AS w FROM documents) t GROUP BY source")
 def a11_line_sets(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").select("source", F.explode(F.regexp_extract_all("text", F.lit("(token|password|secret) ?[=:]"), 1)).alias("w"))
-    return own.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("w")), ",").alias("words"))
+    found = merge.line_sets(table(spark, sf_dir, "documents").select(F.col("source").alias("id"), "text"), "(token|password|secret) ?[=:]")
+    return found.select(F.col("id").alias("source"), F.array_join("values", ",").alias("words"))
