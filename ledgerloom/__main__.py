@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--cbom", help="folder for bills of materials")
     p.add_argument("--ingested", help="text table to which the paths of what was read are appended")
     p.add_argument("--dump", help="folder for all items as JSON lines")
+    p.add_argument("--scanner-reports", action="append", default=[], help="report of an external scanner, or a folder of them; may be repeated")
     p.add_argument("--tag-json", help="JSON to overlay on the tag")
     return p
 
@@ -46,6 +47,8 @@ def main(argv: list[str] | None = None) -> None:
         builder.with_bills(args.cbom)
     if args.ingested:
         builder.with_ingested_list(args.ingested)
+    if args.scanner_reports:
+        builder.with_scanner_reports(*args.scanner_reports)
     items, edges = builder.run()
     if args.dump:
         clusters.dump(items, edges, args.dump, builder.extra)

@@ -5,20 +5,21 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.textual import date
 from .model import ALIAS_FROM, CONTAINS, METADATA_BODY
-from .operators import bills, cbom, classes, graph, images, merge, strategies
+from .operators import bills, cbom, classes, graph, images, joins, merge, strategies
 from .operators.configs import without_leaks
 from .operators.jars import archive_facts
 from .operators.tags import package_tags, run_tag, tagged
-from .sources import clusters, files
+from .sources import clusters, files, scanners
 from .storage import materialised
 from .streaming.upsert import graph_of, with_aliases
 
 Hook = Callable[[DataFrame, DataFrame], bool]
+Extractor = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 MANIFEST = "META-INF/MANIFEST.MF"
 
 
@@ -51,6 +52,9 @@ class GraphBuilder:
         self.output: str | None = None
         self.hooks: list[Hook] = []
         self.package_tags = False
+        self.changes: list[DataFrame] = []
+        self.own: list[tuple[str, Column, Extractor]] = []
+        self.types: list[tuple[str, Column]] = []
         self.bill_folder: str | None = None
         self.ingested: str | None = None
         self.extra: DataFrame | None = None
@@ -116,6 +120,28 @@ class GraphBuilder:
         self.hooks.append(hook)
         return self
 
+    def with_augmentation(self, changes: DataFrame) -> GraphBuilder:
+        """Metadata (hash, key, value) for whatever has the hash as its identifier or an alias; the key ``alias:from`` adds a package URL."""
+        self.changes.append(changes.select("hash", "key", "value"))
+        return self
+
+    def with_scanner_reports(self, *paths: str) -> GraphBuilder:
+        """What an external scanner has found, one JSON report a file."""
+        return self.with_augmentation(scanners.changes(scanners.read_reports(self.spark, *paths)))
+
+    def with_strategy(self, name: str, condition: Column, extractor: Extractor) -> GraphBuilder:
+        """A strategy that takes artifacts (path, mime, text) before all others.
+
+        ``extractor`` gets what it took (id, path, mime, text) and gives metadata (id, key, mime, value) and package URLs (id, purl).
+        """
+        self.own.append((name, condition, extractor))
+        return self
+
+    def with_type(self, name: str, condition: Column) -> GraphBuilder:
+        """Adds a content type where a condition on path, mime and content holds; containers are opened by the built-in types alone."""
+        self.types.append((name, condition))
+        return self
+
     def artifacts(self) -> DataFrame:
         """All artifacts of the folders and lists, with what their containers hold."""
         found = [files.scan(self.spark, *self.folders, exclude=self.exclude)] if self.folders else []
@@ -125,7 +151,21 @@ class GraphBuilder:
         own = found[0]
         for more in found[1:]:
             own = own.unionByName(more)
-        return files.expand(own, self.blocked)
+        whole = files.expand(own, self.blocked)
+        if self.types:
+            more = F.filter(F.array(*(F.when(condition, F.lit(name)) for name, condition in self.types)), lambda t: t.isNotNull())
+            whole = whole.withColumn("mime", F.array_union("mime", more))
+        return whole
+
+    def augmented(self, edges: DataFrame) -> DataFrame:
+        """(id, key, value) of the given changes for the graph's items, found by their identifiers and aliases."""
+        names = edges.filter(F.col("edge_type") == ALIAS_FROM).select(F.col("src").alias("id"), F.col("dst").alias("hash"))
+        names = names.unionByName(names.select("id", F.col("id").alias("hash"))).distinct()
+        changes = self.changes[0]
+        for more in self.changes[1:]:
+            changes = changes.unionByName(more)
+        everywhere = F.lit("").alias("scope")
+        return joins.augmented(names, names.select("id", everywhere).distinct(), changes.select(everywhere, "hash", "key", "value"))
 
     def described(self, own: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         """Metadata and package URLs of the artifacts, and the images among them with their layers.
@@ -133,7 +173,7 @@ class GraphBuilder:
         Facts come from what strategies extract, from what members tell of archives, and from images.
         """
         # Written once: every extractor reads the claims, and none the contents.
-        claimed = materialised(strategies.needed(strategies.claims(strategies.with_text(own))), "claims")
+        claimed = materialised(strategies.needed(strategies.claims(strategies.with_text(own), [(name, condition) for name, condition, _ in self.own])), "claims")
         held = own.filter("container is not null").select(F.col("container").alias("scope"), "path", "id")
         jsons = claimed.filter(F.array_contains("mime", "application/json") & F.col("text").isNotNull()).select("id", F.col("text").alias("json")).dropDuplicates(["id"])
         found = materialised(images.images(held, jsons), "images")
@@ -143,6 +183,9 @@ class GraphBuilder:
         contents = own.select("id", "path", "content").join(wanted, ["id", "path"], "left_semi").dropDuplicates(["id"])
         places = own.select(F.coalesce("container", F.lit("")).alias("scope"), "path", "id").distinct()
         extra, purls = strategies.extract(claimed, contents, places)
+        for name, _, extractor in self.own:
+            more_extra, more_purls = extractor(claimed.filter(F.col("strategy") == name).select("id", "path", "mime", "text"))
+            extra, purls = extra.unionByName(without_leaks(more_extra.select("id", "key", "mime", "value"))), purls.unionByName(more_purls.select("id", "purl"))
         java = own.filter(F.array_contains("mime", "application/java-archive")).select(F.col("id").alias("container")).distinct()
         members = own.filter("container is not null").select("id", "path", "container").distinct().join(java, "container", "left_semi")
         heads = strategies.with_text(own.filter(F.col("path") == MANIFEST)).select("id", "text").dropDuplicates(["id"])
@@ -170,6 +213,10 @@ class GraphBuilder:
         items, edges = graph_of(own)
         edges = with_aliases(own, edges)
         extra, purls, found, layers = self.described(own)
+        if self.changes:
+            told = materialised(self.augmented(edges), "augmented")
+            extra = extra.unionByName(told.filter("key <> 'alias:from'").select("id", "key", F.lit(None).cast("string").alias("mime"), "value")).distinct()
+            purls = purls.unionByName(told.filter("key = 'alias:from'").select("id", F.col("value").alias("purl"))).distinct()
         edges = edges.unionByName(images.layer_edges(layers)).unionByName(graph.with_reversed(classes.built_from(own)))
         typed = images.types(found, layers)
         none = F.array().cast("array<string>")

@@ -39,14 +39,16 @@ def _name() -> Column:
     return F.substring_index("path", "/", -1)
 
 
-def claims(artifacts: DataFrame) -> DataFrame:
+def claims(artifacts: DataFrame, before: list[tuple[str, Column]] | None = None) -> DataFrame:
     """Artifacts (path, mime, text) with the first strategy that takes them; text is null for binary contents.
 
+    ``before`` has names and conditions of other strategies, which come first.
     What belongs to a container image is told by ``images.members``, as it takes several artifacts.
     """
     name, text, path = _name(), F.coalesce("text", F.lit("")), F.col("path")
     has = lambda *types: F.arrays_overlap("mime", F.array(*map(F.lit, types)))
     chain = [
+        *(before or []),
         ("maven", packages.is_archive(name) | name.rlike(r"\.pom$|-(sources|javadocs?)\.jar$") | (name == "pom.xml")),
         ("os-package", has("application/x-rpm") | name.rlike(r"\.(deb|apk|pkg\.tar\.(xz|zst))$") | (path.rlike(r"(^|/)control$") & text.rlike("(?m)^Package: ")) | name.isin(".PKGINFO", "+MANIFEST", "+COMPACT_MANIFEST")),
         ("dotnet", has("application/x-msdownload") & name.rlike(r"(?i)\.(dll|exe)$")),
