@@ -179,7 +179,7 @@ class GraphBuilder:
         found = materialised(images.images(held, jsons), "images")
         layers = materialised(images.layers(found, held), "layers")
         claimed = elsewhere(claimed, held, images.members(found, layers))
-        wanted = claimed.filter("strategy in ('certificates', 'dotnet') and text is null or array_contains(mime, 'application/x-rpm')").select("id", "path").distinct()
+        wanted = claimed.filter("strategy in ('certificates', 'dotnet') and text is null or strategy = 'embedded-certificates' or array_contains(mime, 'application/x-rpm')").select("id", "path").distinct()
         contents = own.select("id", "path", "content").join(wanted, ["id", "path"], "left_semi").dropDuplicates(["id"])
         places = own.select(F.coalesce("container", F.lit("")).alias("scope"), "path", "id").distinct()
         extra, purls = strategies.extract(claimed, contents, places)

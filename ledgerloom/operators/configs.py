@@ -88,5 +88,5 @@ def without_leaks(extra: DataFrame, long_hex: bool = True) -> DataFrame:
     Where digests are what is told, as in images, ``long_hex=False`` lets them stay.
     """
     bad = F.col("value").rlike("|".join(f"(?:{p})" for p in FORBIDDEN))
-    long = ~F.col("key").rlike(LONG_HEX_KEYS) & ~F.col("key").endswith(":associated_files") & ~F.col("key").isin("PublicKey", "Dependencies") & F.col("value").rlike("[0-9a-f]{32,}") if long_hex else F.lit(False)
+    long = ~F.col("key").rlike(LONG_HEX_KEYS) & ~F.col("key").endswith(":associated_files") & ~F.col("key").isin("PublicKey", "Dependencies", "EmbeddedKey:derived_spki_sha256") & F.col("value").rlike("[0-9a-f]{32,}") if long_hex else F.lit(False)
     return extra.filter(~bad & ~long)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import crypto, packages, poms, textual, tokens
 from ..storage import materialised
 from ..sources import records
-from . import assemblies, configs, inifiles, keymaterial, manifests
+from . import assemblies, configs, embedded, inifiles, keymaterial, manifests
 from .filters import scan_filtered
 from .joins import claimed, needles_in
 
@@ -53,7 +53,7 @@ def claims(artifacts: DataFrame, before: list[tuple[str, Column]] | None = None)
         ("os-package", has("application/x-rpm") | name.rlike(r"\.(deb|apk|pkg\.tar\.(xz|zst))$") | (path.rlike(r"(^|/)control$") & text.rlike("(?m)^Package: ")) | name.isin(".PKGINFO", "+MANIFEST", "+COMPACT_MANIFEST")),
         ("dotnet", has("application/x-msdownload") & name.rlike(r"(?i)\.(dll|exe)$")),
         ("language-package", name.rlike(r"\.(whl|gem|crate|nupkg)$") | manifests.is_language_manifest(path)),
-        ("embedded-certificates", has("application/x-sharedlib") & name.rlike(r"^lib(ssl|crypto|gnutls|nss|mbed)")),
+        ("embedded-certificates", embedded.is_library(path, F.col("mime"))),
         ("certificates", (has("application/x-pem-file") & text.rlike("-----BEGIN (CERTIFICATE|X509 CRL|PGP PUBLIC KEY BLOCK)-----")) | textual.keystore_type(name).isNotNull() | name.rlike(r"(?i)\.(crt|cer|der|crl|pgp|gpg|asc)$|-cert\.pub$")),
         ("shadow", path.rlike(r"(^|/)etc/(shadow|gshadow|passwd|group)$")),
         ("usign", path.contains("etc/opkg/keys/") | text.rlike(r"^untrusted comment:")),
@@ -61,7 +61,7 @@ def claims(artifacts: DataFrame, before: list[tuple[str, Column]] | None = None)
         ("service-tls", name.isin("uhttpd", "nginx.conf", "lighttpd.conf")),
         ("service-crypto", configs.service(path).isNotNull() & ~configs.service(path).isin("java.security", "crypto.policy")),
         ("tokens", text.rlike(tokens.JWT) | text.rlike(r'"kty"\s*:')),
-        ("embedded-pem", text.contains("-----BEGIN ")),
+        ("embedded-pem", text.contains("-----BEGIN ") | text.rlike(r"-data\s*[:=]\s*[\"']?LS0tLS1CRUdJTi")),
         ("crypto-footprint", text.rlike("EVP_[a-z0-9_]+|golang.org/x/crypto|crypto/(md5|sha1|sha256|sha512|aes|rsa|tls)")),
         ("mobile-tls", name.isin("network_security_config.xml", "AndroidManifest.xml", "Info.plist", "crypto.policy")),
         ("crypto-dependency", name.isin(*LOCKFILES)),
@@ -123,6 +123,11 @@ def extract(claimed_: DataFrame, contents: DataFrame | None = None, places: Data
     keys = certificates.select("id", tokens.certificate_facts("content").alias("c")).filter("c.subject is not null")
     purls.append(keys.select("id", F.concat(F.lit("pkg:generic/x509/spki-sha256@"), "c.spki_sha256", F.lit("?alg="), F.lower("c.key_algorithm")).alias("purl")))
 
+    extra.append(prefixed("", embedded.text_keys(of("embedded-pem").select("id", "path", "text").distinct())))
+    if contents is not None:
+        libraries = claimed_.filter("strategy = 'embedded-certificates'").select("id", "path").distinct()
+        extra.append(prefixed("", embedded.library_facts(contents.select("id", "content").join(libraries, "id"))))
+
     shadow = lines(of("shadow")).filter(F.col("path").rlike("shadow$") & F.col("line").contains(":")).select("id", F.split("line", ":").alias("f"))
     shadow = shadow.select("id", F.element_at("f", 1).alias("user"), crypto.crypt_details(F.element_at("f", 2)).alias("h"))
     extra.append(_rows(shadow, "PasswordHash:", {"User": F.col("user"), "Algorithm": F.col("h.algorithm"), "Cost": F.col("h.cost"), "Params": F.col("h.params")}))
