@@ -24,15 +24,31 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}"
 
 
+#: Folders that ``materialised`` has written in this process and that are still there.
+WRITTEN: list[str] = []
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back, so that its lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_unread(spark: SparkSession, paths: list[str], reader: DataFrame) -> None:
+    """Delete those of ``paths``, written by ``materialised``, that ``reader`` does not read."""
+    read = {f.rpartition("/")[0].rpartition("/")[2] for f in reader.inputFiles()}  # each has a name of its own
+    for path in paths:
+        if path in WRITTEN and path.rpartition("/")[2] not in read:
+            own = spark._jvm.org.apache.hadoop.fs.Path(path)
+            own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+            WRITTEN.remove(path)
+
+
 def remove_materialised(spark: SparkSession) -> None:
     """Delete all that ``materialised`` wrote in this session; call it once results are saved."""
+    WRITTEN.clear()
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
