@@ -162,13 +162,15 @@ def a05_purl_aliases(spark, sf_dir):
     return with_reversed(f09_purl(spark, sf_dir).select(F.concat(F.lit("P"), "p_partkey").alias("src"), F.lit("alias:from").alias("edge_type"), F.col("purl").alias("dst")))
 
 
-FILES = ("commons-lang3-3.12.0.jar", "org.apache.foo-1.2.jar", "lib_2.13-1.0.jar", "noversion.jar", "a-b-c-10-beta.war", "-1.jar", "x-1", "foo--2.jar", "guava-31.1-jre.jar", "x-sources.jar")
-ART = "regexp_extract(stem, '^(([^-]|-[^0-9])+?|[^0-9]*?)-([0-9].*)$', 1)"
-
-
-@query("f10_coordinates")
+@query("f10_coordinates", """WITH t AS (SELECT p_partkey, p_partkey % 4 AS kind, p_size, replace(lower(p_brand), '#', '') AS b FROM part)
+SELECT p_partkey, CASE WHEN kind = 0 THEN 'org.' || b END AS group_id, CASE kind WHEN 0 THEN 'lib' || p_size WHEN 1 THEN 'tool-' || b WHEN 3 THEN 'x_' || p_size END AS artifact_id,
+    CASE kind WHEN 0 THEN p_size || '.' || p_partkey WHEN 1 THEN p_size || '-rc' || p_partkey WHEN 3 THEN p_partkey || '+b' END AS version FROM t""")
 def f10_coordinates(spark, sf_dir):
-    return part(spark, sf_dir).select("p_partkey", packages.coordinates(picked("p_partkey", FILES)).alias("c")).select("p_partkey", "c.*")
+    """File names made of known coordinates; every fourth tells no version."""
+    brand, size, key = F.regexp_replace(F.lower("p_brand"), "#", ""), F.col("p_size"), F.col("p_partkey")
+    name = F.when(key % 4 == 0, F.concat(F.lit("org."), brand, F.lit(".lib"), size, F.lit("-"), size, F.lit("."), key, F.lit(".jar"))).when(key % 4 == 1, F.concat(F.lit("tool-"), brand, F.lit("-"), size, F.lit("-rc"), key, F.lit(".war")))
+    name = name.when(key % 4 == 2, F.concat(F.lit("noversion"), key, F.lit(".jar"))).otherwise(F.concat(F.lit("x_"), size, F.lit("-"), key, F.lit("+b.jar")))
+    return part(spark, sf_dir).select("p_partkey", packages.coordinates(name).alias("c")).select("p_partkey", "c.*")
 
 
 @query("f11_package_group", f"SELECT p_partkey, CASE WHEN contains(a, '.') THEN regexp_replace(a, '[.][^.]*$', '') END AS group_id FROM (SELECT p_partkey, trim(regexp_replace({picked_sql('p_partkey', ('org.apache.commons', 'org.x.y.*', 'single', '*', 'a.b'))}, '[.][*]$', '')) AS a FROM part) t")
@@ -289,12 +291,13 @@ def f44_properties(spark, sf_dir):
     return part(spark, sf_dir).select("p_partkey", F.explode(textual.properties(picked("p_partkey", PROPS))))
 
 
-HEADERS = ('org.a;version="1.0";x=y,org.b', "org.c;uses:=\"p,q\"")
-
-
-@query("f54_bundle_headers")
+@query("f54_bundle_headers", """WITH t AS (SELECT p_partkey, p_size, replace(lower(p_brand), '#', '') AS b FROM part)
+SELECT p_partkey, 'org.' || b AS name, 'version=1.' || p_size || ';x=y' AS attributes FROM t UNION ALL SELECT p_partkey, 'com.n' || p_partkey, CASE WHEN p_size % 2 = 0 THEN 'uses=a.b' ELSE '' END FROM t""")
 def f54_bundle_headers(spark, sf_dir):
-    own = part(spark, sf_dir).select("p_partkey", F.explode(textual.bundle_header(picked("p_partkey", HEADERS))).alias("c"))
+    """Headers of two packages, the first with a quoted version."""
+    brand, uses = F.regexp_replace(F.lower("p_brand"), "#", ""), F.when(F.col("p_size") % 2 == 0, ";uses:=a.b").otherwise("")
+    header = F.concat(F.lit("org."), brand, F.lit(';version="1.'), "p_size", F.lit('";x=y,com.n'), "p_partkey", uses)
+    own = part(spark, sf_dir).select("p_partkey", F.explode(textual.bundle_header(header)).alias("c"))
     return own.select("p_partkey", "c.name", F.array_join("c.attributes", ";").alias("attributes"))
 
 
