@@ -194,11 +194,12 @@ def schedule(docs: DataFrame, weights: dict | None = None, power: float = 0.5, b
     return numbered.join(offsets, ["source", "part"]).mapInPandas(place, "source string, doc_id long, phase int, block long, release long, deadline long, slot long, nth long")
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` in the order of the mix: partitions are ranges of slots, sorted by slot."""
+def mixed(docs: DataFrame, then: tuple[str, ...] = (), **how) -> DataFrame:
+    """``docs`` in the order of the mix: partitions are ranges of slots, sorted by slot; rows of one place by the columns ``then``."""
     plan = schedule(docs, **how).select(F.struct("source", "doc_id").alias("_key"), F.struct("slot", "nth").alias("_at"))
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.struct(F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").cast("long").alias("doc_id")).alias("_key"))
-    return keyed.join(plan, "_key").select("_row", "_at").repartitionByRange("_at").sortWithinPartitions("_at").select("_row.*")
+    # Neither the documents nor the schedule are small, so both are dealt by key at every size.
+    return keyed.join(plan.hint("merge"), "_key").select("_row", "_at").repartitionByRange("_at").sortWithinPartitions("_at", *(f"_row.{c}" for c in then)).select("_row.*")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

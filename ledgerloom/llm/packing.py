@@ -79,28 +79,33 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
-    """Each document's ids with ``end_id`` behind them, cut only where longer than ``capacity``."""
+def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, source: bool = False) -> DataFrame:
+    """Each document's ids with ``end_id`` behind them, cut only where longer than ``capacity``; with ``source``, that column comes last."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         ids, part, seen = word_ids(path).ids, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows, of = [], []
+            for row, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 whole = ids(text or "") + end
                 for piece, at in enumerate(range(0, len(whole), 4 * capacity)):
                     cut = whole[at : at + 4 * capacity]
                     length = len(cut) // 4
                     rows.append((doc_id, piece, at // 4, length, zlib.crc32(cut), part, seen[length]))
                     seen[length] += 1
+                    of.append(row)
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             names = ("doc_id", "piece", "start", "length", "ids_crc32", "part", "nth")
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            if source:
+                arrays, names = [*arrays, batch.column(2).take(pa.array(of, pa.int64()))], (*names, "source")
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    own = [F.coalesce("source", F.lit("")).alias("source")] if source else []
+    return docs.select(F.col("doc_id").cast("long"), "text", *own).mapInArrow(run, PIECES + ", source string" * source)
 
 
 def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -201,6 +206,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> D
 def pack_along(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, window: int = 256) -> DataFrame:
     """Like ``pack``, but sequences follow the order of ``docs``, whose partitions are ranges of it.
 
+    Where ``docs`` has no texts, its rows are pieces of ``token_pieces`` in that order.
+
     Windows of the order, each of ``window`` sequences' tokens, are packed one
     by one, so sequences have the composition of their window; within a window
     they are numbered by their first piece.
@@ -231,7 +238,11 @@ def pack_along(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1
         if held:
             yield fill(pd.concat(held, ignore_index=True), base)
 
-    packed = materialised(token_pieces(docs, path, capacity, end_id).mapInPandas(run, SCHEMA + ", part int"), "packed")
+    if "text" in docs.columns:
+        pieces = token_pieces(docs, path, capacity, end_id)
+    else:
+        pieces = docs.select("doc_id", "piece", "start", "length", "ids_crc32", F.spark_partition_id().alias("part"))
+    packed = materialised(pieces.mapInPandas(run, SCHEMA + ", part int"), "packed")
     sizes = packed.groupBy("part").agg((F.max("sequence_id") + 1).alias("n")).orderBy("part").collect()  # a row for each partition
     bases = dict(zip((r.part for r in sizes), np.cumsum([0, *(r.n for r in sizes)]).tolist()))
     offsets = docs.sparkSession.createDataFrame(list(bases.items()), "part int, base long")
