@@ -5,6 +5,9 @@ configuration and those of its layers, in order.  ``parts`` resolves these paths
 the same archive by equi-joins.  A path counts only where exactly one file of the archive has it.
 No archive's files ever meet in one row: lists are exploded with their positions.
 
+What is shuffled is small: a path that is a blob's digest goes as the digest's bytes (``coded``), files are dealt by archive
+and path once, a manifest's lists move once, after the configurations have been found by their paths alone.
+
 Defined results: a manifest that is no JSON array, or that several files of an archive claim to be, gives no
 image; an entry without a configuration that is there, alone and JSON gives none either; a
 layer that is missing or there twice is left out, others keep their positions; a layer named
@@ -48,37 +51,52 @@ def _list(column: str, path: str) -> Column:
     return F.from_json(_json(column, path), "array<string>")
 
 
+def coded(path: Column) -> Column:
+    """A path as bytes, half as many where it is a blob's hexadecimal digest; equal for equal paths alone."""
+    digest = path.rlike(rf"^{BLOBS}(?:[0-9a-f]{{2}}){{1,64}}\z")
+    return F.when(digest, F.concat(F.lit(b"\x01"), F.unhex(F.substring(path, len(BLOBS) + 1, 128)))).otherwise(F.concat(F.lit(b"\x00"), path.cast("binary")))
+
+
+def decoded(code: Column) -> Column:
+    """The path that ``coded`` made the bytes of."""
+    rest = F.substring(code, 2, (1 << 31) - 1)
+    return F.when(F.substring(code, 1, 1) == b"\x01", F.concat(F.lit(BLOBS), F.lower(F.hex(rest)))).otherwise(rest.cast("string"))
+
+
 def single(files: DataFrame) -> DataFrame:
-    """scope, path and id of the files that are alone under their path in their archive."""
-    found = files.filter("scope is not null").groupBy("scope", "path").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    """scope, code (of the path) and id of the files that are alone under their path in their archive."""
+    found = files.filter("scope is not null").groupBy("scope", coded(F.col("path")).alias("code")).agg(F.count("*").alias("n"), F.min("id").alias("id"))
     return found.filter("n = 1").drop("n")
 
 
 def images(files: DataFrame, texts: DataFrame) -> DataFrame:
-    """Scope, manifest, image, entry, config_path, config, config_json and oci_json of each image.
+    """Scope, manifest, image, entry, config_path, layers, config, config_json and oci_json of each image.
 
     files: scope, path, id, one row for each file of an archive.  texts: id and json, once for each file that is JSON.
-    ``image`` is the place in the manifest's array; ``oci_json`` is the manifest blob that names the configuration's digest.
+    ``image`` is the place in the manifest's array; ``layers`` are the codes of the listed paths; ``oci_json`` is the manifest blob that names the configuration's digest.
     """
-    named = files.filter((F.col("path") == MANIFEST) | F.col("path").startswith(BLOBS))
-    named = named.join(named.filter(F.col("path") == MANIFEST).select("scope").distinct(), "scope", "left_semi")
-    read = single(named).join(texts.filter(F.try_parse_json("json").isNotNull()), "id")
-    entries = read.filter((F.col("path") == MANIFEST) & F.col("json").rlike(r"^\s*\[")).select("scope", F.col("id").alias("manifest"), F.posexplode(F.from_json("json", "array<string>")).alias("image", "entry"))
+    read = texts.filter(F.try_parse_json("json").isNotNull())
+    entries = read.filter(F.col("json").rlike(r"^\s*\[")).select(F.col("id").alias("manifest"), F.posexplode(F.from_json("json", "array<string>")).alias("image", "entry"))
     entries = entries.withColumn("config_path", _json("entry", "$.Config")).filter(F.col("config_path").startswith(BLOBS))
-    blobs = read.filter(F.col("path").startswith(BLOBS))
-    configs = blobs.select("scope", F.col("path").alias("config_path"), F.col("id").alias("config"), F.col("json").alias("config_json"))
+    entries = entries.withColumn("layers", F.transform(_list("entry", "$.Layers"), coded))  # here, so that who wants the layers alone moves no JSON
+    manifests = single(files.filter(F.col("path") == MANIFEST)).select("scope", F.col("id").alias("manifest"))
+    # Without the entries, which are long: they meet the images that have a configuration.
+    heads = manifests.join(entries.select("manifest", "image", coded(F.col("config_path")).alias("code")), "manifest")
+    found = heads.join(single(files).withColumnRenamed("id", "config"), ["scope", "code"])
+    found = found.join(read.select(F.col("id").alias("config"), F.col("json").alias("config_json")), "config").join(entries, ["manifest", "image"])
     kind, digest = _json("json", "$.mediaType"), _json("json", "$.config.digest")
     described = kind.contains("vnd.oci.image.manifest") | kind.contains("vnd.docker.distribution.manifest")
-    oci = blobs.filter(described & digest.startswith("sha256:") & _json("json", "$.schemaVersion").rlike("^-?[0-9]+$"))
-    oci = oci.groupBy("scope", F.concat(F.lit(BLOBS), F.substring(digest, 8, 1 << 20)).alias("config_path")).agg(F.min("json").alias("oci_json"))
-    return entries.join(configs, ["scope", "config_path"]).join(oci, ["scope", "config_path"], "left")
+    told = read.filter(described & digest.startswith("sha256:") & _json("json", "$.schemaVersion").rlike("^-?[0-9]+$"))
+    told = told.select("id", "json", coded(F.concat(F.lit(BLOBS), F.substring(digest, 8, 1 << 20))).alias("code"))
+    oci = single(files.filter(F.col("path").startswith(BLOBS))).select("scope", "id").join(told, "id").groupBy("scope", "code").agg(F.min("json").alias("oci_json"))
+    return found.join(oci, ["scope", "code"], "left").select("scope", "manifest", "image", "entry", "config_path", "layers", "config", "config_json", "oci_json")
 
 
 def layers(found: DataFrame, files: DataFrame) -> DataFrame:
     """Scope, image, config, position, layer_path and layer of the layers of ``found``, in the order of the manifest."""
-    listed = found.select("scope", "image", "config", F.posexplode(_list("entry", "$.Layers")).alias("position", "layer_path"))
-    own = files.join(found.select("scope").distinct(), "scope", "left_semi")
-    return listed.join(single(own).select("scope", F.col("path").alias("layer_path"), F.col("id").alias("layer")), ["scope", "layer_path"])
+    listed = found.select("scope", "image", "config", F.posexplode("layers").alias("position", "code"))
+    held = listed.join(single(files).withColumnRenamed("id", "layer"), ["scope", "code"])
+    return held.select("scope", decoded(F.col("code")).alias("layer_path"), "image", "config", "position", "layer")
 
 
 def layer_edges(found: DataFrame) -> DataFrame:

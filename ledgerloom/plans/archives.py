@@ -17,20 +17,21 @@ def image_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     An order's manifest lists its lines' parts as layers.  Layers of returned lines are missing, and a part
     ordered twice is there twice.  Pending orders lack their configuration, each seventh key has it twice.
     """
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("scope"), "o_orderkey", "o_orderstatus", "o_orderpriority")
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("scope"), "l_linenumber", "l_partkey", "l_returnflag")
+    scope = lambda key: F.col(key).cast("string").alias("scope")
+    orders = table(spark, sf_dir, "orders").select(scope("o_orderkey"), "o_orderkey", "o_orderstatus", "o_orderpriority")
+    lines = table(spark, sf_dir, "lineitem").select(scope("l_orderkey"), "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
     blob = lambda letter, key: F.concat(F.lit("blobs/sha256/"), F.md5(F.concat(F.lit(letter), key).cast("binary")))
-    own = lines.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("parts"))
-    listed = orders.join(own, "scope", "left").withColumn("Layers", F.transform("parts", lambda p: blob("P", p["l_partkey"])))
+    own = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("parts"))
+    listed = orders.select("scope", "o_orderkey").join(own, "o_orderkey", "left").withColumn("Layers", F.transform("parts", lambda p: blob("P", p["l_partkey"])))
     entry = F.struct(blob("C", F.col("scope")).alias("Config"), F.array(F.concat(F.lit("library/order:"), "scope")).alias("RepoTags"), "Layers")
     manifests = listed.select("scope", F.concat(F.lit("M"), "scope").alias("id"), F.to_json(F.array(entry)).alias("json"))
     configs = orders.filter("o_orderstatus <> 'P'").select("scope", blob("C", F.col("scope")).alias("path"), F.concat(F.lit("C"), "scope").alias("id"), "o_orderkey", F.to_json(F.struct(F.lit("linux").alias("os"), F.col("o_orderpriority").alias("author"))).alias("json"))
     twice = configs.filter("o_orderkey % 7 = 0")
     layers = lines.filter("l_returnflag <> 'R'").select("scope", blob("P", F.col("l_partkey")).alias("path"), F.concat(F.lit("L"), "scope", F.lit("-"), "l_linenumber").alias("id"))
-    files = manifests.select("scope", F.lit("manifest.json").alias("path"), "id")
+    files = orders.select("scope", F.lit("manifest.json").alias("path"), F.concat(F.lit("M"), "scope").alias("id"))
     for more in (configs, twice, layers):
         files = files.unionByName(more.select("scope", "path", "id"))
-    return files, manifests.select("id", "json").unionByName(configs.select("id", "json")).dropDuplicates(["id"])
+    return files, manifests.select("id", "json").unionByName(configs.select("id", "json"))  # an order that is there twice has no manifest alone
 
 
 JOINED_SQL = """there AS (
