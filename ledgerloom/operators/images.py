@@ -5,8 +5,8 @@ configuration and those of its layers, in order.  ``parts`` resolves these paths
 the same archive by equi-joins.  A path counts only where exactly one file of the archive has it.
 No archive's files ever meet in one row: lists are exploded with their positions.
 
-What is shuffled is small: a path that is a blob's digest goes as the digest's bytes (``coded``), files are dealt by archive
-and path once, a manifest's lists move once, after the configurations have been found by their paths alone.
+What is shuffled is small: a path that is a blob's digest goes as the digest's bytes (``coded``), and a manifest's lists move
+once, after the configurations have been found by their paths alone.  These are written, so that their shuffles can go.
 
 Defined results: a manifest that is no JSON array, or that several files of an archive claim to be, gives no
 image; an entry without a configuration that is there, alone and JSON gives none either; a
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import packages
 from ..functions.tokens import image_facts
 from ..model import CONTAINED_BY, CONTAINS
+from ..storage import materialised
 
 MANIFEST, BLOBS = "manifest.json", "blobs/sha256/"
 LAYER_TYPE = "application/vnd.oci.image.layer.v1.tar"
@@ -69,6 +70,12 @@ def single(files: DataFrame) -> DataFrame:
     return found.filter("n = 1").drop("n")
 
 
+def _entries(texts: DataFrame) -> DataFrame:
+    """manifest, image, entry and config_path of the entries of texts that are arrays."""
+    entries = texts.filter(F.col("json").rlike(r"^\s*\[")).select(F.col("id").alias("manifest"), F.posexplode(F.from_json("json", "array<string>")).alias("image", "entry"))
+    return entries.withColumn("config_path", _json("entry", "$.Config")).filter(F.col("config_path").startswith(BLOBS))
+
+
 def images(files: DataFrame, texts: DataFrame) -> DataFrame:
     """Scope, manifest, image, entry, config_path, layers, config, config_json and oci_json of each image.
 
@@ -76,19 +83,21 @@ def images(files: DataFrame, texts: DataFrame) -> DataFrame:
     ``image`` is the place in the manifest's array; ``layers`` are the codes of the listed paths; ``oci_json`` is the manifest blob that names the configuration's digest.
     """
     read = texts.filter(F.try_parse_json("json").isNotNull())
-    entries = read.filter(F.col("json").rlike(r"^\s*\[")).select(F.col("id").alias("manifest"), F.posexplode(F.from_json("json", "array<string>")).alias("image", "entry"))
-    entries = entries.withColumn("config_path", _json("entry", "$.Config")).filter(F.col("config_path").startswith(BLOBS))
-    entries = entries.withColumn("layers", F.transform(_list("entry", "$.Layers"), coded))  # here, so that who wants the layers alone moves no JSON
     manifests = single(files.filter(F.col("path") == MANIFEST)).select("scope", F.col("id").alias("manifest"))
     # Without the entries, which are long: they meet the images that have a configuration.
-    heads = manifests.join(entries.select("manifest", "image", coded(F.col("config_path")).alias("code")), "manifest")
-    found = heads.join(single(files).withColumnRenamed("id", "config"), ["scope", "code"])
-    found = found.join(read.select(F.col("id").alias("config"), F.col("json").alias("config_json")), "config").join(entries, ["manifest", "image"])
+    heads = manifests.join(_entries(read).select("manifest", "image", coded(F.col("config_path")).alias("code")), "manifest")
+    blobs = single(files.filter(F.col("path").startswith(BLOBS)))
+    found = heads.join(blobs.withColumnRenamed("id", "config"), ["scope", "code"])
+    # No semi-join, which Spark would push below the one before it, to all files.
+    found = materialised(found.join(read.select(F.col("id").alias("config")), "config"), "image_heads", release=True)
+    # Of the manifests that are JSON.  The columns are made here, and outer joins have one row a key, so that who wants the layers alone moves no JSON.
+    found = found.join(_entries(texts).withColumn("layers", F.transform(_list("entry", "$.Layers"), coded)), ["manifest", "image"])
+    found = found.join(texts.groupBy(F.col("id").alias("config")).agg(F.min("json").alias("config_json")), "config", "left")
     kind, digest = _json("json", "$.mediaType"), _json("json", "$.config.digest")
     described = kind.contains("vnd.oci.image.manifest") | kind.contains("vnd.docker.distribution.manifest")
     told = read.filter(described & digest.startswith("sha256:") & _json("json", "$.schemaVersion").rlike("^-?[0-9]+$"))
     told = told.select("id", "json", coded(F.concat(F.lit(BLOBS), F.substring(digest, 8, 1 << 20))).alias("code"))
-    oci = single(files.filter(F.col("path").startswith(BLOBS))).select("scope", "id").join(told, "id").groupBy("scope", "code").agg(F.min("json").alias("oci_json"))
+    oci = blobs.select("scope", "id").join(told, "id").groupBy("scope", "code").agg(F.min("json").alias("oci_json"))
     return found.join(oci, ["scope", "code"], "left").select("scope", "manifest", "image", "entry", "config_path", "layers", "config", "config_json", "oci_json")
 
 
@@ -100,9 +109,13 @@ def layers(found: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def layer_edges(found: DataFrame) -> DataFrame:
-    """Each configuration contains its layers, once however often they are listed; both directions."""
-    pairs = F.array(F.struct(F.col("layer").alias("src"), F.lit(CONTAINED_BY).alias("edge_type"), F.col("config").alias("dst")), F.struct(F.col("config").alias("src"), F.lit(CONTAINS).alias("edge_type"), F.col("layer").alias("dst")))
-    return found.select(F.explode(pairs).alias("e")).select("e.*").distinct()
+    """Each configuration contains its layers, once however often they are listed; both directions.
+
+    Pairs are made distinct before each gives two edges, whose types differ.
+    """
+    pairs = found.select("config", "layer").distinct()
+    both = F.array(F.struct(F.col("layer").alias("src"), F.lit(CONTAINED_BY).alias("edge_type"), F.col("config").alias("dst")), F.struct(F.col("config").alias("src"), F.lit(CONTAINS).alias("edge_type"), F.col("layer").alias("dst")))
+    return pairs.select(F.explode(both).alias("e")).select("e.*")
 
 
 def image_tags(found: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classes, images
 from ..sources.records import records
+from ..storage import materialised
 from .base import query, table
 from .material import raw, text, whole
 
@@ -46,7 +47,8 @@ JOINED_SQL = """there AS (
 
 def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, texts = image_files(spark, sf_dir)
-    return images.layers(images.images(files, texts), files)
+    found = images.images(files, texts).select("scope", "image", "config", "layers")
+    return images.layers(materialised(found, "images", release=True), files)
 
 
 @query("j03_image_join", f"WITH {JOINED_SQL} SELECT scope, config, position, layer FROM found")

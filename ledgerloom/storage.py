@@ -24,15 +24,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders that ``materialised`` has written in this process and that are still there.
 WRITTEN: list[str] = []
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that its lineage ends there."""
+def materialised(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that its lineage ends there.
+
+    With ``release`` the shuffles that made it are deleted when it is written, not when the driver next collects garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, str(release or before == "true").lower())
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
